@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = written(docs.mapInPandas(lambda it: _features(it, size), "doc_id long, n_shingles long, digest binary, registers binary"))
+    features = written(docs.mapInArrow(lambda it: _features(it, size), "doc_id long, n_shingles long, digest binary, registers binary"))
     reps = written(
         features.where("n_shingles > 0 and doc_id is not null")
         .groupBy("digest")
@@ -89,17 +90,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _features(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(words_of(t), size) for t in batch["text"]]
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "n_shingles": [len(s) for s in sets],
-                "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "registers": [registers(s).tobytes() for s in sets],
-            }
-        )
+        sets = [shingles(words_of(t), size) for t in batch.column("text").to_pylist()]
+        made = ([len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [registers(s).tobytes() for s in sets])
+        arrays = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary()), strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "registers"])
 
 
 def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -4,17 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recallgrid.llm import decontaminate, line_dedup
 from recallgrid.llm.near_dedup import near_duplicates
 from recallgrid.session import table
 
 
+def op2_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-QUERIES = {"op3_hyperminhash": op3_hyperminhash}
+def op4_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op2_edit_lines": op2_edit_lines,
+    "op3_hyperminhash": op3_hyperminhash,
+    "op4_prefix_filter": op4_prefix_filter,
+}
 
 ORACLES = {
+    "op2_edit_lines": """
+        WITH RECURSIVE p AS (
+            SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(l[i], '[\\x09-\\x0D ]+', ' ', 'g'), ' ') AS body
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i)),
+        g AS (
+            SELECT *, row_number() OVER (ORDER BY head_doc, head_line) AS id
+            FROM (SELECT body, count(*) AS n_copies, arg_min(doc_id, (doc_id, line_no)) AS head_doc, arg_min(line_no, (doc_id, line_no)) AS head_line FROM p WHERE body <> '' GROUP BY body)),
+        l AS (
+            SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id AND length(b.body) BETWEEN length(a.body) - 2 AND length(a.body) + 2
+            WHERE length(a.body) >= 20 AND length(b.body) >= 20 AND levenshtein(a.body, b.body) <= 2),
+        r(id, c) AS (SELECT id, id FROM g UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+        m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT p.doc_id, p.line_no::INT AS line_no, g.n_copies, (SELECT count(*) FROM l WHERE l.a = g.id) AS n_links, h.head_doc, h.head_line::INT AS head_line,
+            p.doc_id = h.head_doc AND p.line_no = h.head_line AS kept
+        FROM p JOIN g USING (body) JOIN m ON m.id = g.id JOIN g h ON h.id = m.c
+    """,
+    "op4_prefix_filter": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s
+            FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS u(i) WHERE len(w) > 0),
+        d AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+            FROM w, (SELECT DISTINCT n FROM win) k, unnest(range(1, len(w) - n + 2)) AS u(i)),
+        h AS (SELECT doc_id, item_id, i, d.n FROM d JOIN win USING (n, s)),
+        n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + h.n)) AS u(p) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op3_hyperminhash": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
