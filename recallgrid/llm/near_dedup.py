@@ -194,3 +194,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     discard(full)
     discard(pairs)
     return out
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps: those with the smallest id of their group.
+
+    Of exactly repeated rows all stay, as they share one id.
+    """
+    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import decontaminate, line_dedup
+from recallgrid.llm import decontaminate, langid, line_dedup, packing
 from recallgrid.llm.near_dedup import near_duplicates
 from recallgrid.session import table
 
@@ -21,10 +21,20 @@ def op4_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).drop("hilbert")
+
+
+def op9_byte_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_edit_lines": op2_edit_lines,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_prefix_filter": op4_prefix_filter,
+    "op8_hilbert_packing": op8_hilbert_packing,
+    "op9_byte_recurrence": op9_byte_recurrence,
 }
 
 ORACLES = {
