@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import decontaminate, langid, line_dedup, packing
+from recallgrid.llm import decontaminate, langid, line_dedup, packing, warc
+from recallgrid.llm.embedding_dedup import near_duplicate_vectors
+from recallgrid.llm.html_extract import main_texts
 from recallgrid.llm.near_dedup import near_duplicates
 from recallgrid.session import table
 
@@ -21,6 +23,14 @@ def op4_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).drop("hilbert")
 
@@ -29,12 +39,19 @@ def op9_byte_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_edit_lines": op2_edit_lines,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_prefix_filter": op4_prefix_filter,
+    "op5_template_classes": op5_template_classes,
+    "op6_sorted_projections": op6_sorted_projections,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_byte_recurrence": op9_byte_recurrence,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
@@ -85,4 +102,19 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c::BIGINT AS component_id, d.doc_id = m.c AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = d.doc_id
     """,
+    "op6_sorted_projections": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CASE WHEN list_count(embedding) = len(embedding) AND isfinite(s) AND s > 0 THEN [x::DOUBLE FOR x IN embedding] END AS v
+            FROM (SELECT *, list_sum([x::DOUBLE * x FOR x IN embedding]) AS s FROM embeddings)),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+        FROM v JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = vec_id
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
 }
