@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import decontaminate, langid, line_dedup, packing, warc
+from recallgrid.llm import chat, decontaminate, langid, licenses, line_dedup, packing, warc
 from recallgrid.llm.embedding_dedup import near_duplicate_vectors
 from recallgrid.llm.html_extract import main_texts
 from recallgrid.llm.near_dedup import near_duplicates
 from recallgrid.session import table
 
 
+def op1_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op2_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).drop("hilbert")
 
@@ -44,17 +52,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_links": op1_tool_links,
     "op2_edit_lines": op2_edit_lines,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_prefix_filter": op4_prefix_filter,
     "op5_template_classes": op5_template_classes,
     "op6_sorted_projections": op6_sorted_projections,
+    "op7_license_alignment": op7_license_alignment,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_byte_recurrence": op9_byte_recurrence,
     "op10_warc": op10_warc,
 }
 
 ORACLES = {
+    "op1_tool_links": """
+        WITH m AS (
+            SELECT *, role = 'user' AND turn > 0 AS answers,
+                CASE WHEN role = 'assistant' THEN '{"content":null,"role":"assistant","tool_calls":[{"function":{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text) || '},"name":"reply"},"id":"call-' || turn || '","type":"function"}]}'
+                    WHEN role = 'user' AND turn > 0 THEN '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"call-' || (turn - 1) || '"}'
+                    ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS j
+            FROM conversations)
+        SELECT m.conv_id, m.turn, CASE WHEN m.answers AND c.turn IS NOT NULL THEN c.turn ELSE m.turn END AS anchor_turn, CASE WHEN m.answers AND c.turn IS NOT NULL THEN 1 ELSE 0 END AS slot,
+            (m.role = 'assistant')::INT AS n_calls, (m.role = 'assistant' AND r.turn IS NOT NULL)::BIGINT AS n_answered, CASE WHEN m.answers THEN c.turn IS NOT NULL END AS linked,
+            CASE WHEN m.role = 'assistant' THEN (length(m.text) NOT BETWEEN 1 AND 1200)::INT + (length(m.text) < 1)::INT ELSE 0 END AS n_errors, sha256(m.j) AS json_sha256
+        FROM m LEFT JOIN m c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND c.role = 'assistant'
+            LEFT JOIN m r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1 AND r.answers
+    """,
     "op2_edit_lines": """
         WITH RECURSIVE p AS (
             SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(l[i], '[\\x09-\\x0D ]+', ' ', 'g'), ' ') AS body
