@@ -31,10 +31,10 @@ def projection(cells: int = CELLS, dimensions: int = DIMENSIONS, seed: int = 11)
 
 def coordinates(text: str | None, matrix: np.ndarray) -> np.ndarray:
     """Quantised projections of the square roots of a text's hashed four-gram frequencies; the middle for short texts."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    raw = (text or "").encode("utf-8", "surrogatepass")
     if len(raw) < 4:
         return np.full(matrix.shape[1], 1 << (BITS - 1), np.int64)
-    gram = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    gram = np.ndarray(len(raw) - 3, "<u4", raw, 0, (1,))  # the four bytes from each position on
     cell = (gram * np.uint32(2654435761)) >> np.uint32(32 - int(np.log2(len(matrix))))
     vector = np.sqrt(np.bincount(cell, minlength=len(matrix)).astype(np.float32) / len(cell))
     scaled = (vector @ matrix + 4) / 8 * (1 << BITS)  # a unit vector's projections are standard normal
@@ -72,43 +72,58 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 class Ids:
     """Token ids of whole texts, by way of the ids of their white-space separated words, which a worker remembers.
 
-    The vocabulary's rules never join across white space, so a text's ids are those of its words one after another.
-    Words are cut at ASCII white space alone; other white space stays inside a word and is dropped by the tokenizer.
+    The vocabulary's rules never join across white space, so a text's ids are those of its words one after another. A
+    word of letters alone goes straight to the tokenizer's model, in the byte alphabet; others through all its rules.
     """
 
+    odd = re.compile("[\x1c-\x1f]")  # white space to Python, but not to the vocabulary
     space = re.compile(r"[ \t\n\r\f\v]+")
-    plain = re.compile("[!-~\u00c0-\u012f]+")  # lower case here is one letter for one
+    letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when the memory was last full
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [c for c in range(256) if c not in printed]
+        self.alphabet = {c: c for c in printed} | {c: 256 + i for i, c in enumerate(others)}
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """A uint32 array for each text."""
-        cut = [self.space.split(t) if t else [] for t in texts]
+        cut = [(self.space.split(t) if self.odd.search(t) else t.split()) if t else [] for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            self.before, self.known = known, {}
+            known = self.known
         new = {w for words in cut for w in words if w not in known}
         if new:
             self._learn(new)
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in cut]
 
     def _learn(self, words: set[str]) -> None:
-        """Case is folded by the vocabulary, and a last comma or full stop after a letter is a token run of its own."""
-        known = self.known
-        stems = {}
+        known, before, slow = self.known, self.before, []
         for w in words:
-            ends = len(w) > 1 and w[-1] in ".," and w[-2].isalpha()
-            stem = w[:-1] if ends else w
-            stems[w] = (stem.lower() if self.plain.fullmatch(stem) else stem, w[-1] if ends else "")
-        new = list({x for pair in stems.values() for x in pair if x not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+                continue
+            stem, end = (w[:-1], w[-1]) if w[-1:] in (",", ".") else (w, "")  # a run of its own after a letter
+            if not self.letters.fullmatch(stem):
+                slow.append(w)
+                continue
+            low = stem.lower()
+            if (ids := known.get(low) or before.get(low)) is None:
+                spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+                ids = known[low] = np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
+            if end:
+                if end not in known:
+                    known[end] = np.array(self.tokenizer.encode(end, add_special_tokens=False).ids, "<u4").tobytes()
+                ids += known[end]
+            known[w] = ids
+        for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, end) in stems.items():
-            known[w] = known[stem] + known[end]
 
 
 _ids: dict[str, Ids] = {}
