@@ -79,13 +79,13 @@ def note_text(fields: Column, tags: Column, decks: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of ``[[target|alias]]``, trimmed, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def embedded_images(text: Column) -> Column:
     """Paths of ``![[x]]`` and then of ``![alt](x)``, each once."""
-    wiki = F.transform(F.regexp_extract_all(text, F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
-    marked = F.transform(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)), F.trim)
+    wiki = F.transform(F.regexp_extract_all(text, F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    marked = F.transform(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.concat(wiki, marked))
 
 

@@ -75,7 +75,7 @@ def card_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.unix_millis("ts").alias("review_ms"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("review_ms"),
         F.col("user_id").alias("card_id"),
         F.when(F.col("event_type") == "error", 1).otherwise(3).alias("ease"),
         (F.col("event_id") % 1200 + 1300).cast("int").alias("factor"),

@@ -99,7 +99,7 @@ def log_tail(spark: SparkSession, path: str, schema: str, n: int, order: str) ->
 def card_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, front, back, tags) of files that hold front, back and one tag per line, parted by lines of dashes."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n---\n", 3).alias("p"))
-    tags = F.filter(F.transform(F.split(F.coalesce(F.get("p", F.lit(2)), F.lit("")), "\n"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce(F.get("p", F.lit(2)), F.lit("")), "\n"), lambda x: F.trim(x)), lambda t: t != "")
     return files.select("path", F.get("p", F.lit(0)).alias("front"), F.get("p", F.lit(1)).alias("back"), tags.alias("tags"))
 
 
