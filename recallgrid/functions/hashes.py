@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recallgrid.functions.text import trimmed
+
 
 def short(text: Column, length: int) -> Column:
     return F.left(F.sha2(text, 256), F.lit(length))
@@ -47,4 +49,4 @@ def chunk_id(note_id: Column, kind: Column, suffix: Column) -> Column:
 
 
 def file_hash(content: Column) -> Column:
-    return short(F.trim(content), 12)
+    return short(trimmed(content), 12)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallgrid.functions.text import word_count
+from recallgrid.functions.text import trimmed, word_count
 
 # Fixed values of the rules.
 VAGUE = ("explain", "describe", "tell me about", "tell about", "discuss", "elaborate")
@@ -79,7 +79,7 @@ def code_only(back: Column) -> Column:
     state = F.struct(F.lit(False).alias("code"), F.lit(0).alias("words"), F.lit(False).alias("any"))
 
     def step(s: Column, line: Column) -> Column:
-        line = F.trim(line)
+        line = trimmed(line)
         opens = line.rlike(r"^(?:```|<pre>|<code>)")
         closes = line.rlike(r"^</(?:pre|code)>")
         inside = F.when(opens, ~s["code"]).when(closes, F.lit(False)).otherwise(s["code"])
@@ -114,7 +114,7 @@ def relevance(front: Column, back: Column, tags: Column) -> Column:
 
 def scores(front: Column, back: Column, tags: Column) -> dict[str, Column]:
     """The six dimensions and their weighted mean; relevance counts one and a half times."""
-    front, back = F.trim(front), F.trim(back)
+    front, back = trimmed(front), trimmed(back)
     tags = F.coalesce(tags, F.array().cast("array<string>"))
     out = {
         "clarity": clarity(front),
@@ -139,7 +139,7 @@ def issues(*found: tuple[Column, Column]) -> Column:
 def content_issues(text: Column, label: str) -> Column:
     """Empty, short, long (in bytes) and unmatched code fences."""
     at, size = label.lower(), F.octet_length(text)
-    empty = F.trim(text) == ""
+    empty = trimmed(text) == ""
     fences = F.size(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"^\s*```")))
     return issues(
         (empty, issue("error", f"{label} side is empty", at)),
@@ -158,7 +158,7 @@ def format_issues(text: Column, label: str) -> Column:
 
 
 def tag_issues(tags: Column) -> Column:
-    odd = F.filter(tags, lambda t: (F.trim(t) == "") | ~t.rlike(r"^[\p{L}\p{N}_:/.-]+$"))
+    odd = F.filter(tags, lambda t: (trimmed(t) == "") | ~t.rlike(r"^[\p{L}\p{N}_:/.-]+$"))
     return issues(
         (F.size(tags) > MOST_TAGS, issue("warning", f"More than {MOST_TAGS} tags", "tags")),
         (F.size(odd) > 0, issue("error", "Empty tag or tag with invalid characters", "tags")),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.text import trimmed
+
 # Fixed values of the rules.
 META_PREFIXES = ("difficulty::", "lang::", "source::", "context::", "skill::")
 TOPIC_PREFIXES = ("kotlin_", "android_", "cs_", "bias_")
@@ -21,19 +23,19 @@ def is_topic(tag: Column) -> Column:
 
 def canonical(tag: Column, mapped: Column | None = None) -> Column:
     """Meta and topic tags stay, known ones become their mapping, others kebab case."""
-    tag = F.trim(tag)
+    tag = trimmed(tag)
     own = F.when(is_meta(tag) | is_topic(tag), tag)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(tag), "_|::|/", "-"), "-{2,}", "-"), "^-+|-+$", "")
     return F.coalesce(own, mapped, bare) if mapped is not None else F.coalesce(own, bare)
 
 
 def canonical_list(tags: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, canonical), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: canonical(t)), lambda t: t != "")))
 
 
 def problems(tag: Column) -> Column:
     """What is wrong with a tag, as messages in a fixed order."""
-    tag = F.trim(tag)
+    tag = trimmed(tag)
     parts = F.split(tag, "::")
     head = F.get(parts, F.lit(0))
     second = F.get(parts, F.lit(1))
@@ -68,7 +70,7 @@ def suggestions(tags: DataFrame, vocabulary: DataFrame, most: int = 3, within: i
     relation has the same first letter. Both sides are exploded to those keys and joined by them.
     """
     known = vocabulary.select(F.col("tag").alias("suggestion")).distinct()
-    left = tags.select(F.trim("tag").alias("tag")).where("tag <> ''").distinct()
+    left = tags.select(trimmed(F.col("tag")).alias("tag")).where("tag <> ''").distinct()
     rows = left.join(known, F.left(F.lower("tag"), F.lit(1)) == F.left(F.lower("suggestion"), F.lit(1)))
     size = F.octet_length("tag")
     near = F.explode(F.sequence(size - within, size + within))
@@ -82,5 +84,5 @@ def suggestions(tags: DataFrame, vocabulary: DataFrame, most: int = 3, within: i
 def audit(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(tag, normalized, valid, issues, suggestions) of each distinct tag."""
     hints = suggestions(tags, vocabulary).groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "suggestion"))), lambda s: s["suggestion"]).alias("suggestions"))
-    rows = tags.select(F.trim("tag").alias("tag")).distinct().withColumns({"normalized": canonical(F.col("tag")), "issues": problems(F.col("tag"))})
+    rows = tags.select(trimmed(F.col("tag")).alias("tag")).distinct().withColumns({"normalized": canonical(F.col("tag")), "issues": problems(F.col("tag"))})
     return rows.join(hints, "tag", "left").withColumns({"valid": F.size("issues") == 0, "suggestions": F.coalesce("suggestions", F.array().cast("array<string>"))})

@@ -19,6 +19,11 @@ def replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def html_unescape(text: Column) -> Column:
     return replaced(text, ENTITIES)
 
@@ -38,7 +43,7 @@ def strip_html(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """Lines trimmed and folded, blank ones dropped."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: trimmed(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -48,7 +53,7 @@ def html_to_markdown(text: Column) -> Column:
     for level in (1, 2, 3):
         text = F.regexp_replace(text, rf"<h{level}[^>]*>", "#" * level + " ")
     text = F.regexp_replace(text, r"<li[^>]*>", "- ")
-    return F.trim(F.regexp_replace(text, r"<[^>]+>", ""))
+    return trimmed(F.regexp_replace(text, r"<[^>]+>", ""))
 
 
 def field_role(name: Column) -> Column:
@@ -79,13 +84,13 @@ def note_text(fields: Column, tags: Column, decks: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of ``[[target|alias]]``, trimmed, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: trimmed(x))
 
 
 def embedded_images(text: Column) -> Column:
     """Paths of ``![[x]]`` and then of ``![alt](x)``, each once."""
-    wiki = F.transform(F.regexp_extract_all(text, F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
-    marked = F.transform(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)), lambda x: F.trim(x))
+    wiki = F.transform(F.regexp_extract_all(text, F.lit(r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: trimmed(x))
+    marked = F.transform(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)), lambda x: trimmed(x))
     return F.array_distinct(F.concat(wiki, marked))
 
 
@@ -99,14 +104,14 @@ def image_urls(html: Column, base: Column) -> Column:
 
 def slug(text: Column, separator: str = "-", most: int = 50) -> Column:
     """Lower case, runs of all but letters and digits as one separator; cut at a separator if too long."""
-    low = F.lower(F.translate(text, "ßàáâäãåèéêëìíîïòóôöõùúûüñç", "saaaaaaeeeeiiiiooooouuuunc"))
+    low = F.translate(F.lower(text), "ßàáâäãåèéêëìíîïòóôöõùúûüñç", "saaaaaaeeeeiiiiooooouuuunc")
     full = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9]+", separator), rf"^{separator}+|{separator}+$", "")
     cut = F.regexp_replace(F.left(full, F.lit(most)), rf"{separator}[^{separator}]*$", "")
     return F.when(F.char_length(full) <= most, full).otherwise(cut)
 
 
 def title(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    return F.nullif(trimmed(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
 
 
 def frontmatter(text: Column) -> Column:
@@ -120,13 +125,13 @@ def body(text: Column) -> Column:
 def sections(text: Column) -> Column:
     """Sections at headings as (heading, level, content); what stands before the first has an empty heading."""
     parts = F.split(text, r"(?m)(?=^#{1,6}\s+.+$)")
-    parts = F.filter(parts, lambda x: F.trim(x) != "")
+    parts = F.filter(parts, lambda x: trimmed(x) != "")
     heading = lambda x: F.regexp_extract(x, r"\A#{1,6}\s+(.+)", 1)
-    return F.transform(parts, lambda x: F.struct(F.trim(heading(x)).alias("heading"), F.char_length(F.regexp_extract(x, r"\A(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_replace(x, r"\A#{1,6}\s+.+\n?", "")).alias("content")))
+    return F.transform(parts, lambda x: F.struct(trimmed(heading(x)).alias("heading"), F.char_length(F.regexp_extract(x, r"\A(#{1,6})\s", 1)).alias("level"), trimmed(F.regexp_replace(x, r"\A#{1,6}\s+.+\n?", "")).alias("content")))
 
 
 def preview_label(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.replace(F.left(F.trim(text), F.lit(80)), F.lit("\n"), F.lit(" ")), F.lit("")), F.lit("asset"))
+    return F.coalesce(F.nullif(F.replace(F.left(trimmed(text), F.lit(80)), F.lit("\n"), F.lit(" ")), F.lit("")), F.lit("asset"))
 
 
 def truncated(text: Column, most: int) -> Column:
