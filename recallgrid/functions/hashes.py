@@ -20,8 +20,8 @@ def metadata_hash(text: Column) -> Column:
     return short(text, 6)
 
 
-def guid(text: Column) -> Column:
-    return short(text, 32)
+def guid(slug: Column, source: Column) -> Column:
+    return short(F.concat_ws(":", slug, source), 32)
 
 
 def parts_hash(model: str, parts: Column) -> Column:

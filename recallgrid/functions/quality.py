@@ -27,6 +27,8 @@ ALIVE_FRONTS = (
 )
 DIMENSIONS = ("clarity", "atomicity", "testability", "memorability", "accuracy", "relevance")
 SHORT, LONG, MOST_TAGS = 10, 5000, 20
+FORBIDDEN = ("script", "style", "iframe", "object", "applet")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
 def _any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -157,6 +159,32 @@ def format_issues(text: Column, label: str) -> Column:
     )
 
 
+def html_issues(text: Column, label: str) -> Column:
+    """Forbidden tags, and tags that aren't closed in the order in which they were opened."""
+    at = label.lower()
+    kind = "array<struct<severity:string,message:string,location:string>>"
+    message = lambda *parts: F.array(issue("error", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), at))
+    none = F.array().cast(kind)
+
+    def step(s: Column, raw: Column) -> Column:
+        closing = raw.startswith("/")
+        name = F.lower(F.regexp_extract(raw, r"^/?([^\s/]*)", 1))
+        top = F.element_at(s["open"], -1)
+        counts = (name != "") & ~raw.startswith("!")
+        plain = counts & ~name.isin(*VOID) & ~raw.endswith("/")
+        empty = F.size(s["open"]) == 0
+        same = plain & closing & ~empty & (F.when(~empty, top) == name)
+        stack = F.when(plain & ~closing, F.concat(s["open"], F.array(name))).when(same, F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        bad = F.when(counts & name.isin(*FORBIDDEN), message("Forbidden HTML tag <", name, f"> in {at}")).otherwise(none)
+        odd = F.when(plain & closing & empty, message("Unexpected closing tag </", name, f"> in {at}")).when(plain & closing & ~same, message("Mismatched closing tag </", name, ">, expected </", F.when(~empty, top), f"> in {at}")).otherwise(none)
+        return F.struct(stack.alias("open"), F.concat(s["found"], bad, odd).alias("found"))
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), none.alias("found"))
+    end = F.aggregate(F.regexp_extract_all(text, F.lit("<([^>]*)>"), F.lit(1)), start, step)
+    left = F.transform(end["open"], lambda name: issue("error", F.concat(F.lit("Unclosed tag <"), name, F.lit(f"> in {at}")), at))
+    return F.concat(end["found"], left)
+
+
 def tag_issues(tags: Column) -> Column:
     odd = F.filter(tags, lambda t: (trimmed(t) == "") | ~t.rlike(r"^[\p{L}\p{N}_:/.-]+$"))
     return issues(
@@ -169,7 +197,7 @@ def tag_issues(tags: Column) -> Column:
 def card_issues(front: Column, back: Column, tags: Column) -> Column:
     """All validators' issues, in their order; a card is valid without one of severity error."""
     tags = F.coalesce(tags, F.array().cast("array<string>"))
-    return F.concat(content_issues(front, "Front"), content_issues(back, "Back"), format_issues(front, "Front"), format_issues(back, "Back"), tag_issues(tags))
+    return F.concat(content_issues(front, "Front"), content_issues(back, "Back"), format_issues(front, "Front"), format_issues(back, "Back"), html_issues(front, "Front"), html_issues(back, "Back"), tag_issues(tags))
 
 
 def valid(found: Column) -> Column:

@@ -103,13 +103,45 @@ def image_urls(html: Column, base: Column) -> Column:
 
 
 def slug(text: Column, separator: str = "-", most: int = 50) -> Column:
-    """Lower case, runs of all but letters and digits as one separator; cut at a separator if too long."""
+    """Lower case letters and digits of the Latin alphabet; blanks and ``_ . / \\ -`` part words, all else is dropped.
+
+    Accents go by a table of Latin letters. A slug that is too long is cut at its last separator within ``most``.
+    """
     low = F.translate(F.lower(text), "ßàáâäãåèéêëìíîïòóôöõùúûüñç", "saaaaaaeeeeiiiiooooouuuunc")
-    full = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9]+", separator), rf"^{separator}+|{separator}+$", "")
+    bare = F.regexp_replace(F.regexp_replace(low, r"[ _./\\\\-]", separator), rf"[^a-z0-9{separator}]", "")
+    full = F.regexp_replace(F.regexp_replace(bare, rf"{separator}{{2,}}", separator), rf"^{separator}+|{separator}+$", "")
     cut = F.regexp_replace(F.left(full, F.lit(most)), rf"{separator}[^{separator}]*$", "")
     return F.when(F.char_length(full) <= most, full).otherwise(cut)
 
 
+def card_slug(topic: Column, keyword: Column, index: Column, lang: Column, most: int = 100) -> Column:
+    """``topic-keyword-index-lang``; both halves are cut if it would be too long."""
+    end = F.concat_ws("-", F.lit(""), index.cast("string"), F.lower(lang))
+    room = F.lit(most) - F.char_length(end)
+    t, k = slug(topic), slug(keyword)
+    half = F.floor(room / 2).cast("int")
+    cut = lambda x: F.when(F.char_length(x) <= half, x).otherwise(F.regexp_replace(F.left(x, half), "-[^-]*$", ""))
+    base = F.concat_ws("-", t, k)
+    return F.concat(F.when(F.char_length(base) <= room, base).otherwise(F.concat_ws("-", cut(t), cut(k))), end)
+
+
+def slug_parts(value: Column) -> Column:
+    """(topic, keyword, index, lang) of a card slug; one of another form is all topic."""
+    parts = F.split(value, "-")
+    n = F.size(parts)
+    formed = (n >= 3) & value.rlike("-[0-9]{1,9}-[A-Za-z]{2}$")
+    rest = F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0)))
+    middle = F.greatest(F.floor(F.size(rest) / 2).cast("int"), F.lit(1))
+    topic = F.array_join(F.slice(rest, F.lit(1), middle), "-")
+    keyword = F.array_join(F.slice(rest, middle + 1, F.greatest(F.size(rest) - middle, F.lit(0))), "-")
+    return F.struct(
+        F.when(formed, topic).otherwise(value).alias("topic"),
+        F.when(formed, keyword).otherwise("").alias("keyword"),
+        F.when(formed, F.get(parts, n - 2).try_cast("int")).otherwise(0).alias("index"),
+        F.when(formed, F.get(parts, n - 1)).otherwise("").alias("lang"),
+    )
+
+
 def title(text: Column) -> Column:
     return F.nullif(trimmed(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
 

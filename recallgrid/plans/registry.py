@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes, quality, tags, vectors
 from recallgrid.functions import text as tx
-from recallgrid.operators import duplicates, filters, graph, reports, search, sync, topics, worklist
+from recallgrid.operators import documents, duplicates, filters, graph, reports, search, sync, topics, worklist
 from recallgrid.session import table
 from recallgrid.sources import catalog as c
 
@@ -412,10 +412,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("hsh_content_hashes", """
-    SELECT doc_id, left(sha256('m' || chr(0) || text), 16) AS parts_hash, left(sha256(text || '|' || lang), 12) AS content_hash, left(sha256(text), 6) AS metadata_hash, left(sha256(text), 32) AS guid FROM documents""")
+    SELECT doc_id, left(sha256('m' || chr(0) || text), 16) AS parts_hash, left(sha256(text || '|' || lang), 12) AS content_hash, left(sha256(text), 6) AS metadata_hash, left(sha256(text || ':' || lang), 32) AS guid FROM documents""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", hashes.parts_hash("m", F.array(t)).alias("parts_hash"), hashes.content_hash(t, F.col("lang")).alias("content_hash"), hashes.metadata_hash(t).alias("metadata_hash"), hashes.guid(t).alias("guid"))
+    return table(spark, d, "documents").select("doc_id", hashes.parts_hash("m", F.array(t)).alias("parts_hash"), hashes.content_hash(t, F.col("lang")).alias("content_hash"), hashes.metadata_hash(t).alias("metadata_hash"), hashes.guid(t, F.col("lang")).alias("guid"))
 
 
 @query("idx01_changed_chunks", "SELECT doc_id AS note_id, left(sha256('m' || chr(0) || text), 16) AS content_hash FROM documents WHERE doc_id % 3 <> 0")
@@ -491,3 +491,59 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     SELECT (SELECT count(*) FROM documents) AS notes, 0::BIGINT AS with_frontmatter, count(*) AS links, count(*) FILTER (t NOT IN (SELECT doc_id FROM documents)) AS broken_links, 0::BIGINT AS orphans FROM l""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return reports.vault_stats(_vault(spark, d))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown files from conversations: each turn is a section of its own file."""
+    t = table(spark, d, "conversations")
+    return t.select(F.concat_ws("-", F.lit("v/c"), "conv_id", F.concat("turn", F.lit(".md"))).alias("path"), F.concat(F.lit("# "), "role", F.lit("\n"), "text").alias("content"))
+
+
+@query("rag01_chunks", """
+    WITH f AS (SELECT 'v/c-' || conv_id || '-' || turn || '.md' AS path, 'c-' || conv_id || '-' || turn AS stem, role, trim(text) AS t, trim('# ' || role || chr(10) || text) AS w FROM conversations)
+    SELECT path, stem || '_' || role || '_' || left(sha256(path), 8) AS chunk_id, 'section' AS kind, length(t) AS n FROM f WHERE strlen(t) >= 50 AND length(t) <= 2000
+    UNION ALL SELECT path, stem || '_full_' || left(sha256(path), 8), 'full_content', length(w) FROM f WHERE strlen(t) < 50 AND strlen(w) >= 50""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunks(_files(spark, d)).where(F.char_length("content") <= 2000).select("path", "chunk_id", "kind", F.char_length("content").cast("long").alias("n"))
+
+
+@query("rag03_context", "WITH h AS (SELECT conv_id, turn, length(text) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n, text FROM conversations) SELECT conv_id AS path, turn AS chunk_id, score, left(text, 300) AS content FROM h WHERE n = 1 ORDER BY score DESC, turn LIMIT 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("chunk_id"), F.char_length("text").cast("long").alias("score"), F.col("text").alias("content"))
+    return documents.context(hits, 20, 300)
+
+
+@query("gen02_previews", "SELECT 'v/c-' || conv_id || '-' || turn || '.md' AS path, 'c-' || conv_id || '-' || turn || '-1' AS slug, role AS title FROM conversations WHERE trim(text) <> ''")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return documents.previews(_files(spark, d)).select("path", "slug", "title")
+
+
+@query("val03_html_issues", "SELECT page_id, 'Forbidden HTML tag <script> in back' AS message FROM pages WHERE contains(html, '<script>')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    found = pages.select("page_id", F.explode(F.array_distinct(quality.html_issues(F.col("html"), "Back"))).alias("i"))
+    return found.where("i.message like 'Forbidden HTML tag <script>%'").select("page_id", "i.message")
+
+
+@query("str13_card_slugs", "SELECT p_partkey, lower(replace(replace(p_type, ' ', '-'), '_', '-')) || '-' || trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[ _./-]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '-') || '-' || p_size || '-en' AS slug FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", tx.card_slug(F.col("p_type"), F.col("p_name"), F.col("p_size"), F.lit("EN")).alias("slug"))
+
+
+@query("set01_orphans", "SELECT o_custkey AS k, 'local' AS side FROM orders WHERE o_custkey NOT IN (SELECT l_suppkey FROM lineitem) GROUP BY 1 UNION ALL SELECT l_suppkey, 'remote' FROM lineitem WHERE l_suppkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sync.orphans(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")), "k")
+
+
+@query("jn16_uncovered", "SELECT left(sha256('gen:doc-' || doc_id || ':uncovered_topic'), 16) AS id, 'doc-' || doc_id AS slug FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("doc-"), "doc_id")
+    return worklist.uncovered(table(spark, d, "documents").select(name.alias("path")), table(spark, d, "labels").select(name.alias("source_path"))).select("id", "slug")
+
+
+@query("jn18_stale", "SELECT left(sha256('stale:d' || doc_id || ':stale_content'), 16) AS id, 'd' || doc_id AS slug FROM documents WHERE doc_id % 4 = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    stored = F.when(F.col("doc_id") % 4 == 1, "old").otherwise(hashes.file_hash(F.col("text")))
+    cards = docs.select(F.concat(F.lit("d"), "doc_id").alias("slug"), F.col("doc_id").cast("string").alias("source_path"), stored.alias("content_hash"))
+    return worklist.stale(cards, docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).select("id", "slug")

@@ -35,6 +35,9 @@ def test_text_functions(spark):
     assert v(tx.image_urls(F.lit('<img src="/a.png"><IMG alt=1 src=\'b.png\'><img src="//h/c"><img src="http://z/d">'), F.lit("http://h/p/q"))) == ["http://h/a.png", "http://h/p/b.png", "https://h/c", "http://z/d"]
     assert v(tx.slug(F.lit("Straße & Él!  x"))) == "strase-el-x"
     assert v(tx.slug(F.lit("word " * 20))) == "-".join(["word"] * 10)[:49]
+    assert v(tx.card_slug(F.lit("Rust & Go"), F.lit("Own_ership"), F.lit(3), F.lit("EN"))) == "rust-go-own-ership-3-en"
+    assert len(v(tx.card_slug(F.lit("topic " * 30), F.lit("word " * 30), F.lit(3), F.lit("en")))) <= 100
+    assert tuple(v(tx.slug_parts(F.lit("a-b-c-d-12-en")))) == ("a-b", "c-d", 12, "en") and tuple(v(tx.slug_parts(F.lit("plain-x")))) == ("plain-x", "", 0, "")
     assert v(tx.title(F.lit("x\n# Head \ny"))) == "Head" and v(tx.title(F.lit("no"))) is None
     assert v(tx.frontmatter(F.lit("---\na: 1\n---\nbody"))) == "a: 1" and v(tx.body(F.lit("---\na: 1\n---\nbody"))) == "body"
     assert [tuple(s) for s in v(tx.sections(F.lit("pre\n# A\none\n## B\ntwo")))] == [("", 0, "pre"), ("A", 1, "one"), ("B", 2, "two")]
@@ -88,6 +91,17 @@ def test_issues(spark):
     assert not value(spark, quality.valid(quality.card_issues(F.lit(""), F.lit("long enough text"), F.array().cast("array<string>"))))
 
 
+def test_html_issues(spark):
+    found = value(spark, quality.html_issues(F.lit("<b><i>x</b></i></b><br><img/><script></script></p><!-- a --><u>"), "Back"))
+    assert [i["message"] for i in found] == [
+        "Mismatched closing tag </b>, expected </i> in back",
+        "Forbidden HTML tag <script> in back",
+        "Forbidden HTML tag <script> in back",
+        "Unexpected closing tag </p> in back",
+        "Unclosed tag <u> in back",
+    ]
+
+
 def test_tags(spark):
     v = lambda t: value(spark, tags.canonical(F.lit(t)))
     assert [v(t) for t in (" My_Tag::X ", "skill::dead", "cs_x", "a//b", "cognitive_bias")] == ["my-tag-x", "skill::dead", "cs_x", "a-b", "cognitive_bias"]

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import duplicates, filters, graph, reports, search, sync, topics, worklist
+from recallgrid.operators import documents, duplicates, filters, graph, reports, search, sync, topics, worklist
 from recallgrid.operators.components import components
 from recallgrid.sources import collection as source
 from recallgrid.streaming import reviews as streams
@@ -235,3 +235,27 @@ def test_review_streams(spark, tmp_path):
     streams.each_snapshot(lambda df: seen.append(df.count()))(spark.range(3), 0)
     streams.each_snapshot(lambda df: seen.append(df.count()))(spark.range(0), 1)
     assert seen == [3]
+
+
+def test_documents(spark):
+    long = "word " * 20
+    files = spark.createDataFrame([("n/a.md", f"# Intro\n{long}\n## Code example\n```py\nx = 1\n```\n## Tiny\nx"), ("n/b.md", long), ("n/c.md", "short")], "path string, content string")
+    got = {(r["path"], r["kind"]) for r in documents.chunks(files).collect()}
+    assert got == {("n/a.md", "code_example"), ("n/a.md", "section"), ("n/b.md", "full_content")}
+    hits = spark.createDataFrame([("a", 0.9, "1", "x" * 900), ("a", 0.8, "2", "y"), ("b", 0.7, "3", "z")], "path string, score double, chunk_id string, content string")
+    assert [(r["path"], len(r["content"])) for r in documents.context(hits, 2).collect()] == [("a", 500), ("b", 1)]
+    cards = documents.previews(spark.createDataFrame([("v/My note.md", "---\nt: 1\n---\nintro\n# A\none < two\n\nthree\n# B\n")], "path string, content string")).collect()
+    assert [(r["slug"], r["title"], r["html"]) for r in cards] == [("my-note-1", "My note", "<p>intro</p>"), ("my-note-2", "A", "<p>one &lt; two</p><p>three</p>")]
+    text = '<img src="a.PNG"><img src=http://x/b.png><a href="d/e.pdf?x=1">p</a>[sound:c.mp3][sound:../no.mp3]<video src="a.PNG"><img src=f.xyz>'
+    refs = spark.range(1).select(documents.media_refs(F.lit(text)).alias("r")).first()["r"]
+    assert [(r["path"], r["modality"], r["label"]) for r in refs] == [("a.PNG", "image", "a.PNG"), ("d/e.pdf", "document", "e.pdf"), ("c.mp3", "audio", "c.mp3")]
+    assert rows(spark.createDataFrame([(0.96,), (0.9,), (0.7,), (0.1,)], "s double").select(documents.duplicate_advice(F.col("s")))) == [("create",), ("merge",), ("review",), ("skip",)]
+
+
+def test_model_adapters(spark):
+    texts = spark.createDataFrame([("ab",), (None,), ("abc",)], "text string")
+    assert rows(texts.select(documents.embedder(lambda xs: [[float(len(x))] for x in xs])(F.col("text")))) == [(None,), ([2.0],), ([3.0],)]
+    assert rows(texts.select(documents.reranker(lambda q, xs: [float(len(q) * len(x)) for x in xs], "qq")(F.col("text")))) == [(4.0,), (6.0,), (None,)]
+    cards = spark.createDataFrame([(f"s{i}",) for i in range(25)], "slug string")
+    scored = documents.reviewed(cards, lambda part: [{"slug": c["slug"], "dimension": "clarity", "score": 0.1 * len(part)} for c in part if len(part) <= 10], "slug string, dimension string, score double")
+    assert scored.count() == 25 and {r["tier"] for r in documents.review_items(scored).collect()} <= {2, 3}
