@@ -1,36 +1,31 @@
-"""Shared pieces of the corpus operators: written tables, exact components and shingle hashes."""
+"""Shared pieces of the corpus operators: rows by id, runs of sorted batches and shingle hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.session import shared_folder
+#: Rows of ids that may be broadcast.
+BROADCAST_ROWS = 500_000
 
-def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The same rows, read from a table in the shared folder.
 
-    Cuts the lineage: a lost executor costs the tasks that read the table, never the stages before it.
-    """
-    spark = spark or df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
+def chosen(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``ids``, a written table of one column: by broadcast if it is counted as small,
+    so that wide rows stay where they are, else by a shuffle of both."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
 
 
-def discard(df: DataFrame) -> None:
-    """Removes a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of some rows, so that what is made of a part in Python stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -51,42 +46,6 @@ def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield held
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, component): the smallest id reachable from each id that has a link.
-
-    Alternating large-star and small-star rounds; each is one grouped minimum and one join on ids, so no component is
-    ever gathered in a task. Ends when a round changes no edge; the number of rounds grows with the logarithm of the
-    number of ids. Self-links and repeated links are harmless, an empty table gives an empty table.
-    """
-    ends = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        before, edges = edges, written(small)
-        was, mark = mark, _mark(edges)
-        discard(before)
-        if mark == was:
-            break
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
-    return row["n"], row["h"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over a uint64 array (wraps around)."""
     x = x.copy()

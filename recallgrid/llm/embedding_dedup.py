@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallgrid.llm.common import components, runs, written
+from recallgrid.llm.common import runs
+from recallgrid.operators.components import components
+from recallgrid.tables import written
 
 PASSES, SIGNS, NEIGHBOURS, BLOCK = 24, 32, 32, 1024
 

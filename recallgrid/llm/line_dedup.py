@@ -3,31 +3,33 @@
 Two lines are linked when their edit distance is at most ``tau``. A line is cut into tau + 1 segments; by the pigeonhole
 principle a partner has one of them as a substring, at a place that the lengths bound. Each distinct line is indexed by
 its segments and probes the substrings that a shorter or equally long partner's segments could match; both sides are
-plain rows that Spark joins by hash. Candidates are verified by banded bit-parallel edit distance. Equal lines are
-folded before the join, so copies never meet in it.
+plain rows that Spark joins by hash. Entries carry a bag of the line's characters, counted in sixteen buckets; bags
+of lines within ``tau`` edits differ by 2 tau at most, which drops most candidates exactly. The rest is verified by
+banded bit-parallel edit distance. Equal lines are folded before, so copies never meet in the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import components, discard, written
+from recallgrid.llm.common import chosen, slices
+from recallgrid.operators.components import components
+from recallgrid.tables import discard, written
 
 #: Edits allowed, and code points that a line needs for other than exact matches: below, two edits change too much of it.
 TAU, LEAST = 2, 20
-SPACE = r"[\x{09}-\x{0D} ]+"
-
-
-def canonical(line: Column) -> Column:
-    """What makes two lines the same: ASCII white space folded and trimmed; case and all else counts."""
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+#: Entries of a key beyond which Spark joins them.
+HOT = 2048
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -100,6 +102,11 @@ def places(length: int, own: int, k: int, tau: int) -> range:
     return range(low, high + 1)
 
 
+def canonical(line: bytes) -> bytes:
+    """What makes two lines the same: ASCII white space folded and trimmed; case and all else counts."""
+    return b" ".join(line.split())
+
+
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
     """(line_id, n_copies, n_links, head_doc, head_line) for each distinct line that is not blank.
 
@@ -108,13 +115,9 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     space folded; those of under ``least`` code points only match exactly. Null and empty texts have no line. Repeated
     rows count as copies. Rows with a null id count too, and come first as heads.
     """
-    distinct = written(
-        lines_of(docs, id_col, text_col)
-        .where("line_id is not null")
-        .groupBy("line_id")
-        .agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.min(canonical(F.col("line"))).alias("body"))
-    )
-    links = _links(distinct, tau, least)
+    places = lines_of(docs, id_col, text_col)
+    distinct = written(places.groupBy("line_id").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "line_no")).alias("first")))
+    links = _links(docs, text_col, tau, least)
     label = components(links, "a", "b").select(F.col("id").alias("line_id"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
     linked = written(distinct.select("line_id", "first").join(label, "line_id").join(degree, "line_id"))
@@ -127,11 +130,29 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, line_id) for each line of each text, numbered from 0; blank lines have no line_id."""
+    """(doc_id, line_no, line_id, size) for each line of each text that is not blank, numbered from 0; size in code points."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    body = canonical(F.col("line"))
-    return lines.withColumn("line_id", F.when(body != "", F.xxhash64(body)))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of, number, ids, sizes = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else ()):
+                    if body := canonical(line):
+                        of.append(i)
+                        number.append(k)
+                        ids.append(line_id(body))
+                        sizes.append(len(body) if body.isascii() else len(body.decode("utf-8", "surrogatepass")))
+            found = batch.column("doc_id").take(pa.array(of, pa.int64()))
+            arrays = [found, pa.array(number, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line_no", "line_id", "size"])
+
+    return rows.mapInArrow(lines, "doc_id long, line_no int, line_id long, size int")
+
+
+def line_id(body: bytes) -> int:
+    x = xxhash.xxh3_64_intdigest(body)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -140,57 +161,146 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept marks the head's own place. Defined as ``near_duplicate_lines``.
     """
     classes = near_duplicate_lines(docs, id_col, text_col, tau, least)
-    lines = lines_of(docs, id_col, text_col).where("line_id is not null").drop("line")
     kept = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
-    return lines.join(classes, "line_id").drop("line_id").withColumn("kept", kept)
-
-
-def _links(distinct: DataFrame, tau: int, least: int) -> DataFrame:
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            ids: list[int] = []
-            values: list[int] = []
-            sides: list[bool] = []
-            for line_id, body in zip(batch["line_id"], batch["body"], strict=True):
-                raw, n = body.encode("utf-32-le", "surrogatepass"), len(body)
-                own = len(values)
-                for k, (at, size) in enumerate(segments(n, tau)):
-                    values.append(h(raw[4 * at : 4 * (at + size)], n * 64 + k))
-                sides += [True] * (len(values) - own)
-                probes = len(values)
-                for m in range(max(least, n - tau), n + 1):
-                    for k, (_, size) in enumerate(segments(m, tau)):
-                        for at in places(n, m, k, tau):
-                            if m < n or at != segments(n, tau)[k][0]:
-                                values.append(h(raw[4 * at : 4 * (at + size)], m * 64 + k))
-                sides += [False] * (len(values) - probes)
-                ids += [line_id] * (len(values) - own)
-            yield pd.DataFrame({"key": np.array(values, np.uint64).view(np.int64), "line_id": np.array(ids, np.int64), "indexed": np.array(sides, bool)})
+    return lines_of(docs, id_col, text_col).drop("size").join(classes, "line_id").drop("line_id").withColumn("kept", kept)
+
+
+@lru_cache(8192)
+def _cuts(length: int, tau: int, least: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, seed, indexed) of all substrings that a line of ``length`` is indexed by or probes with."""
+    own = segments(length, tau)
+    out = [(at, at + size, length * 64 + k, True) for k, (at, size) in enumerate(own)]
+    for m in range(max(least, length - tau), length + 1):
+        for k, (_, size) in enumerate(segments(m, tau)):
+            out += [(at, at + size, m * 64 + k, False) for at in places(length, m, k, tau) if m < length or at != own[k][0]]
+    return out
+
+
+def bags(lines: list[bytes]) -> np.ndarray:
+    """For each line, given as the low bytes of its characters, their counts in sixteen buckets of four bits each."""
+    of = np.repeat(np.arange(0, 16 * len(lines), 16), [len(x) for x in lines])
+    counts = np.bincount((np.frombuffer(b"".join(lines), np.uint8) & 15) + of, minlength=16 * len(lines)).reshape(-1, 16)
+    return ((counts & 15).astype(np.uint64) << _NIBBLES).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+_NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def bags_within(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+    """Whether bags can be of lines within ``tau`` edits: an edit moves one count down and one up at most."""
+    x, y = ((v.view(np.uint64)[..., None] >> _NIBBLES & np.uint64(15)).astype(np.int8) for v in (a, b))
+    d = np.abs(x - y)
+    return np.minimum(d, 16 - d).sum(axis=-1, dtype=np.int64) <= 2 * tau
+
+
+def _keys(batches: Iterator[pa.RecordBatch], tau: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(key, line_id, bag) of the distinct lines of each batch; the lowest bit of a key tells whether it is of the index."""
+    h = xxhash.xxh3_64_intdigest
+    for batch in slices(batches):
+        seen: set[int] = set()
+        keys, ids, low, sizes = [], [], [], []
+        for text in batch.column(0).to_pylist():
+            for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+                body = canonical(line)
+                if len(body) < least or (own := line_id(body)) in seen:
+                    continue
+                seen.add(own)
+                if body.isascii():
+                    cuts, codes = _cuts(len(body), tau, least), body
+                    keys += [h(body[i:j], seed) | 1 if indexed else h(body[i:j], seed) & -2 for i, j, seed, indexed in cuts]
+                elif len(chars := body.decode("utf-8", "surrogatepass")) >= least:
+                    cuts, codes = _cuts(len(chars), tau, least), chars.encode("utf-32-le", "surrogatepass")[::4]
+                    parts = ((chars[i:j].encode("utf-8", "surrogatepass"), seed, indexed) for i, j, seed, indexed in cuts)
+                    keys += [h(part, seed) | 1 if indexed else h(part, seed) & -2 for part, seed, indexed in parts]
+                else:
+                    continue
+                ids.append(own)
+                low.append(codes)
+                sizes.append(len(cuts))
+        arrays = [np.array(keys, np.uint64).view(np.int64), *(np.repeat(x, sizes) for x in (np.array(ids, np.int64), bags(low)))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "line_id", "bag"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """From entries sorted by key: (a, b, null, null) for each index entry with each other entry of its key, if their
+    bags are near. Keys with more than HOT entries give these back as (line_id, null, key, bag), for Spark to join.
+    """
+    names = ["a", "b", "key", "bag"]
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in chain(batches, [None]):
+        key, ids, sketch = held if batch is None else (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True))
+        group = key >> 1
+        starts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1)) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(key))
+        held = [np.zeros(0, np.int64)] * 3
+        if batch is not None and len(starts) and len(key) - starts[-1] <= HOT:  # the last key may go on
+            held = [x[starts[-1] :] for x in (key, ids, sketch)]
+            starts, ends = starts[:-1], ends[:-1]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        # Of most keys all entries are of one line, or none is of the index.
+        live = ends - starts > 1
+        if live.any():
+            full = ends[-1]
+            live &= np.minimum.reduceat(ids[:full], starts) < np.maximum.reduceat(ids[:full], starts)
+            live &= np.bitwise_or.reduceat(key[:full], starts) & 1 == 1
+        for i in np.flatnonzero(live).tolist():
+            part = slice(starts[i], ends[i])
+            if ends[i] - starts[i] > HOT:
+                none = pa.nulls(ends[i] - starts[i], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), none, pa.array(key[part]), pa.array(sketch[part])], names)
+                continue
+            # Copies of a line that came from several batches are one entry each time; the first is enough.
+            own, which = np.unique(ids[part], return_index=True)
+            every, index = sketch[part][which], np.isin(own, ids[part][key[part] & 1 == 1])
+            for a, of in zip(own[index], every[index], strict=True):
+                near = own[bags_within(every, of[None], tau) & (own != a)]
+                found.append((np.minimum(near, a), np.maximum(near, a)))
+                waiting += len(near)
+                if waiting > 100_000:
+                    yield _pairs(found)
+                    found, waiting = [], 0
+        yield _pairs(found)
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], ["a", "b", "key", "bag"])
+
+
+def _links(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
+    """(a, b) of distinct lines within ``tau`` edits."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    group = F.shiftright("key", 1)
+    entries = texts.mapInArrow(lambda it: _keys(it, tau, least), "key long, line_id long, bag long").repartition(group).sortWithinPartitions("key", "line_id")
+    found = written(entries.mapInArrow(lambda it: _candidates(it, tau), "a long, b long, key long, bag long"))
+    hot = found.where("key is not null").select("a", "key", "bag").distinct()
+    index = hot.where("key & 1 = 1").select(F.col("a").alias("x"), group.alias("group"), F.col("bag").alias("other"))
+    digit = lambda bag, k: F.shiftrightunsigned(bag, k).bitwiseAND(F.lit(15))
+    gap = [F.abs(digit("bag", k) - digit("other", k)) for k in range(0, 64, 4)]
+    near = sum((F.least(d, 16 - d) for d in gap), F.lit(0)) <= 2 * tau
+    joined = hot.select("a", "bag", group.alias("group")).join(index, "group").where((F.col("a") != F.col("x")) & near).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
+    pairs = written(found.where("key is null").select("a", "b").unionByName(joined).distinct())
+    discard(found)
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = {line_id(body): body for text in batch.column(0).to_pylist() for line in text.encode("utf-8", "surrogatepass").split(b"\n") if len(body := canonical(line)) >= least}
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], ["line_id", "body"])
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda x: x.decode("utf-8", "surrogatepass")
         for x in batches:
-            yield x.loc[[within(p, q, tau) for p, q in zip(x["pa"], x["pb"], strict=True)], ["a", "b"]]
-
-    long_enough = distinct.where(F.char_length("body") >= least).select("line_id", "body")
-    entries = written(long_enough.mapInPandas(keys, "key long, line_id long, indexed boolean"))
-    # A key that one line alone has makes no pair: leave those out before the join.
-    shared = entries.groupBy("key").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y"), F.bool_or("indexed").alias("i")).where("x <> y and i").select("key")
-    live = written(entries.join(shared, "key"))
-    discard(entries)
-    index = live.where("indexed").select("key", F.col("line_id").alias("a"))
-    pairs = written(
-        live.select("key", F.col("line_id").alias("b"), F.col("indexed").alias("also"))
-        .join(index, "key")
-        .where("(not also and a <> b) or a < b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    discard(live)
-    one, two = (distinct.select(F.col("line_id").alias(x), F.col("body").alias(f"p{x}")) for x in "ab")
-    found = written(pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInPandas(near, "a long, b long"))
+            yield x.loc[np.array([within(read(p), read(q), tau) for p, q in zip(x["pa"], x["pb"], strict=True)], bool), ["a", "b"]]
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct())
+    body = written(chosen(texts.mapInArrow(bodies, "line_id long, body binary"), ids, "line_id").dropDuplicates(["line_id"]))
+    one, two = (body.select(F.col("line_id").alias(x), F.col("body").alias(f"p{x}")) for x in "ab")
+    links = written(pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInPandas(near, "a long, b long"))
+    discard(body)
     discard(pairs)
-    return found
+    return links
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -201,14 +311,14 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     that share an id lose the same line numbers, so exact repeats of a row are kept or cut together.
     """
     classes = near_duplicate_lines(docs, id_col, text_col, tau, least).where("n_copies > 1 or n_links > 0")
-    places = lines_of(docs, id_col, text_col).where((F.char_length(canonical(F.col("line"))) >= least)).drop("line")
+    places = lines_of(docs, id_col, text_col).where(F.col("size") >= least)
     head = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
     gone = places.join(classes, "line_id").where(~head).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     lost = F.col("__gone").isNotNull()
     left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     rows = rows.withColumn(text_col, F.when(lost, left).otherwise(F.col(text_col)))
-    rows = rows.where(~lost | (canonical(F.col(text_col)) != ""))
+    rows = rows.where(~lost | F.col(text_col).rlike(r"[^\t-\r ]"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(lost, F.char_length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash registers, banding and verification on full shingle sets.
 
-A document's shingle hashes fall into 2^7 buckets by their first bits. The register of a bucket keeps the smallest
-hash of the bucket as a leading-zero count and ten mantissa bits, 16 bits in all. Bands of four registers give the
-candidates; the share of equal registers, corrected for expected collisions, prunes them; pairs that remain are
-verified on the whole sets of 64-bit shingle hashes. At similarity 0.85 a pair shares no band with a probability below
-1e-10 for long documents, and less for short ones, where few buckets are touched.
+A document's shingle hashes fall into 2^8 buckets by their first bits. The register of a bucket keeps the smallest
+hash of the bucket as a leading-zero count and ten mantissa bits, 16 bits in all. Registers are merged in pairs and
+banded by four to give the candidates; the share of equal registers, corrected for expected collisions, and the exact
+bound on differing ones prune them; pairs that remain are verified on the whole sets of 64-bit shingle hashes. At
+similarity 0.85 a pair shares no band with a probability below 1e-10 for long documents, and less for short ones, where
+few buckets are touched.
 
 Equal sets are folded into one class first. Candidates of a band are compared in two passes, so that neither a copy
 group nor a frequent line makes all pairs: first each member with the band's smallest member; then, only in bands that
@@ -22,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import components, discard, runs, shingles, written
+from recallgrid.llm.common import chosen, mix, runs, shingles, slices
+from recallgrid.operators.components import components
+from recallgrid.tables import discard, written
 
-BUCKETS, MANTISSA, ROWS = 128, 10, 4
-#: Standard errors of the estimate from 128 registers that a candidate may fall short of the threshold.
+PREFIX, MANTISSA, ROWS = 8, 10, 4
+BUCKETS, BANDS = 1 << PREFIX, (1 << PREFIX) // 2 // ROWS
+#: Standard errors of the estimate from all registers that a candidate may fall short of the threshold.
 SLACK = 4.0
-BLOCK = 256
+#: Members of a block, and pairs of registers that are compared at once.
+BLOCK, AT_ONCE = 2048, 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,15 +44,21 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     """uint16 registers of sorted distinct 64-bit hashes: (leading zeros + 1) << 10 | mantissa, 0 for no hash."""
     out = np.zeros(BUCKETS, np.uint16)
     if len(hashes):
-        bucket = (hashes >> np.uint64(57)).astype(np.int64)
+        bucket = (hashes >> np.uint64(64 - PREFIX)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        rest = hashes[first] << np.uint64(7)
+        rest = hashes[first] << np.uint64(PREFIX)
         zeros = 53 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]
         mantissa = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
         out[bucket[first]] = ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     return out
 
 
+def bands(a: np.ndarray) -> np.ndarray:
+    """Rows of registers as (row, band, register) of merged pairs: that of the first of two buckets, or else the second's."""
+    first, second = a[:, 0::2].astype(np.uint32), a[:, 1::2].astype(np.uint32)
+    return np.where(first > 0, first, np.where(second > 0, second | np.uint32(1 << 16), 0)).reshape(len(a), BANDS, ROWS)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, corrected for registers that agree by chance.
 
@@ -57,7 +68,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     same = ((a == b) & (a > 0)).sum(axis=-1)
     used = ((a > 0) | (b > 0)).sum(axis=-1)
     ratio = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
-    chance = 0.169919487159739 * 2.0 ** (7 - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919487159739 * 2.0 ** (PREFIX - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
     chance = np.minimum(chance, same * 0.5)
     return (same - chance) / np.maximum(used - chance, 1e-9)
 
@@ -91,7 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(words_of(t), size) for t in batch.column("text").to_pylist()]
         made = ([len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [registers(s).tobytes() for s in sets])
         arrays = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary()), strict=True))]
@@ -100,42 +111,49 @@ def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of verified links between classes, enough of them to connect what is linked."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // ROWS - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("registers"), i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("v")))
-    keys = (
-        reps.select("rep", "n", F.explode(bands).alias("band"))
-        .where(F.col("band.v") != F.lit(bytes(2 * ROWS)))
-        .select("rep", "n", F.xxhash64("band.i", "band.v").alias("key"))
-    )
+    keys = reps.mapInArrow(_keys, "rep long, n long, band int, key long")
     groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("least")).where("c > 1")
     members = written(keys.join(groups, "key"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes of sets that can be similar enough
     first = members.where((F.col("rep") != F.col("least.rep")) & fits(F.col("n"), F.col("least.n"))).select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_verified(_likely(first, reps, percent), docs, size, percent))
+    links = written(_verified(_likely(written(first), reps, percent), docs, size, percent))
 
     label = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    rest = members.where("c > 2").join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    rest = members.where("c > 2").join(label, "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     # Sets that are similar enough are in the same or in neighbouring steps of the size scale.
     step = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100))).cast("int")
-    rest = rest.join(mixed, "key").select("key", "rep", "component", F.explode(F.array(F.struct(step.alias("cell"), F.lit(True).alias("own")), F.struct((step + 1).alias("cell"), F.lit(False).alias("own")))).alias("at"))
+    rest = rest.join(mixed, "key").select("key", "band", "rep", "component", F.explode(F.array(F.struct(step.alias("cell"), F.lit(True).alias("own")), F.struct((step + 1).alias("cell"), F.lit(False).alias("own")))).alias("at"))
     cells = rest.groupBy("key", "at.cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"), F.bool_or("at.own").alias("own"))
-    rest = rest.select("key", "rep", "component", "at.*").join(cells.where("x <> y and own").drop("x", "y", "own"), ["key", "cell"])
+    rest = rest.select("key", "band", "rep", "component", "at.*").join(cells.where("x <> y and own").drop("x", "y", "own"), ["key", "cell"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     rest = rest.withColumn("block", block).withColumn("pair", F.explode(pairs)).join(reps.select("rep", "n", "registers"), "rep")
     spot = F.xxhash64("key", "cell", "pair.i", "pair.j")
-    rest = rest.select(spot.alias("spot"), "rep", "component", "n", "own", "registers").repartition("spot").sortWithinPartitions("spot")
+    rest = rest.select(spot.alias("spot"), "band", "rep", "component", "n", "own", "block", "registers").repartition("spot").sortWithinPartitions("spot")
     second = rest.mapInPandas(lambda it: _compared(it, percent), "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
     return written(links.unionByName(_verified(second, docs, size, percent)))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each class that has a register; the key is a hash of the band and its registers."""
+    for batch in batches:
+        rep, n = (batch.column(c).to_numpy() for c in ("rep", "n"))
+        parts = bands(np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS))
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+        for k in range(ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+        row, band = np.nonzero(parts.any(axis=2))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(n[row]), pa.array(band.astype(np.int32)), pa.array(key[row, band].view(np.int64))], ["rep", "n", "band", "key"])
+
+
 def _least(percent: int) -> float:
     j = percent / 100
     return j - SLACK * float(np.sqrt(j * (1 - j) / BUCKETS))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose estimate is not clearly below the threshold."""
+    """The pairs of a written table that can be similar enough by their registers."""
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -143,30 +161,55 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(x[c]), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
                 yield x.loc[_passes(a, b, x["na"].to_numpy(), x["nb"].to_numpy(), percent), ["a", "b"]]
 
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    own = written(chosen(reps.select("rep", "n", "registers"), ids, "rep"))
+    one = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    two = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInPandas(kept, "a long, b long").distinct()
 
 
 def _passes(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Sets smaller than the registers leave most of them empty; there the estimate rests on too few, and all pass."""
-    few = ((a > 0) | (b > 0)).sum(axis=-1) < BUCKETS // 4
-    return few | (estimate(a, b, n, m) >= _least(percent))
+    """Which pairs can be similar enough.
+
+    Each element of one set alone changes one register at most, so registers that differ are bounded by the largest
+    symmetric difference of similar sets. That is exact, and decides for small sets; for others the estimate does too.
+    """
+    used = ((a > 0) | (b > 0)).sum(axis=-1)
+    differ = (a != b).sum(axis=-1)
+    bound = (n + m) * (100 - percent) / (100 + percent)
+    return (differ <= bound + 1e-9) & ((used < BUCKETS // 4) | (estimate(a, b, n, m) >= _least(percent)))
 
 
 def _compared(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Likely pairs of different components within each block pair."""
+    """Likely pairs of different components within each pair of blocks."""
     for x in runs(batches, ["spot"]):
-        x = x.drop_duplicates("rep")
-        rep, comp, n, own = (x[c].to_numpy() for c in ("rep", "component", "n", "own"))
+        rep, comp, n, own, block = (x[c].to_numpy() for c in ("rep", "component", "n", "own", "block"))
         reg = np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, BUCKETS)
-        for i in range(len(x) - 1):
-            j = np.arange(i + 1, len(x))
-            j = j[(comp[j] != comp[i]) & (own[j] | own[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if len(j):
-                j = j[_passes(reg[j], reg[i], n[j], n[i], percent)]
-                if len(j):
-                    yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+        band, parts = x["band"].iat[0], bands(reg)
+        split = block[0] != block[-1] or (block != block[0]).any()
+        for i, j in _blocks(len(x)):
+            some = (comp[i] != comp[j]) & (own[i] | own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if split:
+                some &= block[i] != block[j]
+            i, j = i[some], j[some]
+            for at in range(0, len(i), AT_ONCE):
+                p, q = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                ok = _passes(reg[p], reg[q], n[p], n[q], percent)
+                p, q = p[ok], q[ok]
+                shared = (parts[p] == parts[q]).all(axis=2) & parts[p].any(axis=2)
+                ours = shared.argmax(axis=1) == band  # a pair that meets in several bands is given in the first
+                if ours.any():
+                    p, q = rep[p[ours]], rep[q[ours]]
+                    yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+
+def _blocks(size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of ``size`` rows, some rows of i at a time."""
+    lines = max(1, (1 << 18) // size)
+    for at in range(0, size - 1, lines):
+        i, j = np.meshgrid(np.arange(at, min(at + lines, size - 1)), np.arange(at + 1, size), indexing="ij")
+        some = i < j
+        yield i[some], j[some]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -186,8 +229,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield x.loc[np.array(same, bool), ["a", "b"]]
 
     pairs = written(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = written(docs.join(ids, "doc_id", "left_semi").mapInPandas(sets, "id long, set binary"))
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    full = written(chosen(docs, ids, "doc_id").mapInPandas(sets, "id long, set binary"))
     one = full.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     two = full.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(kept, "a long, b long").distinct())

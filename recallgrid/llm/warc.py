@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from recallgrid.llm.common import written
 from recallgrid.session import shared_folder
+from recallgrid.tables import written
 
 HEADER_SCHEMA = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long"
 SCHEMA = HEADER_SCHEMA + ", payload binary"
@@ -109,10 +109,12 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Archive]:
         store, path = file_system(self.path)
         root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        found = store.get_file_info(fs.FileSelector(path, recursive=True))
+        found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         return [Archive(root + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".warc")]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there is no file
+            return
         store, path = file_system(partition.path)
         rows: list[dict] = []
         held = 0
