@@ -2,8 +2,8 @@
 
 Each template's words are fingerprinted by winnowing: of each window of consecutive word-gram hashes the smallest is kept, so
 any shared run of WINDOW + GRAM - 1 words is sure to share a fingerprint. The fingerprints of all templates form an
-inverted index, a small table of a size that the templates bound. A document's fingerprints that hit it vote for
-(template, diagonal); around each voted diagonal a banded alignment of words gives the matched words, the coverage of
+inverted index, a small table of a size that the templates bound. A document's word grams that hit it vote for
+(template, diagonal); around neighbouring voted diagonals a banded alignment of words gives the matched words, the coverage of
 the template and the span in the document.
 """
 
@@ -108,21 +108,22 @@ class Index:
             return []
         at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[at] == values)  # template prints that stand anywhere, a superset of winnowed ones
-        votes: dict[tuple[int, int], int] = defaultdict(int)
+        diagonals: dict[int, set[int]] = defaultdict(set)
         for place in hits.tolist():
             for template, own in self.places[int(values[place])]:
-                votes[template, (place - own) // BAND] += 1
+                diagonals[template].add(place - own)
         found = []
-        for template, diagonal in votes:
-            if (template, diagonal - 1) in votes:
-                continue  # its band reaches this one
-            last = diagonal
-            while (template, last + 1) in votes:
-                last += 1
-            for start in range(diagonal, last + 1, 2):
-                m = self._aligned(template, hashes, (start - 1) * BAND, (min(start + 1, last) + 2) * BAND)
-                if m and m[0] >= least * len(self.hashes[template]):
-                    found.append((self.names[template], m[0], m[0] / len(self.hashes[template]), m[1], m[2]))
+        for template, votes in diagonals.items():
+            size = len(self.hashes[template])
+            slack = max(1, min(BAND, size // 4))  # how far words may be shifted around a voted diagonal
+            low = high = None
+            for d in [*sorted(votes), None]:
+                if low is not None and (d is None or d - high > slack or d - low > 4 * BAND):
+                    m = self._aligned(template, hashes, low - slack, high + slack + 1)
+                    if m and m[0] >= least * size:
+                        found.append((self.names[template], m[0], m[0] / size, m[1], m[2]))
+                    low = None
+                low, high = (d if low is None else low), d
         found.sort(key=lambda m: (-m[1], -m[2], m[3], m[0]))
         out: list[tuple[str, int, float, int, int]] = []
         for m in found:
