@@ -233,7 +233,7 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
     network = trained(docs)
     return languages(docs, network).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
