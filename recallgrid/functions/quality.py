@@ -185,19 +185,37 @@ def html_issues(text: Column, label: str) -> Column:
     return F.concat(end["found"], left)
 
 
+def _each(values: Column, build) -> Column:
+    """The issues that ``build(value, place)`` gives for the values, nulls left out."""
+    return F.array_compact(F.transform(values, build))
+
+
 def tag_issues(tags: Column) -> Column:
-    odd = F.filter(tags, lambda t: (trimmed(t) == "") | ~t.rlike(r"^[\p{L}\p{N}_:/.-]+$"))
+    """Empty tags, other characters than letters, digits and ``_:/-``, too many tags, repeats."""
+    n = F.size(tags)
+    named = lambda text, t, severity="warning": issue(severity, F.format_string(text, t), "tags")
+    forms = _each(tags, lambda t: F.when(t == "", issue("error", "Empty tag", "tags")).when(~t.rlike("^[A-Za-z0-9_:/-]+$"), named("Tag '%s' contains invalid characters", t)))
+    many = issues((n > MOST_TAGS, issue("warning", F.format_string(f"Too many tags (%d, max {MOST_TAGS})", n), "tags")))
+    again = _each(tags, lambda t, i: F.when(F.array_position(tags, t) - 1 < i, named("Duplicate tag '%s'", t)))
+    return F.concat(forms, many, again)
+
+
+def relevance_issues(front: Column, back: Column, tags: Column) -> Column:
+    """Warnings of dead topics and rote questions, and a note that a card has no skill tag; none of cards that have one."""
+    dead = F.get(F.filter(tags, lambda t: t.isin(*DEAD_TOPICS)), F.lit(0))
+    hint = "consider transforming to a reasoning question"
+    bare = ~F.exists(tags, lambda t: t.startswith("skill::"))
     return issues(
-        (F.size(tags) > MOST_TAGS, issue("warning", f"More than {MOST_TAGS} tags", "tags")),
-        (F.size(odd) > 0, issue("error", "Empty tag or tag with invalid characters", "tags")),
-        (F.size(F.array_distinct(tags)) < F.size(tags), issue("warning", "Duplicate tags", "tags")),
+        (bare & dead.isNotNull(), issue("warning", F.format_string(f"Topic '%s' is a low-value skill area -- {hint}", dead), "relevance")),
+        (bare & (content_relevance(front, back) == -1), issue("warning", f"Card tests syntax recall or boilerplate -- {hint}", "relevance")),
+        (bare, issue("info", "Card lacks a skill:: tag (skill::alive, skill::dead, or skill::neutral)", "relevance")),
     )
 
 
 def card_issues(front: Column, back: Column, tags: Column) -> Column:
     """All validators' issues, in their order; a card is valid without one of severity error."""
     tags = F.coalesce(tags, F.array().cast("array<string>"))
-    return F.concat(content_issues(front, "Front"), content_issues(back, "Back"), format_issues(front, "Front"), format_issues(back, "Back"), html_issues(front, "Front"), html_issues(back, "Back"), tag_issues(tags))
+    return F.concat(content_issues(front, "Front"), content_issues(back, "Back"), format_issues(front, "Front"), format_issues(back, "Back"), html_issues(front, "Front"), html_issues(back, "Back"), tag_issues(tags), relevance_issues(front, back, tags))
 
 
 def valid(found: Column) -> Column:

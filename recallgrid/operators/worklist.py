@@ -38,7 +38,7 @@ def _items(rows: DataFrame, discriminator: Column, kind: str, tier: Column | int
 def audit(registry: DataFrame) -> DataFrame:
     """Items of each card (slug, front, back, tags): validation issues, low dimensions, dead skills, missing tags."""
     front, back, tags = F.col("front"), F.col("back"), F.coalesce("tags", F.array().cast("array<string>"))
-    found = registry.select("slug", F.explode(quality.card_issues(front, back, tags)).alias("i"))
+    found = registry.select("slug", F.explode(quality.card_issues(front, back, tags)).alias("i")).where("i.severity <> 'info'")
     tier = F.when(F.col("i.severity") == "error", TIERS["quick_fix"]).otherwise(TIERS["auto_fix"])
     parts = [_items(found, F.concat(F.lit("validation:"), "i.message"), "validation_error", tier, 1.0, message=F.col("i.message"))]
     scores = quality.scores(front, back, tags)

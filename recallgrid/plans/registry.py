@@ -368,7 +368,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT slug, 'warning', 'Front side exceeds 5000 chars (' || strlen(front) || ')' FROM pairs WHERE strlen(front) > 5000
         UNION ALL SELECT slug, 'warning', 'Back side exceeds 5000 chars (' || strlen(back) || ')' FROM pairs WHERE strlen(back) > 5000
         UNION ALL SELECT slug, 'warning', 'Trailing whitespace in front' FROM pairs WHERE regexp_matches(front, '(?m)[ \\t]+$') UNION ALL SELECT slug, 'warning', 'Trailing whitespace in back' FROM pairs WHERE regexp_matches(back, '(?m)[ \\t]+$')
-        UNION ALL SELECT slug, 'warning', 'Consecutive blank lines in front' FROM pairs WHERE contains(front, chr(10) || chr(10) || chr(10)) UNION ALL SELECT slug, 'warning', 'Consecutive blank lines in back' FROM pairs WHERE contains(back, chr(10) || chr(10) || chr(10)))
+        UNION ALL SELECT slug, 'warning', 'Consecutive blank lines in front' FROM pairs WHERE contains(front, chr(10) || chr(10) || chr(10)) UNION ALL SELECT slug, 'warning', 'Consecutive blank lines in back' FROM pairs WHERE contains(back, chr(10) || chr(10) || chr(10))
+        UNION ALL SELECT slug, 'info', 'Card lacks a skill:: tag (skill::alive, skill::dead, or skill::neutral)' FROM pairs)
     SELECT * FROM i""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = _registry(spark, d)

@@ -79,14 +79,17 @@ def test_quality(spark):
 
 
 def test_issues(spark):
-    found = value(spark, quality.card_issues(F.lit("é" * 4), F.lit("```\nx \n\n\ny"), F.array(F.lit("a"), F.lit("a"), F.lit(""))))
+    found = value(spark, quality.card_issues(F.lit("é" * 4), F.lit("```\nx \n\n\ny"), F.array(F.lit("a"), F.lit("a"), F.lit(""), F.lit("b c"))))
     assert [(i["severity"], i["message"]) for i in found] == [
         ("warning", "Front side is very short (8 chars)"),
         ("error", "Unmatched code fence in back"),
         ("warning", "Trailing whitespace in back"),
         ("warning", "Consecutive blank lines in back"),
-        ("error", "Empty tag or tag with invalid characters"),
-        ("warning", "Duplicate tags"),
+        ("error", "Empty tag"),
+        ("warning", "Tag 'b c' contains invalid characters"),
+        ("warning", "Duplicate tag 'a'"),
+        ("warning", "Card tests syntax recall or boilerplate -- consider transforming to a reasoning question"),
+        ("info", "Card lacks a skill:: tag (skill::alive, skill::dead, or skill::neutral)"),
     ]
     assert not value(spark, quality.valid(quality.card_issues(F.lit(""), F.lit("long enough text"), F.array().cast("array<string>"))))
 
@@ -124,3 +127,20 @@ def test_vectors(spark):
     rows = vectors.sparse_rows(docs, "id", "text").collect()
     assert {r["id"] for r in rows} == {1} and len(rows) == 3 and sum(r["weight"] ** 2 for r in rows) == pytest.approx(1)
     assert {r["idx"] for r in rows} == {int.from_bytes(hashlib.sha256(w).digest()[:4], "little") for w in (b"hello", b"world", b"test123")}
+
+
+def test_card_format(spark):
+    from recallgrid.functions import cards
+
+    tags_ = F.array(*[F.lit(t) for t in ("a", "b", "c")])
+    one = cards.rendered(F.lit("s-1"), F.lit("Missing"), tags_, F.lit("T"), F.lit("{{c1::x}} {{c2::y}}"), F.lit("n"))
+    two = cards.rendered(F.lit("s-2"), F.lit("Simple"), tags_, F.lit("T"), F.lit("k"), F.lit("n"), 2)
+    good = spark.range(1).select("id", cards.document(F.array(one, two)).alias("text"))
+    assert cards.lint(good, "id", "text").collect() == []
+    parsed = good.select(cards.blocks(F.col("text")).alias("b")).first()["b"]
+    assert [(b["slug"], b["card_type"], b["tags"]) for b in parsed] == [("s-1", "Missing", ["a", "b", "c"]), ("s-2", "Simple", ["a", "b", "c"])]
+    bad = good.select("id", F.replace(F.replace(F.replace(F.replace("text", F.lit("c2::"), F.lit("c3::")), F.lit("<!-- END_CARDS -->"), F.lit("")), F.lit("slug: s-2 "), F.lit("slug: s-1 ")), F.lit("Tags: a b c -->"), F.lit("Tags: a,B -->")).alias("text"))
+    got = {(r["severity"], r["message"]) for r in cards.lint(bad, "id", "text").collect()}
+    assert {("error", "Missing END_CARDS sentinel"), ("error", "Duplicate slug: s-1"), ("error", "Card s-1: Cloze numbering is not dense (gaps detected)"), ("error", "Card s-1: expected 3-6 tags, found 1")} <= got
+    assert ("error", "Card s-1: manifest slug mismatch (header: s-1, manifest: s-2)") in got and ("warning", "Card s-1: tags should be lowercase") in got
+    assert {r["message"] for r in cards.lint(spark.createDataFrame([(1, "x" * 100)], "id long, text string"), "id", "text").collect()} >= {"No Card blocks found", "Line 1 exceeds 88 character width limit"}
