@@ -50,3 +50,8 @@ def chunk_id(note_id: Column, kind: Column, suffix: Column) -> Column:
 
 def file_hash(content: Column) -> Column:
     return short(trimmed(content), 12)
+
+
+def point_id(chunk: Column) -> Column:
+    """The number of a vector in a store: the first eight bytes of the hash of its chunk id, as an unsigned number."""
+    return F.conv(short(chunk, 16), 16, 10).cast("decimal(20,0)")
