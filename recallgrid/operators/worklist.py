@@ -108,9 +108,13 @@ def stale(registry: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def batched(items: DataFrame, size: int = 10) -> DataFrame:
-    """cluster_id: the slug, or for items without one their kind and the number of their batch of ``size``."""
-    n = F.row_number().over(W.partitionBy("kind", F.col("slug").isNull()).orderBy("id")) - 1
-    return items.withColumn("cluster_id", F.coalesce("slug", F.concat_ws(":", "kind", F.floor(n / size).cast("string"))))
+    """cluster_id: the slug, or for items without one their kind and the number of their batch of ``size``.
+
+    Only items without a slug are numbered, which are few.
+    """
+    n = F.row_number().over(W.partitionBy("kind").orderBy("id")) - 1
+    bare = items.where("slug is null").withColumn("cluster_id", F.concat_ws(":", "kind", F.floor(n / size).cast("string")))
+    return items.where("slug is not null").withColumn("cluster_id", F.col("slug")).unionByName(bare)
 
 
 def queue(items: DataFrame, limit: int | None = None, cluster: str | None = None) -> DataFrame:

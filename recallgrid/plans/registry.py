@@ -548,3 +548,111 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     stored = F.when(F.col("doc_id") % 4 == 1, "old").otherwise(hashes.file_hash(F.col("text")))
     cards = docs.select(F.concat(F.lit("d"), "doc_id").alias("slug"), F.col("doc_id").cast("string").alias("source_path"), stored.alias("content_hash"))
     return worklist.stale(cards, docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).select("id", "slug")
+
+
+@query("prj03_deck_names", "SELECT note_id, array_to_string(list_sort(list(DISTINCT deck)), '|') AS decks FROM cards GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return c.cards(spark, d).groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("deck")), "|").alias("decks"))
+
+
+@query("flt14_subtree", "SELECT path FROM topics WHERE path = 'ASIA' OR starts_with(path, 'ASIA/')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return c.topics(spark, d).where(topics.in_subtree(F.col("path"), "ASIA")).select("path")
+
+
+@query("flt15_children", "SELECT path FROM topics WHERE starts_with(path, 'ASIA/') AND NOT contains(path[6:], '/')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return c.topics(spark, d).where(topics.is_child(F.col("path"), "ASIA")).select("path")
+
+
+@query("agg14_edge_counts", f"WITH {EDGES} SELECT 'prerequisite' AS edge_type, 'manual' AS edge_source, count(*) AS n FROM e")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_counts(_edges(spark, d))
+
+
+@query("kg04_prerequisites", f"WITH {EDGES} SELECT source, weight FROM e WHERE target = 7")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.prerequisites(_edges(spark, d), 7).select("source", "weight")
+
+
+@query("agg17_label_stats", "SELECT count(*) AS assignments, count(DISTINCT topic_id) AS topics_matched, (SELECT count(*) FROM notes) AS notes_processed FROM note_topics")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return topics.label_stats(c.note_topics(spark, d), c.notes(spark, d))
+
+
+@query("hsh03_item_ids", "SELECT doc_id, left(sha256('fsrs:' || source || ':' || lang), 16) AS with_prefix, left(sha256(source || ':' || lang), 16) AS audit FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    ids = {"with_prefix": hashes.item_id("fsrs", F.col("source"), F.col("lang")), "audit": hashes.item_id("", F.col("source"), F.col("lang"))}
+    return table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in ids.items()])
+
+
+@query("vec02_mock_embedding", "SELECT doc_id, array_to_string([round((('0x' || sha256(text)[i * 2 + 1:i * 2 + 2])::INT / 127.5 - 1), 4) FOR i IN range(0, 8)], '|') AS v FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform(vectors.mock_embedding(F.col("text"), 8), lambda x: F.round(x.cast("double"), 4).cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(v, "|").alias("v"))
+
+
+@query("str07_wikilinks", "SELECT doc_id, 'd' || (doc_id * 2) || '|d' || (doc_id * 3 + 1) AS targets FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id")
+    return _vault(spark, d).select(doc, F.array_join(tx.wikilinks(F.col("content")), "|").alias("targets"))
+
+
+@query("str20_sections", "SELECT 'v/c-' || conv_id || '-' || turn || '.md' AS path, role AS heading, 1 AS level FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).select("path", F.explode(tx.sections(F.col("content"))).alias("s")).select("path", "s.heading", "s.level")
+
+
+@query("tag02_tag_problems", "SELECT n_nationkey, 'Use ''-'' between words, not ''_'': ''' || n_name || '''' AS problem FROM nation WHERE contains(n_name, '_')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", F.explode(tags.problems(F.col("n_name"))).alias("problem"))
+
+
+@query("tag03_tag_suggestions", """
+    WITH v AS (SELECT DISTINCT p_brand AS s FROM part), t AS (SELECT DISTINCT replace(p_brand, 'Brand', 'brand') || 'x' AS t FROM part),
+    x AS (SELECT t AS tag, s AS suggestion, CASE WHEN starts_with(t, lower(s)) OR starts_with(lower(s), t) THEN 0
+        ELSE abs(strlen(t) - strlen(s)) + len([i FOR i IN range(1, least(length(t), length(s)) + 1) IF lower(t)[i] <> lower(s)[i]]) END AS distance FROM t, v)
+    SELECT tag, suggestion, distance::INT AS distance FROM x WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY distance, suggestion) <= 3""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    asked = brands.select(F.concat(F.regexp_replace("p_brand", "^Brand", "brand"), F.lit("x")).alias("tag"))
+    return tags.suggestions(asked, brands.select(F.col("p_brand").alias("tag"))).select("tag", "suggestion", F.col("distance").cast("int").alias("distance"))
+
+
+@query("wq03_transitions", f"WITH {WORK} SELECT id, CASE WHEN status IN ('open', 'in_progress') THEN 'fixed' ELSE status END AS status FROM w")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = _work(spark, d).withColumns({"resolved_at": F.lit(None).cast("timestamp"), "attestation": F.lit(None).cast("string")})
+    changes = w.select("id", F.lit("fixed").alias("to"), F.lit("done").alias("attestation"))
+    return worklist.moved(w, changes, F.lit("2024-01-01").cast("timestamp")).select("id", "status")
+
+
+@query("set03_reconcile", f"WITH {WORK} SELECT id, CASE WHEN status = 'open' AND id::BIGINT % 2 = 0 THEN 'fixed' ELSE status END AS status FROM w")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = _work(spark, d).withColumns({"resolved_at": F.lit(None).cast("timestamp"), "attestation": F.lit(None).cast("string"), "loop_kind": F.lit("audit")})
+    seen = w.where("cast(id as long) % 2 = 1").select("id", "tier", "kind", "slug", "loop_kind", "status")
+    return worklist.reconciled(w, seen, ["audit"], F.lit("2024-01-01").cast("timestamp")).select("id", "status")
+
+
+@query("idx02_index_summary", "SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS to_embed, 1::BIGINT AS removed_notes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = _notes_of_documents(spark, d)
+    gone = docs.limit(1).withColumn("note_id", F.lit(-5).cast("long"))
+    old = sync.chunks(docs.where("note_id % 3 = 0").unionByName(gone), "m")
+    return sync.index_summary(sync.chunks(docs, "m"), old)
+
+
+@query("snk06_stats_without_orphans", "SELECT card_id, reviews FROM card_stats WHERE card_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    stats = c.card_stats(spark, d).select("card_id", "reviews")
+    return sync.synced_stats(stats.limit(0), stats, c.cards(spark, d).where("card_id % 2 = 0").select("card_id"))
+
+
+@query("set02_stale_states", "SELECT o_orderkey AS slug FROM orders WHERE o_totalprice > 0 AND o_totalprice < 50000")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    states = table(spark, d, "orders").select(F.col("o_orderkey").alias("slug"), F.col("o_totalprice").alias("synced_at"))
+    return sync.stale_states(states, F.lit(50000.0)).select("slug")
+
+
+@query("str09_image_urls", "SELECT page_id, 0 AS images FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.size(tx.image_urls(F.col("html"), F.col("url"))).alias("images"))
