@@ -28,14 +28,22 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
     return ship(spark)
 
 
+#: Rows that Spark hands to Python at once, by its default and for tables with whole texts.
+DEFAULT_ROWS, TEXT_ROWS = "10000", "1000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers started on this machine import this package.
+    """Lets Python workers started on this machine import this package, and keeps their batches small.
 
-    A cluster ships the package with ``--py-files`` instead; an entry that is already there is left alone.
+    A cluster ships the package with ``--py-files`` instead; an entry that is already there is left alone. A batch of
+    Spark's default size holds tens of megabytes of text in the executor and again in its worker, so a tenth of it is
+    taken unless the session sets another size.
     """
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep) and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return spark
 
 
