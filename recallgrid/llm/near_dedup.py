@@ -122,10 +122,15 @@ def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
     rest = members.where("c > 2").join(label, "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     # Sets that are similar enough are in the same or in neighbouring steps of the size scale.
+    # A cell holds a step's own sets and those of the step below; only cells of several components get their rows.
     step = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100))).cast("int")
-    rest = rest.join(mixed, "key").select("key", "band", "rep", "component", F.explode(F.array(F.struct(step.alias("cell"), F.lit(True).alias("own")), F.struct((step + 1).alias("cell"), F.lit(False).alias("own")))).alias("at"))
-    cells = rest.groupBy("key", "at.cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"), F.bool_or("at.own").alias("own"))
-    rest = rest.select("key", "band", "rep", "component", "at.*").join(cells.where("x <> y and own").drop("x", "y", "own"), ["key", "cell"])
+    rest = rest.join(mixed, "key").select("key", "band", "rep", "component", step.alias("step"))
+    steps = rest.groupBy("key", "step").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
+    both = F.explode(F.array(F.struct(F.col("step").alias("cell"), F.lit(True).alias("own")), F.struct((F.col("step") + 1).alias("cell"), F.lit(False).alias("own"))))
+    cells = steps.select("key", "c", "x", "y", both.alias("at")).groupBy("key", "at.cell").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.min("x").alias("x"), F.max("y").alias("y"), F.bool_or("at.own").alias("own"))
+    back = F.explode(F.array(F.struct(F.col("cell").alias("step"), F.lit(True).alias("own")), F.struct((F.col("cell") - 1).alias("step"), F.lit(False).alias("own"))))
+    places = cells.where("x <> y and own").select("key", "cell", "blocks", back.alias("at")).select("key", "cell", "blocks", "at.*")
+    rest = rest.join(places, ["key", "step"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     rest = rest.withColumn("block", block).withColumn("pair", F.explode(pairs)).join(reps.select("rep", "n", "registers"), "rep")
