@@ -194,7 +194,7 @@ def bags_within(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], tau: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(key, line_id, bag) of the distinct lines of each batch; the lowest bit of a key tells whether it is of the index."""
+    """(key, line_id, bag) of the distinct lines of each batch; the lowest bit of a key is 0 for the index, whose entries so come first."""
     h = xxhash.xxh3_64_intdigest
     for batch in slices(batches):
         seen: set[int] = set()
@@ -207,11 +207,11 @@ def _keys(batches: Iterator[pa.RecordBatch], tau: int, least: int) -> Iterator[p
                 seen.add(own)
                 if body.isascii():
                     cuts, codes = _cuts(len(body), tau, least), body
-                    keys += [h(body[i:j], seed) | 1 if indexed else h(body[i:j], seed) & -2 for i, j, seed, indexed in cuts]
+                    keys += [h(body[i:j], seed) & -2 if indexed else h(body[i:j], seed) | 1 for i, j, seed, indexed in cuts]
                 elif len(chars := body.decode("utf-8", "surrogatepass")) >= least:
                     cuts, codes = _cuts(len(chars), tau, least), chars.encode("utf-32-le", "surrogatepass")[::4]
                     parts = ((chars[i:j].encode("utf-8", "surrogatepass"), seed, indexed) for i, j, seed, indexed in cuts)
-                    keys += [h(part, seed) | 1 if indexed else h(part, seed) & -2 for part, seed, indexed in parts]
+                    keys += [h(part, seed) & -2 if indexed else h(part, seed) | 1 for part, seed, indexed in parts]
                 else:
                     continue
                 ids.append(own)
@@ -222,37 +222,44 @@ def _keys(batches: Iterator[pa.RecordBatch], tau: int, least: int) -> Iterator[p
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by key: (a, b, null, null) for each index entry with each other entry of its key, if their
-    bags are near. Keys with more than HOT entries give these back as (line_id, null, key, bag), for Spark to join.
+    """From entries sorted by key and line: (a, b, null, null) for each index entry with each other entry of its key, if
+    their bags are near. Keys with more than HOT entries give these back as (line_id, null, key, bag), for Spark to join.
     """
     names = ["a", "b", "key", "bag"]
     held = [np.zeros(0, np.int64)] * 3
+    hot: tuple[int, bool] | None = None  # the last key of the batches so far if it has passed HOT, and whether Spark joins it
     for batch in chain(batches, [None]):
         key, ids, sketch = held if batch is None else (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True))
+        if not len(key):
+            continue
+        # Copies of a line that came from several batches are one entry each time; the first is enough.
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+        key, ids, sketch = key[new], ids[new], sketch[new]
         group = key >> 1
-        starts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1)) if len(key) else np.zeros(0, np.int64)
+        starts = np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1)
         ends = np.append(starts[1:], len(key))
-        held = [np.zeros(0, np.int64)] * 3
-        if batch is not None and len(starts) and len(key) - starts[-1] <= HOT:  # the last key may go on
-            held = [x[starts[-1] :] for x in (key, ids, sketch)]
-            starts, ends = starts[:-1], ends[:-1]
+        # Of most keys all entries are of one line, or none is of the index.
+        live, big = key[starts] & 1 == 0, ends - starts > HOT
+        live &= big | (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
+        if hot is not None and group[0] == hot[0]:
+            live[0], big[0] = hot[1], True
+        hot, held = None, [np.zeros(0, np.int64)] * 3
+        if batch is not None:  # the last key may go on
+            if big[-1]:
+                hot = int(group[-1]), bool(live[-1])
+            else:
+                held = [x[starts[-1] :] for x in (key, ids, sketch)]
+                live[-1] = False
         found: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        # Of most keys all entries are of one line, or none is of the index.
-        live = ends - starts > 1
-        if live.any():
-            full = ends[-1]
-            live &= np.minimum.reduceat(ids[:full], starts) < np.maximum.reduceat(ids[:full], starts)
-            live &= np.bitwise_or.reduceat(key[:full], starts) & 1 == 1
         for i in np.flatnonzero(live).tolist():
             part = slice(starts[i], ends[i])
-            if ends[i] - starts[i] > HOT:
+            if big[i]:
                 none = pa.nulls(ends[i] - starts[i], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part]), none, pa.array(key[part]), pa.array(sketch[part])], names)
                 continue
-            # Copies of a line that came from several batches are one entry each time; the first is enough.
             own, which = np.unique(ids[part], return_index=True)
-            every, index = sketch[part][which], np.isin(own, ids[part][key[part] & 1 == 1])
+            every, index = sketch[part][which], np.isin(own, ids[part][key[part] & 1 == 0])
             for a, of in zip(own[index], every[index], strict=True):
                 near = own[bags_within(every, of[None], tau) & (own != a)]
                 found.append((np.minimum(near, a), np.maximum(near, a)))
@@ -276,7 +283,7 @@ def _links(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
     entries = texts.mapInArrow(lambda it: _keys(it, tau, least), "key long, line_id long, bag long").repartition(group).sortWithinPartitions("key", "line_id")
     found = written(entries.mapInArrow(lambda it: _candidates(it, tau), "a long, b long, key long, bag long"))
     hot = found.where("key is not null").select("a", "key", "bag").distinct()
-    index = hot.where("key & 1 = 1").select(F.col("a").alias("x"), group.alias("group"), F.col("bag").alias("other"))
+    index = hot.where("key & 1 = 0").select(F.col("a").alias("x"), group.alias("group"), F.col("bag").alias("other"))
     digit = lambda bag, k: F.shiftrightunsigned(bag, k).bitwiseAND(F.lit(15))
     gap = [F.abs(digit("bag", k) - digit("other", k)) for k in range(0, 64, 4)]
     near = sum((F.least(d, 16 - d) for d in gap), F.lit(0)) <= 2 * tau

@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,3 +68,35 @@ def test_null_ids_and_repeated_rows(frame):
     line = "the very same line of some length"
     rows = ld.line_report(frame([line, line, line], [4, 4, None])).collect()
     assert {(r["doc_id"], r["n_copies"], r["head_doc"]) for r in rows} == {(4, 3, None), (None, 3, None)}
+
+
+@pytest.mark.parametrize(("hot", "rows"), [(3, 2), (2, 1), (5, 4), (2048, 3)])
+def test_keys_over_many_batches_lose_no_pair(rng, monkeypatch, hot, rows):
+    monkeypatch.setattr(ld, "HOT", hot)
+    entries = [(2 * k + rng.randrange(2), rng.randrange(9), 0) for k in range(12) for _ in range(rng.randrange(1, 25))]
+    entries += [(2 * 50 + 1, i, 0) for i in range(20)] + [(2 * 60 + 1, i, 0) for i in range(20)] + [(2 * 60, 7, 0)]
+    entries.sort()
+    want = {(min(i, j), max(i, j)) for k, i, _ in entries for m, j, _ in entries if k & 1 == 0 and k >> 1 == m >> 1 and i != j}
+    split = (entries[at : at + rows] for at in range(0, len(entries), rows))
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*part, strict=True)], ["key", "line_id", "bag"]) for part in split)
+    found = [r for b in ld._candidates(batches, ld.TAU) for r in b.to_pylist()]
+    given_back = [r for r in found if r["key"] is not None]
+    got = {(r["a"], r["b"]) for r in found if r["key"] is None}
+    got |= {(min(x["a"], y["a"]), max(x["a"], y["a"])) for x in given_back for y in given_back if x["key"] & 1 == 0 and x["key"] >> 1 == y["key"] >> 1 and x["a"] != y["a"]}
+    assert got == want and bool(given_back) == (hot < 2048)
+
+
+def test_one_common_segment_over_many_batches(spark, frame, rng):
+    """More lines with one middle segment than HOT and than a batch; each has one partner, with which it shares no other segment."""
+    lines = []
+    for _ in range(1600):
+        head = "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(10))
+        lines.append(f"{head} the same middle {head[::-1]}")
+    partners = [f"x{line[1:-1]}y" for line in lines]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = {r["doc_id"]: (r["n_links"], r["head_doc"]) for r in ld.line_report(frame(lines + partners)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: (1, i % 1600) for i in range(3200)}
