@@ -3,7 +3,10 @@
 In each pass a vector's key is the concatenation of random hyperplane signs; Spark sorts all vectors by pass and key, and
 each is compared with the few before it in that order. Pairs that pass the cosine test are links; their union over all
 passes gives the components. A pair of cosine 0.9 agrees in a sign with probability 0.86 and one of 0.99 in 0.95, so a
-pair that shares a run of leading signs in some pass stands close in it; PASSES sets the recall (see the README).
+pair that shares a run of leading signs in some pass stands close in it. The run must be longer the more vectors there
+are, so the passes are derived from their counted number for a recall of RECALL (see ``passes_for``). Keys hold more
+signs than that run, which part crowded neighbourhoods further. The rows at the edges of the sorted partitions are
+compared once more in the order of all partitions.
 
 Within a component links are then counted exactly, in pairs of blocks of bounded size. Equal vectors are folded first
 and counted by their number, so copies cost nothing.
@@ -11,12 +14,14 @@ and counted by their number, so copies cost nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,16 +30,28 @@ from recallgrid.llm.common import runs
 from recallgrid.operators.components import components
 from recallgrid.tables import written
 
-PASSES, SIGNS, NEIGHBOURS, BLOCK = 24, 32, 32, 1024
+#: Fewest passes, signs of a key, rows before a row that it is compared with, rows of a block.
+PASSES, SIGNS, NEIGHBOURS, BLOCK = 24, 62, 32, 1024
+#: Estimated recall of an isolated pair at the threshold that sets the number of passes.
+RECALL = 0.99
+EDGES = "a long, b long, part int, at long, pass int, rep long, raw binary"
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def passes_for(n: int, least: float, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> int:
+    """Passes after which a pair of cosine ``least`` among ``n`` spread-out vectors was within ``neighbours`` rows in one,
+    at a chance of ``recall``: it must share about log2(n / neighbours) leading signs."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    one = agree ** max(0.0, math.log2(max(n, 1) / neighbours))
+    return PASSES if one >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-one)))
+
+
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
     n_links is the number of other rows linked directly, component_id the smallest id reachable. Vectors that are null,
     empty, zero, or hold a null or non-finite component link with nothing; so do vectors of unlike lengths. A row with a
     null id takes no part: no links, component null, kept. Repeated rows are links of each other and share an id.
-    Labels and other columns are ignored.
+    Labels and other columns are ignored. Without ``passes`` their number follows from that of the distinct vectors.
     """
     kind = vectors.schema[vector_col].dataType.elementType
     code = "<f4" if isinstance(kind, T.FloatType) else "<f8"
@@ -42,10 +59,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     valid = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
     raw = written(rows.where(valid).mapInArrow(lambda it: _checked(it, code), "vec_id long, digest binary, raw binary"))
     reps = written(raw.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    if passes is None:
+        passes = passes_for(reps.count(), least, neighbours)
     # An id can stand for several vectors only if it is repeated; the pair (rep, raw) then still is one class.
     signed = reps.select("rep", "raw").mapInArrow(lambda it: _signed(it, code, passes), "pass int, key long, rep long, raw binary")
     order = [F.col("pass"), F.col("key"), F.xxhash64("rep", "pass")]
-    links = written(signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, code, least, neighbours), "a long, b long").distinct())
+    near = written(signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, code, least, neighbours, True), EDGES))
+    edges = near.where("part is not null").select("pass", F.lit(0).cast("long").alias("key"), "rep", "raw", "part", "at").repartition("pass").sortWithinPartitions("pass", "part", "at")
+    over = edges.mapInArrow(lambda it: _neighbours(it, code, least, neighbours, False), EDGES)
+    links = written(near.where("part is null").unionByName(over).select("a", "b").distinct())
     label = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
 
     own = written(reps.join(label, "rep").select("rep", "component", "copies", "raw"))
@@ -100,8 +122,19 @@ def _signed(batches: Iterator[pa.RecordBatch], code: str, passes: int) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(keys[:, k]), pa.array(reps[some]), pa.array(list(raws[some]), pa.binary())], ["pass", "key", "rep", "raw"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neighbours: int) -> Iterator[pa.RecordBatch]:
-    """Links of each row with the rows shortly before it in its pass; those that join nothing new are left out."""
+def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neighbours: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Links of each row with the rows shortly before it in its pass; those that join nothing new are left out.
+
+    With ``edges`` also the first and last ``neighbours`` rows of the partition, each once, with their place in it.
+    """
+    part, seen = TaskContext.get().partitionId(), 0
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = ["a", "b", "part", "at", "pass", "rep", "raw"]
+
+    def edge(at: int, turn: np.ndarray, rep: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+        columns = [None] * len(raw), [None] * len(raw), [part] * len(raw), range(at, at + len(raw)), turn, rep, raw
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
     held: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
     parent: dict[int, int] = {}
 
@@ -114,6 +147,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neig
     for batch in batches:
         turn, _, rep = (c.to_numpy() for c in batch.columns[:3])
         raw = batch.column(3).to_pylist()
+        if edges and raw and seen < neighbours:
+            some = neighbours - seen
+            yield edge(seen, turn[:some], rep[:some], raw[:some])
+        seen += len(raw)
         if held is not None:
             turn, rep, raw = np.concatenate([held[0], turn]), np.concatenate([held[1], rep]), held[2] + raw
         out: list[tuple[int, int]] = []
@@ -133,7 +170,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neig
         if len(parent) > 1_000_000:
             parent.clear()  # only costs repeated links
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            found = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(found + [pa.nulls(len(out), t) for t in kinds[2:]], names)
+    if edges and held is not None and (some := min(neighbours, seen - neighbours)) > 0:
+        yield edge(seen - some, held[0][-some:], held[1][-some:], held[2][-some:])
 
 
 def _counted(batches: Iterator[pd.DataFrame], code: str, least: float) -> Iterator[pd.DataFrame]:

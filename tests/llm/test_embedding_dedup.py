@@ -34,3 +34,26 @@ def test_null_ids_repeats_and_empty_tables(spark):
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in ed.near_duplicate_vectors(rows).collect())
     assert got == [("1", 0, "1", True), ("2", 1, "2", True), ("2", 1, "2", True), ("None", 0, "None", True)]
     assert ed.near_duplicate_vectors(rows.limit(0)).count() == 0
+
+
+def test_passes_follow_the_number_of_vectors():
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (10**5, 10**6, 10**7, 10**8):
+        passes = ed.passes_for(n, 0.9)
+        assert 1 - (1 - agree ** np.log2(n / ed.NEIGHBOURS)) ** passes >= ed.RECALL
+    assert ed.passes_for(0, 0.9) == ed.passes_for(10, 1.0) == ed.PASSES < ed.passes_for(10**6, 0.9)
+
+
+def test_windows_go_on_over_partition_edges(spark):
+    """One pass over a few sorted vectors on many partitions: all are within the window of each other."""
+    rng = np.random.default_rng(4)
+    center = rng.standard_normal(16)
+    vectors = [(center + 0.1 * rng.standard_normal(16)).tolist() for _ in range(24)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ed.near_duplicate_vectors(rows, passes=1).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert {r["component_id"] for r in got} == {0}
