@@ -26,6 +26,21 @@ GRAM, WINDOW, BAND = 3, 4, 8
 LEAST = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 #: Notices, as their licences ask for them (fixed values).
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -50,10 +65,39 @@ TEMPLATES = {
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
         "PURPOSE. See the GNU General Public License for more details."
     ),
-    "BSD-2-Clause": (
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "BSD-line": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
         "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
+    "BSD-2-Clause": f"{_BSD} {_AS_IS}",
+    "BSD-3-Clause": (
+        f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        f"from this software without specific prior written permission. {_AS_IS}"
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -190,3 +234,9 @@ def report(docs: DataFrame) -> DataFrame:
     best = F.array_sort("matches", lambda a, b: F.when(a["matched_words"] == b["matched_words"], a["start"] - b["start"]).otherwise(b["matched_words"] - a["matched_words"]))
     found = licenses(docs).withColumn("best", F.get(best, F.lit(0)))
     return found.select("doc_id", "n_matches", F.col("best.template").alias("license"), F.col("best.coverage").alias("coverage"), F.col("best.start").alias("start"), F.col("best.end").alias("end"))
+
+
+def every_match(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_matches, license, matched_words, coverage, start, end): a row for each match, and one with nulls for none."""
+    found = licenses(docs).select("doc_id", "n_matches", F.explode_outer("matches").alias("m"))
+    return found.select("doc_id", "n_matches", F.col("m.template").alias("license"), "m.matched_words", "m.coverage", "m.start", "m.end")

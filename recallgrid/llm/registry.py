@@ -36,7 +36,7 @@ def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(table(spark, sf_dir, "documents"))
+    return licenses.every_match(table(spark, sf_dir, "documents"))
 
 
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

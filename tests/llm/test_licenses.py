@@ -47,3 +47,18 @@ def test_many_repeats_of_one_line():
     index = ls.Index(ls.TEMPLATES)
     text = "Released under the MIT License. " * 500
     assert len(index.matches(ls.word_hashes(ls.words_of(text)[0]), ls.LEAST)) >= 499
+
+
+def test_every_match_is_a_row(frame):
+    text = f"{ls.TEMPLATES['MIT']} Or else: {ls.TEMPLATES['CC-BY-4.0-line']}"
+    rows = [(r["doc_id"], r["n_matches"], r["license"]) for r in ls.every_match(frame([text, "none", None])).collect()]
+    assert sorted(rows, key=str) == [(0, 2, "CC-BY-4.0-line"), (0, 2, "MIT"), (1, 0, None), (2, 0, None)]
+
+
+RELATIVES = ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-line", "BSD-2-Clause", "BSD-3-Clause"]
+
+
+@pytest.mark.parametrize("name", RELATIVES)
+def test_close_relatives_are_told_apart(name):
+    found = ls.Index(ls.TEMPLATES).matches(ls.word_hashes(ls.words_of(f"Intro. {ls.TEMPLATES[name]} The end")[0]), ls.LEAST)
+    assert [(m[0], m[2]) for m in found] == [(name, 1.0)]
