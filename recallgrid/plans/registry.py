@@ -215,6 +215,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return vectors.sparse_scores(q, rows, docs.agg(F.count("*").alias("n")), "query_id", "doc_id").withColumn("score", F.round("score", 6))
 
 
+@query("vec04_all_sparse_scores", f"""
+    WITH {SPARSE}, q AS (SELECT doc_id AS query_id, idx, weight FROM s WHERE doc_id % 20 = 0),
+    f AS (SELECT idx, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM s WHERE idx IN (SELECT idx FROM q) GROUP BY 1),
+    x AS (SELECT query_id, s.doc_id, sum(s.weight * q.weight * idf) AS score FROM q JOIN f USING (idx) JOIN s USING (idx) GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(score, 6) AS score FROM x""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The whole stated query set; vec04_sparse_scores has a tenth of it."""
+    docs = table(spark, d, "documents")
+    rows = vectors.sparse_rows(docs, "doc_id", "text")
+    q = rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return vectors.sparse_scores(q, rows, docs.agg(F.count("*").alias("n")), "query_id", "doc_id").withColumn("score", F.round("score", 6))
+
+
 @query("fts03_trigrams", """
     WITH g AS (SELECT note_id, list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN [x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']])) AS g FROM notes WHERE NOT deleted),
     q AS (SELECT list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN ['custmer', '0000', 'bilding']])) AS q),

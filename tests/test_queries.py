@@ -39,3 +39,9 @@ def test_query(spark, db, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rows.fetchall()), key=str)
+
+
+def test_sparse_scores_cover_the_stated_query_set(spark, db):
+    got = {r[0] for r in registry.QUERIES["vec04_all_sparse_scores"](spark, FOLDER).select("query_id").distinct().collect()}
+    want = {r[0] for r in db.execute("SELECT doc_id FROM documents WHERE doc_id % 20 = 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')").fetchall()}
+    assert got == want
