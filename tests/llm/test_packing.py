@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -42,7 +43,7 @@ def test_ids_after_the_memory_was_full(monkeypatch, rng):
     texts = [sentence(rng, 40) for _ in range(20)] + ["The word, the Word."] * 3
     for _ in range(2):
         for t in texts:
-            assert [*ids.of([t])[0].tolist(), pk.END] == direct(t)
+            assert [*ids.of(pa.array([t]))[0].tolist(), pk.END] == direct(t)
 
 
 def test_hilbert_neighbours_touch():
@@ -55,3 +56,12 @@ def test_hilbert_neighbours_touch():
 def test_empty_table_and_null_ids(frame):
     assert pk.packed(frame([])).count() == 0
     assert [(r["doc_id"], r["length"]) for r in pk.packed(frame(["", ""], [None, None])).collect()] == [(None, 1), (None, 1)]
+
+
+def test_a_vocabulary_with_other_rules_takes_whole_texts(frame, rng):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), [*ODD, *(sentence(rng, rng.randrange(0, 400)) for _ in range(20))]
+    rows = pk.packed(frame(texts), vocabulary=path, with_ids=True).collect()
+    for i, text in enumerate(texts):
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [x for r in own for x in r["ids"]] == [*whole.encode(text or "", add_special_tokens=False).ids, pk.END]
