@@ -1,8 +1,9 @@
 """Chat formatting: links tool calls to their results, orders them, checks arguments and writes canonical JSON.
 
 The n-th result with an identifier answers the n-th call with it in its conversation; Spark hash-joins both by
-(conversation, identifier, n). A linked result takes its place right after its call, whatever its own turn, so that order
-is a topological one of the dependencies. Rows stay messages: (conv_id, anchor_turn, slot, turn) sorts a conversation, and
+(conversation, identifier, n). A linked result takes its place right after its call, whatever its own turn. One that makes
+calls itself keeps its own turn, where its results follow it; it is linked only to a call of an earlier turn. So every
+result stands behind its call, which is a topological order of chains of any length. Rows stay messages: (conv_id, anchor_turn, slot, turn) sorts a conversation, and
 no conversation is ever gathered, however long it is.
 """
 
@@ -20,7 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
+#: Levels of nesting that arguments may have.
+DEPTH = 100
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+_TYPES = {*_KINDS, "number", "integer"}
 
 
 def canonical(value: Any) -> str:
@@ -76,6 +80,18 @@ def violations(value: Any, schema: dict, at: str = "") -> list[str]:
     return out
 
 
+def known_schema(schema: dict) -> None:
+    """Raises ValueError if a schema names a type that JSON doesn't have, or nests beyond DEPTH."""
+    waiting = [(schema, 0)]
+    while waiting:
+        own, depth = waiting.pop()
+        kinds = own.get("type", [])
+        unknown = {kinds} - _TYPES if isinstance(kinds, str) else set(kinds) - _TYPES
+        if unknown or depth > DEPTH:
+            raise ValueError(f"unknown types {sorted(unknown)}" if unknown else "nested too deeply")
+        waiting += [(x, depth + 1) for x in (*own.get("properties", {}).values(), *([own["items"]] if "items" in own else []))]
+
+
 def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per message, with its place, links, errors and canonical JSON.
 
@@ -84,11 +100,17 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     messages: whether its call was found), errors and json.
 
     A call or result without an identifier, and one without partner, stays in place unlinked. Arguments that are not a
-    JSON object are an error and stay a string; so are those of an unknown tool. Null fields are left out of the JSON;
+    JSON object are an error and stay a string, and so do those that canonical JSON can't hold: numbers beyond a double,
+    lone surrogates, more than DEPTH levels. Arguments of an unknown tool are an error. Keywords of schemas other than
+    those of ``violations`` are ignored; an unknown type in one raises ValueError. Null entries of tool_calls don't
+    count. Null fields are left out of the JSON;
     null content is written as null. Rows that share (conv_id, turn) are repeats of one turn: each gets its row, with
     counts over all of them. Rows with a null conv_id or turn are never linked.
     """
-    rows = messages.select("conv_id", "turn", "role", F.col("content").cast("string").alias("content"), F.col("tool_calls").cast(CALLS).alias("tool_calls"), "tool_call_id")
+    for schema in schemas.values():
+        known_schema(schema)
+    own_calls = F.filter(F.col("tool_calls").cast(CALLS), lambda c: c.isNotNull())
+    rows = messages.select("conv_id", "turn", "role", F.col("content").cast("string").alias("content"), own_calls.alias("tool_calls"), "tool_call_id")
     calls = rows.select("conv_id", "turn", F.posexplode("tool_calls").alias("call", "of")).select("conv_id", "turn", "call", F.col("of.id").alias("id"))
     nth = F.row_number().over(W.partitionBy("conv_id", "id").orderBy("turn", "call"))
     calls = calls.where("conv_id is not null and turn is not null and id is not null").withColumn("nth", nth)
@@ -96,14 +118,16 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     results = rows.where(answers).withColumn("nth", F.row_number().over(W.partitionBy("conv_id", "tool_call_id").orderBy("turn")))
     right = calls.select("conv_id", F.col("id").alias("tool_call_id"), "nth", F.col("turn").alias("to_turn"), F.col("call").alias("to_call"))
     linked = results.join(right.hint("shuffle_hash"), ["conv_id", "tool_call_id", "nth"], "left").drop("nth")
+    calling = F.coalesce(F.size("tool_calls") > 0, F.lit(False))
+    linked = linked.withColumns({c: F.when(~calling | (F.col("to_turn") < F.col("turn")), F.col(c)) for c in ("to_call", "to_turn")})
     answered = linked.where("to_turn is not null").groupBy("conv_id", F.col("to_turn").alias("turn")).agg(F.count("*").alias("n_answered"))
     others = rows.where(~F.coalesce(answers, F.lit(False))).withColumns({"to_turn": F.lit(None).cast("long"), "to_call": F.lit(None).cast("int")})
     whole = linked.unionByName(others).join(answered, ["conv_id", "turn"], "left")
     whole = whole.select(
         "conv_id",
         "turn",
-        F.coalesce("to_turn", "turn").alias("anchor_turn"),
-        F.coalesce(F.col("to_call") + 1, F.lit(0)).alias("slot"),
+        F.coalesce(F.when(~calling, F.col("to_turn")), "turn").alias("anchor_turn"),
+        F.coalesce(F.when(~calling, F.col("to_call") + 1), F.lit(0)).alias("slot"),
         F.greatest(F.size("tool_calls"), F.lit(0)).alias("n_calls"),
         F.coalesce("n_answered", F.lit(0)).alias("n_answered"),
         F.when(F.col("role") == "tool", F.col("to_turn").isNotNull()).alias("linked"),
@@ -124,7 +148,7 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 if call_id is not None:
                     message["tool_call_id"] = call_id
                 if tool_calls:
-                    message["tool_calls"] = [_call(c, schemas, wrong) for c in tool_calls if c]
+                    message["tool_calls"] = [_call(c, schemas, wrong) for c in tool_calls]
                 errors.append(wrong)
                 texts.append(canonical(message))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], names)
@@ -133,11 +157,34 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return whole.mapInArrow(written_out, schema)
 
 
+def parsed(text: str) -> Any:
+    """A JSON text's value; ValueError or RecursionError if it is none, or canonical JSON can't hold it."""
+    value = json.loads(text, parse_constant=_refused, parse_float=_finite)
+    level = [value] if isinstance(value, dict | list) else []
+    for _ in range(DEPTH):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
+    if level:
+        raise RecursionError
+    if "\\u" in text:
+        canonical(value).encode()  # a lone surrogate is a UnicodeEncodeError
+    return value
+
+
+def _finite(text: str) -> float:
+    if not math.isfinite(value := float(text)):
+        raise ValueError(text)
+    return value
+
+
+def _refused(text: str) -> None:
+    raise ValueError(text)
+
+
 def _call(call: dict, schemas: dict[str, dict], wrong: list[str]) -> dict:
     name, arguments = call["name"], call["arguments"]
     try:
-        value = json.loads(arguments, parse_constant=lambda x: 1 / 0) if arguments is not None else {}
-    except (ValueError, ZeroDivisionError, RecursionError):
+        value = parsed(arguments) if arguments is not None else {}
+    except (ValueError, RecursionError):
         value = arguments
     if not isinstance(value, dict):
         wrong.append(f"{call['id']}: arguments are not an object")

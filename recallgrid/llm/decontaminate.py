@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm.common import fresh
+
 WINDOW, SHINGLE = 10, 3
 #: Bytes of item text in a block: with its index, some 100 MB in a task.
 BLOCK_BYTES = 1 << 20
@@ -127,8 +129,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no window of an item occurs. Null texts stay."""
-    return _scanned(docs, benchmark, text_col, item_col).where(F.size("__spans") == 0).select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, in whose text no window of an item occurs.
+
+    Null, empty and wordless texts stay, and so does every row if no item has words. Repeated rows and rows with a null
+    id are judged by their text alone. An empty table gives no row.
+    """
+    return _scanned(docs, benchmark, text_col, item_col).where(F.size(fresh(docs, "__spans")[0]) == 0).select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,9 +144,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str) -> DataFrame:
-    """``docs`` with __n_words, __items and __spans."""
-    spark = docs.sparkSession
-    none = (F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<string>").alias("__items"), F.array().cast(SPANS).alias("__spans"))
+    """``docs`` with __n_words, __items and __spans, or fresh names like these."""
+    spark, names = docs.sparkSession, fresh(docs, "__n_words", "__items", "__spans")
+    none = (F.lit(0).cast("long").alias(names[0]), F.array().cast("array<string>").alias(names[1]), F.array().cast(SPANS).alias(names[2]))
     rows = docs.select("*", *none)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
@@ -154,7 +160,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             counts[r["key"]] = r["n"]
         block.order(counts)
         sent = spark.sparkContext.broadcast(block)
-        rows = rows.mapInArrow(lambda it, s=sent: _marked(it, s.value, text_col), rows.schema)
+        rows = rows.mapInArrow(lambda it, s=sent: _marked(it, s.value, text_col, names), rows.schema)
     return rows
 
 
@@ -169,16 +175,16 @@ def _counted(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["key", "n"])
 
 
-def _marked(batches: Iterator[pa.RecordBatch], block: Block, text_col: str) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], block: Block, text_col: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths, items, spans = [], [], []
-        for text, had, were in zip(*(batch.column(c).to_pylist() for c in (text_col, "__items", "__spans")), strict=True):
+        for text, had, were in zip(*(batch.column(c).to_pylist() for c in (text_col, *names[1:])), strict=True):
             ids = block.ids(words_of(text))
             new, own = block.hits(ids)
             lengths.append(len(ids))
             items.append(sorted(own.union(had)))
             spans.append([{"start": s, "end": e} for s, e in merged(new + [(x["start"], x["end"]) for x in were])])
-        for name, values in (("__n_words", lengths), ("__items", items), ("__spans", spans)):
+        for name, values in zip(names, (lengths, items, spans), strict=True):
             at = batch.schema.get_field_index(name)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
         yield batch

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm.common import fresh
+
 #: Bounds of the training sample: documents of each language (1.5 times that at most in expectation) and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 240, 8, 64
 HIDDEN, WINDOW, UNKNOWN = 8, 128, "und"
@@ -158,6 +160,15 @@ class Network:
         return total / np.maximum(sizes, 1)[:, None]
 
 
+#: Places of a hash: so many that a share of any count of rows is told apart.
+PLACES = 1 << 52
+
+
+def sample_share(count: int) -> float:
+    """The share of a language's rows that the sample takes; above 0 for every count."""
+    return min(1.0, SAMPLE_DOCS * 1.25 / max(count, 1))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
@@ -165,16 +176,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network fitted to a bounded sample of the labelled rows that are not held out; None if there is none.
 
-    The sample has about SAMPLE_DOCS documents of each language, chosen by a hash of their id, with up to SAMPLE_WINDOWS
-    windows of SAMPLE_BYTES bytes from places all over each text. Texts of fewer bytes are left out.
+    The sample has about SAMPLE_DOCS documents of each language, chosen by a hash of their id and text, equal texts once,
+    with up to SAMPLE_WINDOWS windows of SAMPLE_BYTES bytes from places all over each text. Texts of fewer bytes are left out.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)) & (F.octet_length("text") >= SAMPLE_BYTES))
-    counts = rows.groupBy("lang").count().collect()  # one row per language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(1_000_000 * min(1.0, SAMPLE_DOCS * 1.25 / r["count"])))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample_share(n))])
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(PLACES)) / PLACES
+    chosen = rows.where(place < share[F.col("lang")]).select("lang", "text").distinct()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,17 +207,18 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return network
 
 
-def languages(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang and __score: the most probable language of each whole text and its mean probability.
+def languages(docs: DataFrame, network: Network | None, text_col: str = "text", lang: str = "__lang", score: str = "__score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score``: the most probable language of each whole text and its mean probability.
 
-    A null text, one without a letter, and every text if there is no network, are UNKNOWN with score 0.
+    A null text, one without a letter, and every text if there is no network, are UNKNOWN with score 0. Texts of any
+    length are read to their end, a bounded number of windows at a time. Repeated rows each get theirs.
     """
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if network else []
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            found, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
             at = 0
             while at < len(lettered):
                 part, size = [], 0
@@ -213,13 +226,12 @@ def languages(docs: DataFrame, network: Network | None, text_col: str = "text")
                     part.append(lettered[at])
                     size += len(texts[lettered[at]])
                     at += 1
-                found = network.probabilities([texts[i].encode("utf-8", "surrogatepass") for i in part])
-                for i, row in zip(part, found, strict=True):
-                    lang[i], score[i] = network.languages[int(row.argmax())], min(1.0, float(row.max()))
-            out = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "__lang", "__score"])
+                for i, row in zip(part, network.probabilities([texts[i].encode("utf-8", "surrogatepass") for i in part]), strict=True):
+                    found[i], sure[i] = network.languages[int(row.argmax())], min(1.0, float(row.max()))
+            out = [*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, lang, score])
 
-    schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
+    schema = docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
     return docs.mapInArrow(labelled, schema)
 
 
@@ -234,6 +246,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
-    network = trained(docs)
-    return languages(docs, network).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, whose language is known with a score of at least ``least``.
+
+    Null texts and those without a letter go; if no row is labelled there is no known language and all rows go. Rows
+    with a null id or label are judged by their text like any other; repeated rows stay or go together. An empty table
+    gives no row.
+    """
+    lang, score = fresh(docs, "__lang", "__score")
+    return languages(docs, trained(docs), lang=lang, score=score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

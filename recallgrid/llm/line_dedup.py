@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import chosen, slices
+from recallgrid.llm.common import chosen, fresh, slices
 from recallgrid.operators.components import components
 from recallgrid.tables import discard, written
 
@@ -314,16 +314,18 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """``docs`` with each class of lines kept only at its head.
 
     Lines of under ``least`` code points and blank lines stay. A document that loses all its lines with text goes; a
-    null, empty or blank text stays as it is. All columns are returned; an n_chars column follows the new text. Rows
-    that share an id lose the same line numbers, so exact repeats of a row are kept or cut together.
+    null, empty or blank text stays as it is. All columns are returned, whatever their names; an n_chars column follows
+    the new text. Rows that share an id, or have none, lose the same line numbers, so exact repeats of a row are kept or
+    cut together. Of equal heads the first by (id, line number) is kept. An empty table gives no row.
     """
+    own, out_lines = fresh(docs, "__id", "__gone")
     classes = near_duplicate_lines(docs, id_col, text_col, tau, least).where("n_copies > 1 or n_links > 0")
     places = lines_of(docs, id_col, text_col).where(F.col("size") >= least)
     head = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
-    gone = places.join(classes, "line_id").where(~head).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    lost = F.col("__gone").isNotNull()
-    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    gone = places.join(classes, "line_id").where(~head).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(out_lines))
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left")
+    lost = F.col(out_lines).isNotNull()
+    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(out_lines, i)), "\n")
     rows = rows.withColumn(text_col, F.when(lost, left).otherwise(F.col(text_col)))
     rows = rows.where(~lost | F.col(text_col).rlike(r"[^\t-\r ]"))
     if "n_chars" in docs.columns:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import chosen, mix, runs, shingles, slices
+from recallgrid.llm.common import chosen, fresh, mix, runs, shingles, slices
 from recallgrid.operators.components import components
 from recallgrid.tables import discard, written
 
@@ -245,9 +245,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps: those with the smallest id of their group.
+    """The rows of ``docs``, all columns whatever their names, that ``near_duplicates`` keeps: those with the smallest id
+    of their group.
 
-    Of exactly repeated rows all stay, as they share one id.
+    Of exactly repeated rows all stay, as they share one id. Null, empty and wordless texts are in no group and stay; so
+    do rows with a null id. An empty table gives no row.
     """
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    own = fresh(docs, "__id")[0]
+    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")

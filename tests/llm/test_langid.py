@@ -78,3 +78,36 @@ def test_gradients():
         v[at] = old - 1e-5
         assert abs((up - loss()) / 2e-5 - grad[k][at]) < 1e-6
         v[at] = old
+
+
+def test_every_count_has_a_share_of_places():
+    assert all(li.sample_share(n) * li.PLACES >= 1 for n in (1, 300, 3 * 10**8, 10**10, 10**13)) and li.sample_share(10**10) * 10**10 == pytest.approx(300)
+
+
+def test_labels_against_a_plain_forward_pass(docs):
+    """Each document's label and score by stepping its whole text position by position."""
+    network = li.trained(docs)
+    sigmoid = lambda x: np.clip(0.2 * x + 0.5, 0, 1)
+    h = network.hidden
+
+    def states(raw, d):
+        state, out = np.zeros(h), []
+        for byte in raw:
+            x, u = network.p["x" + d][:, byte], network.p["u" + d] @ state
+            r, z = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+            new = np.tanh(x[2 * h :] + r * u[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return np.array(out)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id % 27 = 0").collect()}
+    for r in li.report(docs).where("doc_id % 27 = 0").collect():
+        total = np.zeros(len(network.languages))
+        raw = texts[r["doc_id"]].encode()
+        for at in range(0, len(raw), li.WINDOW):
+            part = raw[at : at + li.WINDOW]
+            logits = states(part, "0") @ network.p["o0"].T + states(part[::-1], "1")[::-1] @ network.p["o1"].T + network.p["b"].T
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+        total /= len(raw)
+        assert network.languages[int(total.argmax())] == r["lang_pred"] and r["score"] == pytest.approx(total.max(), abs=1e-4)

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -32,30 +34,68 @@ def test_round_trip(spark, tmp_path, monkeypatch):
 
 
 def test_filters_skip_payloads():
+    row = {"page_id": 1, "record_type": "response", "target_uri": None, "payload_digest": "d", "payload_bytes": 10_000_000, "refers_to": None}
+
     class File:
         """An archive of one record, whose payload must not be read."""
 
         def __init__(self):
-            self.raw, self.at = warc.head({"page_id": 1, "record_type": "response", "target_uri": None, "payload_digest": "d", "payload_bytes": 10_000_000, "refers_to": None}, 10_000_000), 0
+            self.raw, self.at = warc.head(row, 10_000_000, datetime.now()), 0
 
-        def size(self):
-            return len(self.raw) + 10_000_004
+        def seekable(self):
+            return True
 
         def seek(self, at):
             self.at = at
 
         def read(self, n):
-            assert self.at < len(self.raw)
+            assert self.at <= len(self.raw) or self.at == len(self.raw) + 10_000_004
             self.at += n
             return self.raw[self.at - n : self.at]
 
-    assert [(v["page_id"], n) for v, _, n in warc.records(File())] == [(1, 10_000_000)]
+    assert [v["page_id"] for v, _, _ in warc.records(File())] == [1]
     reader = warc.WarcReader(["page_id"], "x")
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert [f.attribute for f in reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("page_id",), 3)])] == [("page_id",)]
 
 
+def test_headers_of_responses_and_revisits(spark, tmp_path):
+    body = "z" * 150
+    warc.archived(pages(spark, [(1, "http://a/1", body, 0), (2, "http://a/2", body, 0)]), str(tmp_path / "w"))
+    raw = "".join((tmp_path / "w" / f).read_bytes().decode() for f in os.listdir(tmp_path / "w"))
+    first, second = sorted(raw.split("WARC/1.1\r\n")[1:], key=lambda r: "revisit" in r)
+    assert "WARC-Record-ID: <urn:page:1>" in first and f"{body}\r\n\r\n" in first and "WARC-Profile" not in first
+    assert f"WARC-Profile: {warc.PROFILE}" in second and "WARC-Refers-To: <urn:page:1>" in second and body not in second
+    assert raw.count("WARC-Date: ") == 2 and raw.count("HTTP/1.1 200 OK\r\n") == 2
+
+
+def test_compressed_and_foreign_archives(spark, tmp_path):
+    record = lambda kind, block, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    parts = [record("warcinfo", "software: x"), record("response", "HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody", "Content-Type: application/http\r\nWARC-Target-URI: http://x/\r\n"), record("resource", "y" * 5000), record("metadata", "")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts))
+    got = spark.read.format("warc").load(str(tmp_path)).collect()
+    want = [("warcinfo", None, b"software: x"), ("response", "http://x/", b"body"), ("resource", None, b"y" * 5000), ("metadata", None, b"")]
+    assert sorted((r["record_type"], r["target_uri"], bytes(r["payload"])) for r in got) == sorted(want * 2, key=lambda x: (x[0], x[1] or ""))
+    skipped = spark.read.format("warc").schema(warc.HEADER_SCHEMA).load(str(tmp_path)).where("record_type = 'metadata'")
+    assert [r["payload_bytes"] for r in skipped.collect()] == [0, 0]
+
+
+def test_a_broken_payload_shows(spark, tmp_path, monkeypatch):
+    write = warc.archived
+
+    def broken(rows, path):
+        write(rows, path)
+        for f in os.listdir(path):
+            raw = open(f"{path}/{f}", "rb").read()
+            open(f"{path}/{f}", "wb").write(raw.replace(b"zzz", b"zyz", 1))
+
+    monkeypatch.setattr(warc, "archived", broken)
+    (row,) = warc.report(pages(spark, [(1, "u", "z" * 50, 0)])).collect()
+    assert row["payload_bytes"] == 50 and row["payload_digest"] == hashlib.sha256(b"zyz" + b"z" * 47).hexdigest()
+
+
 def test_repeated_rows_and_empty_tables(spark):
     body = "y" * 200
     rows = warc.report(pages(spark, [(7, "u", body, 1), (7, "u", body, 1), (8, "u", body, 1)])).collect()
