@@ -22,6 +22,11 @@ class Analytics:
         """The taxonomy, which a caller reads as a whole, nested."""
         return topics.nested(topics.tree_rows(self.t["topics"], root).collect(), root)
 
+    def covered_tree(self, root: str | None = None) -> list[dict]:
+        """The nested taxonomy with each node's coverage counts."""
+        found = topics.coverage(self.t["topics"], self.t["note_topics"], self.t["cards"], self.t["card_stats"], True)
+        return topics.nested(topics.covered_tree(found, root).collect(), root)
+
     def _known(self, path: str) -> bool:
         return not self.t["topics"].where(F.col("path") == path).isEmpty()
 
@@ -49,7 +54,7 @@ class Analytics:
         if decks or tags:
             kept = filters.filtered(self.t["notes"], self.t["cards"], Filters(decks=decks, tags=tags))
             pairs = pairs.join(kept.select(F.col("note_id").alias("b")), "b", "left_semi")
-        members = duplicates.clusters(pairs, filters.review_counts(self.t["cards"]), threshold)
+        members = duplicates.clusters(pairs, filters.review_counts(self.t["cards"]), threshold, active)
         shown = duplicates.listed(members, active, most)
         return shown, duplicates.stats(shown, active)
 

@@ -33,21 +33,25 @@ def canonical_list(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: canonical(t)), lambda t: t != "")))
 
 
-def problems(tag: Column) -> Column:
-    """What is wrong with a tag, as messages in a fixed order."""
+def problems(tag: Column, known: Column | None = None) -> Column:
+    """What is wrong with a tag, as messages in a fixed order. ``known`` says whether it is a topic tag of the vocabulary,
+    which may have underscores."""
     tag = trimmed(tag)
+    spared = (tag == "cognitive_bias") | (F.lit(False) if known is None else F.coalesce(known, F.lit(False)))
+    domain = F.regexp_extract(tag, "^(" + "|".join(p[:-1] for p in TOPIC_PREFIXES) + ")_", 1)
+    offending = F.get(F.filter(F.split(tag, "::"), lambda p: p.contains("_")), F.lit(0))
     parts = F.split(tag, "::")
     head = F.get(parts, F.lit(0))
     second = F.get(parts, F.lit(1))
     nested = F.size(parts) > 1
     found = F.array(
         F.when(tag == "", "Tag is empty or whitespace-only"),
-        F.when(is_topic(tag) & (tag != "cognitive_bias"), F.concat(F.lit("Use '::' for domain prefix, not '_': '"), tag, F.lit("'"))),
+        F.when((domain != "") & ~spared, F.concat(F.lit("Use '::' for domain prefix, not '_': '"), tag, F.lit("' -> '"), domain, F.lit("::"), F.substring(tag, F.char_length(domain) + 2, F.char_length(tag)), F.lit("'"))),
         F.when(tag.contains("/"), F.concat(F.lit("Use '::' for hierarchy, not '/': '"), tag, F.lit("'"))),
         F.when(F.size(parts) > 2, F.concat(F.lit("Tag too deep (max 2 levels): '"), tag, F.lit("' has "), F.size(parts), F.lit(" levels"))),
         F.when(nested & (head != F.lower(head)), F.concat(F.lit("Prefix should be lowercase: '"), head, F.lit("'"))),
         F.when(nested & (second != F.lower(second)) & ~second.rlike(r"^\p{Lu}"), F.concat(F.lit("Topic should be lowercase: '"), second, F.lit("'"))),
-        F.when(tag.contains("_") & (tag != "cognitive_bias"), F.concat(F.lit("Use '-' between words, not '_': '"), tag, F.lit("'"))),
+        F.when(offending.isNotNull() & ~spared, F.concat(F.lit("Use '-' between words, not '_': '"), offending, F.lit("'"))),
         F.when(tag.contains("::::"), "Duplicate '::' separator found"),
         F.when(tag.contains("--"), "Duplicate '-' separator found"),
     )
@@ -84,5 +88,7 @@ def suggestions(tags: DataFrame, vocabulary: DataFrame, most: int = 3, within: i
 def audit(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(tag, normalized, valid, issues, suggestions) of each distinct tag."""
     hints = suggestions(tags, vocabulary).groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "suggestion"))), lambda s: s["suggestion"]).alias("suggestions"))
-    rows = tags.select(trimmed(F.col("tag")).alias("tag")).distinct().withColumns({"normalized": canonical(F.col("tag")), "issues": problems(F.col("tag"))})
+    rows = tags.select(trimmed(F.col("tag")).alias("tag")).distinct()
+    rows = rows.join(vocabulary.select("tag", F.lit(True).alias("known")).distinct(), "tag", "left")
+    rows = rows.withColumns({"normalized": canonical(F.col("tag")), "issues": problems(F.col("tag"), F.col("known"))}).drop("known")
     return rows.join(hints, "tag", "left").withColumns({"valid": F.size("issues") == 0, "suggestions": F.coalesce("suggestions", F.array().cast("array<string>"))})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entities in the order in which they are replaced: &amp; first, so doubly escaped text is unescaped twice.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&nbsp;", " "))
+#: Stands around code while a text is taken apart: a character that no text has.
+MARK = "\uffff"
 #: Names of fields by role.
 FRONT = ("front", "question", "prompt", "q", "text", "sentence")
 BACK = ("back", "answer", "response", "a", "definition", "meaning")
@@ -33,11 +37,24 @@ def expand_cloze(text: Column) -> Column:
     return F.regexp_replace(text, r"\{\{c\d+::(.*?)(?:::[^}]*)?\}\}", "$1")
 
 
-def strip_html(text: Column) -> Column:
-    """Plain text: clozes expanded, tags dropped, entities decoded, white space folded. Code is kept as plain text."""
-    text = expand_cloze(text)
-    text = F.regexp_replace(text, r"<br ?/?>|</?(?:p|div|P|DIV)>|<(?:li|LI)>|&nbsp;", "\n")
-    text = html_unescape(F.regexp_replace(text, r"<[^>]+>", ""))
+def strip_html(text: Column, keep_code: bool = False) -> Column:
+    """Plain text: clozes expanded, tags dropped, entities decoded, white space folded.
+
+    Code is kept as plain text, or with ``keep_code`` between backticks, its tags and clozes as they are.
+    """
+
+    def plain(part: Column) -> Column:
+        part = F.regexp_replace(expand_cloze(part), r"<br ?/?>|</?(?:p|div|P|DIV)>|<(?:li|LI)>|&nbsp;", "\n")
+        return html_unescape(F.regexp_replace(part, r"<[^>]+>", ""))
+
+    if keep_code:
+        # Odd parts are the code, as the text is cut at the marks around it.
+        blocks = F.regexp_replace(text, r"(?is)<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>", f"{MARK}$1{MARK}")
+        parts = F.split(F.regexp_replace(blocks, r"(?is)<code[^>]*>(.*?)</code>", f"{MARK}$1{MARK}"), MARK, -1)
+        done = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("`"), html_unescape(p), F.lit("`"))).otherwise(plain(p)))
+        text = F.array_join(done, "")
+    else:
+        text = plain(text)
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -102,23 +119,42 @@ def image_urls(html: Column, base: Column) -> Column:
     return F.transform(found, lambda u: F.when(u.rlike(r"^\w+://"), u).when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/"), F.concat(origin, u)).otherwise(F.concat(folder, u)))
 
 
+def _folded() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters whose compatibility decomposition without marks is one letter or digit, what that is, and Latin ones
+    that decompose to several."""
+    one, to, several = [], [], []
+    for code in range(0x80, 0x10000):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).lower()
+        if len(bare) == 1 and (bare.isascii() and bare.isalnum() or bare in " _./\\-"):
+            one.append(chr(code))
+            to.append(bare)
+        elif len(bare) > 1 and bare.isascii() and bare.isalnum() and "LATIN" in unicodedata.name(chr(code), ""):
+            several.append((chr(code), bare))
+    return "".join(one), "".join(to), tuple(several)
+
+
+FOLDED = _folded()
+
+
 def slug(text: Column, separator: str = "-", most: int = 50) -> Column:
     """Lower case letters and digits of the Latin alphabet; blanks and ``_ . / \\ -`` part words, all else is dropped.
 
-    Accents go by a table of Latin letters. A slug that is too long is cut at its last separator within ``most``.
+    Characters are decomposed and lose their marks, ß is s. A slug that is too long is cut at its last separator within
+    ``most``.
     """
-    low = F.translate(F.lower(text), "ßàáâäãåèéêëìíîïòóôöõùúûüñç", "saaaaaaeeeeiiiiooooouuuunc")
-    bare = F.regexp_replace(F.regexp_replace(low, r"[ _./\\\\-]", separator), rf"[^a-z0-9{separator}]", "")
+    one, to, several = FOLDED
+    low = F.translate(F.lower(replaced(text, several)), "ß" + one, "s" + to)
+    bare = F.regexp_replace(F.regexp_replace(low, r"[ _./\\-]", separator), rf"[^a-z0-9{separator}]", "")
     full = F.regexp_replace(F.regexp_replace(bare, rf"{separator}{{2,}}", separator), rf"^{separator}+|{separator}+$", "")
     cut = F.regexp_replace(F.left(full, F.lit(most)), rf"{separator}[^{separator}]*$", "")
     return F.when(F.char_length(full) <= most, full).otherwise(cut)
 
 
 def card_slug(topic: Column, keyword: Column, index: Column, lang: Column, most: int = 100) -> Column:
-    """``topic-keyword-index-lang``; both halves are cut if it would be too long."""
+    """``topic-keyword-index-lang``; both halves are cut if it would be too long, and have a default if they are empty."""
     end = F.concat_ws("-", F.lit(""), index.cast("string"), F.lower(lang))
     room = F.lit(most) - F.char_length(end)
-    t, k = slug(topic), slug(keyword)
+    t, k = (F.coalesce(F.nullif(slug(x), F.lit("")), F.lit(default)) for x, default in ((topic, "untitled"), (keyword, "card")))
     half = F.floor(room / 2).cast("int")
     cut = lambda x: F.when(F.char_length(x) <= half, x).otherwise(F.regexp_replace(F.left(x, half), "-[^-]*$", ""))
     base = F.concat_ws("-", t, k)
@@ -185,9 +221,8 @@ def word_count(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-letter runs of each word, with two blanks before and one behind it."""
-    words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(runs))
+    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"(?=(  \S| \S\S| \S |\S\S\S|\S\S )).", ), F.lit(1)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -195,3 +230,29 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     x, y = trigrams(a), trigrams(b)
     every = F.size(F.array_union(x, y))
     return F.when(every > 0, F.size(F.array_intersect(x, y)) / every).otherwise(0.0)
+
+
+def split_csv(text: Column) -> Column:
+    """The values between commas, trimmed, blank ones dropped."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: trimmed(x)), lambda x: x != "")
+
+
+def rfc3339(at: Column) -> Column:
+    """A time as text with its seconds' fraction and UTC offset."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+
+
+def parsed_rfc3339(text: Column) -> Column:
+    """The time that a text gives, or null."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+
+
+def with_frontmatter(text: Column, key: str, value: Column) -> Column:
+    """A note whose frontmatter has ``key: value``: its line is replaced, added, or the block is made; the body stays."""
+    line = F.concat(F.lit(f"{key}: "), value)
+    own = frontmatter(text)
+    lines = F.split(own, "\n")
+    has = F.exists(lines, lambda x: x.startswith(f"{key}:"))
+    new = F.when(has, F.transform(lines, lambda x: F.when(x.startswith(f"{key}:"), line).otherwise(x))).otherwise(F.concat(lines, F.array(line)))
+    block = F.when(own.isNull(), line).otherwise(F.array_join(new, "\n"))
+    return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), F.when(own.isNull(), text).otherwise(body(text)))

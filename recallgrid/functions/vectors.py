@@ -35,12 +35,22 @@ def tokens(text: Column) -> Column:
     return F.filter(cleaned, lambda w: w != "")
 
 
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, n): how often each row's text has each token, over one row or several of a token.
+
+    Words are counted as they stand and cleaned after the shuffle, once for each word of a row.
+    """
+    words = docs.select(id_col, F.explode(F.split(text_col, r"(?U)\s+")).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    token = F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
+    return words.select(id_col, token.alias("token"), "n").where("token <> ''")
+
+
 def sparse_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, idx, weight): one row per distinct token hash, weights 1 + ln(count), of unit length together.
 
     The index is the first four bytes of the token's SHA-256, lowest first.
     """
-    counts = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    counts = token_counts(docs, id_col, text_col)
     idx = little_endian(F.sha2("token", 256), 8)
     weights = counts.groupBy(id_col, idx.alias("idx")).agg((1 + F.log(F.sum("n"))).alias("w"))
     norms = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -58,3 +68,8 @@ def sparse_scores(queries: DataFrame, rows: DataFrame, n_docs: DataFrame, query_
     idf = df.select("idx", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     q = queries.join(idf, "idx").select(query_col, "idx", (F.col("weight") * F.col("idf")).alias("qw"))
     return wanted.join(q, "idx").groupBy(query_col, id_col).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+
+
+def similarity_of(distance: Column) -> Column:
+    """1 for no distance, falling to 0."""
+    return 1 / (1 + distance)

@@ -127,5 +127,8 @@ def reviewed(cards: DataFrame, review: Callable[[list[dict]], list[dict]], schem
 
 def review_items(scores: DataFrame) -> DataFrame:
     """Items of reviewed dimensions (slug, dimension, score): under 0.4 of tier 3, under 0.6 of tier 2."""
-    tier = F.when(F.col("score") < 0.4, 3).otherwise(2)
-    return scores.where("score < 0.6").select(short(F.concat_ws(":", F.lit("llm"), "slug", "dimension"), 16).alias("id"), F.lit("audit").alias("loop_kind"), F.lit("low_quality").alias("kind"), "dimension", "score", tier.alias("tier"), "slug")
+    low = F.col("score") < 0.4
+    item = short(F.concat_ws(":", F.lit("llm_review"), "slug", "dimension"), 16)
+    return scores.where("score < 0.6").select(
+        item.alias("id"), F.lit("audit").alias("loop_kind"), F.lit("low_quality").alias("kind"), "dimension", "score", F.when(low, 3).otherwise(2).alias("tier"), "slug", F.when(low, 0.7).otherwise(0.6).alias("confidence")
+    )

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes
 from recallgrid.operators.components import components
 
 
+def text_key(text: Column) -> Column:
+    """What makes two texts the same: their hash with case and white space folded."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), 256)
+
+
 def exact_pairs(notes: DataFrame) -> DataFrame:
     """(a, b, similarity 1) from the first of each group of notes with the same normalised text to each other one.
 
     A star per group is enough to cluster it, and grows with the group, not with its square.
     """
-    body = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
-    keyed = notes.where(F.col("text").isNotNull()).select("note_id", F.sha2(body, 256).alias("key"))
+    keyed = notes.where(F.col("text").isNotNull()).select("note_id", text_key(F.col("text")).alias("key"))
     first = keyed.groupBy("key").agg(F.min("note_id").alias("a"))
     return keyed.join(first, "key").where("note_id > a").select("a", F.col("note_id").alias("b"), F.lit(1.0).alias("similarity"))
 
 
-def clusters(pairs: DataFrame, reps: DataFrame, least: float = 0.92) -> DataFrame:
+def clusters(pairs: DataFrame, reps: DataFrame, least: float = 0.92, notes: DataFrame | None = None) -> DataFrame:
     """(representative, size, note_id, similarity): members of clusters of linked pairs of at least ``least``.
 
     The representative has the most total repetitions, of equal ones the smallest id. A member's similarity to it is
-    that of their pair, or 0 if they are linked only by way of others.
+    that of their pair, 1 if their texts in ``notes`` are the same, or 0 if they are linked only by way of others.
     """
     close = pairs.where(F.col("similarity") >= least)
     member = components(close, "a", "b").select(F.col("id").alias("note_id"), "component")
@@ -33,6 +37,10 @@ def clusters(pairs: DataFrame, reps: DataFrame, least: float = 0.92) -> DataFram
     both = close.select("a", "b", "similarity").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     direct = both.groupBy(F.col("a").alias("representative"), F.col("b").alias("note_id")).agg(F.max("similarity").alias("similarity"))
     out = rows.join(heads, "component").where("note_id <> representative").join(direct, ["representative", "note_id"], "left")
+    if notes is not None:
+        keys = notes.where(F.col("text").isNotNull()).select("note_id", text_key(F.col("text")).alias("key"))
+        out = out.join(keys, "note_id", "left").join(keys.select(F.col("note_id").alias("representative"), F.col("key").alias("other")), "representative", "left")
+        out = out.withColumn("similarity", F.when(F.col("key") == F.col("other"), 1.0).otherwise(F.col("similarity")))
     return out.select("representative", "size", "note_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 

@@ -85,3 +85,8 @@ def neighbourhood(edges: DataFrame, node: int, hops: int, limit: int) -> DataFra
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type", "edge_source").agg(F.count("*").alias("n"))
+
+
+def without_source(edges: DataFrame, source: str) -> DataFrame:
+    """The edges that another source made."""
+    return edges.where(~F.col("edge_source").eqNullSafe(source))

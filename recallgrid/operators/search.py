@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text as tx
-from recallgrid.functions.vectors import tokens
+from recallgrid.functions.vectors import sparse_scores, token_counts, tokens
 from recallgrid.operators.filters import SearchRequest
+from recallgrid.operators.neighbours import nearest
+from recallgrid.tables import discard, written
 
 #: English words that a lexical query ignores.
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 RRF_K = 60
 FUZZY = 0.1
-#: Queries of a stated set that go to the executors together.
-QUERY_BLOCK = 512
 
 
 def stem(word: Column) -> Column:
@@ -62,64 +61,57 @@ def lexical(notes: DataFrame, query: str, limit: int = 50) -> tuple[str, DataFra
     if not query.strip():
         return "none", nothing
     for mode, stage in (("fts", full_text), ("fuzzy", fuzzy), ("autocomplete", autocomplete)):
-        found = stage(notes, query, limit)
+        found = written(stage(notes, query, limit))  # a few rows, read for the answer and by what follows
         if not found.isEmpty():
             return mode, found
+        discard(found)
     return "none", nothing
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(query_id, id, score): the ``k`` nearest of all vectors to each of a stated set of query vectors, by cosine.
+def full_text_each(notes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, note_id, rank): ``full_text`` of each of a stated set of queries (query_id, query).
 
-    Queries go to the executors in blocks of bounded size, whole table by whole table; each partition gives its own best
-    k of each query, and a window takes the best of those. A query doesn't find its own id. Zero vectors score 0.
+    Notes and queries are taken apart into stems once. A query's notes are looked for by its rarest stem, so that a
+    common one joins nothing by itself; candidates are then held against the query's other stems by (note, stem).
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    out = None
-    block: list = []
-    for r in queries.select(query_id, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            part, block = _block(spark, rows, block, k, least), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = _block(spark, rows, block, k, least)
-        out = part if out is None else out.unionByName(part)
+    words = token_counts(notes, "note_id", "text").where(~F.col("token").isin(*STOP))
+    postings = written(words.groupBy("note_id", stem(F.col("token")).alias("stem")).agg(F.sum("n").alias("n")))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(stems(F.col("query")))).alias("stem"))
+    found = postings.join(wanted.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.count("*").alias("df"))
+    wanted = written(wanted.join(found, "stem", "left").withColumn("df", F.coalesce("df", F.lit(0))))
+    # A query with a stem that no note has finds nothing.
+    rarest = wanted.groupBy("query_id").agg(F.min_by("stem", F.struct("df", "stem")).alias("stem"), F.count("*").alias("stems"), F.min("df").alias("df")).where("df > 0")
+    hits = rarest.join(postings.select("stem", "note_id"), "stem").select("query_id", "stems", "note_id")
+    shared = hits.join(wanted.select("query_id", "stem"), "query_id").join(postings, ["note_id", "stem"]).groupBy("query_id", "note_id", "stems").agg(F.count("*").alias("found"), F.sum("n").alias("n"))
+    size = postings.groupBy("note_id").agg(F.sum("n").alias("size"))
+    full = shared.where("found = stems").join(size, "note_id")
+    rows = full.select("query_id", "note_id", (F.col("n") / (1 + F.log(1 + F.col("size").cast("double")))).alias("rank"))
+    w = W.partitionBy("query_id").orderBy(F.desc("rank"), "note_id")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+
+
+def fused_each(lists: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): reciprocal rank fusion of lists (query_id, id, rank), with the best ``limit`` of each query."""
+    parts = [x.select("query_id", "id", (1 / (k + F.col("rank"))).alias("part")) for x in lists]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return rows if limit is None else rows.where(F.col("rank") <= limit)
+
+
+def chunk_search(dense_queries: DataFrame, vectors: DataFrame, sparse_queries: DataFrame, sparse: DataFrame, n_chunks: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
+    """Chunks of each query by dense and by sparse vectors, three times ``limit`` of each, fused by their ranks.
+
+    ``dense_queries`` (query_id, vector) and ``vectors`` (id, vector); ``sparse_queries`` (query_id, idx, weight) and
+    ``sparse`` (id, idx, weight), whose filters are the caller's; a query without sparse rows is a dense one. A query
+    doesn't find its own id.
+    """
+    most = 3 * limit
+    dense = nearest(dense_queries, vectors, most)
+    scored = sparse_scores(sparse_queries, sparse, n_chunks, "query_id", "id").where("query_id <> id")
+    scored = scored.withColumn("score", F.round("score", 9))  # the order in which parts are summed decides no tie
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.einsum("ij,ij->i", v, v))
-    return v / np.where(size > 0, size, 1)[:, None]
-
-
-def _block(spark, rows: DataFrame, block: list, k: int, least: float) -> DataFrame:
-    ids = np.array([q for q, _ in block], np.int64)
-    unit = spark.sparkContext.broadcast((ids, _unit(np.array([v for _, v in block], np.float64)) if block else np.zeros((0, 1))))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own = unit.value
-        held_id = np.full((len(own_ids), 0), -1, np.int64)
-        held = np.zeros((len(own_ids), 0))
-        for batch in batches:
-            if not batch.num_rows or not len(own_ids):
-                continue
-            found = batch.column(0).to_numpy()
-            v = _unit(np.array(batch.column(1).to_pylist(), np.float64))
-            score = own @ v.T
-            score[(score < least) | (own_ids[:, None] == found[None, :])] = -np.inf
-            held = np.concatenate([held, score], axis=1)
-            held_id = np.concatenate([held_id, np.broadcast_to(found, score.shape)], axis=1)
-            order = np.lexsort((held_id, -held), axis=1)[:, :k]
-            held, held_id = np.take_along_axis(held, order, 1), np.take_along_axis(held_id, order, 1)
-        some = np.isfinite(held)
-        query = np.broadcast_to(own_ids[:, None], held.shape)[some]
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(held_id[some]), pa.array(held[some])], ["query_id", "id", "score"])
-
-    return rows.mapInArrow(best, "query_id long, id long, score double")
+    lexical_side = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return fused_each([dense, lexical_side], k, limit)
 
 
 def best_chunks(hits: DataFrame) -> DataFrame:

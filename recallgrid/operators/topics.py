@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.operators.neighbours import nearest
+
 MATURE = 21
 
 
@@ -108,8 +110,9 @@ def tree_rows(topics: DataFrame, root: str | None = None, max_depth: int | None
 
 
 def nested(rows: list, root: str | None = None) -> list[dict]:
-    """The tree of collected ``tree_rows`` as nested dictionaries, for a response to a caller."""
-    nodes = {r["path"]: {"path": r["path"], "label": r["label"], "children": []} for r in rows}
+    """The tree of collected ``tree_rows`` or ``covered_tree`` as nested dictionaries, for a response to a caller."""
+    left_out = {"topic_id", "parent", "depth"}
+    nodes = {r["path"]: {k: v for k, v in r.asDict().items() if k not in left_out} | {"children": []} for r in rows}
     out = []
     for r in rows:
         up = nodes.get(r["parent"]) if r["path"] != root else None
@@ -117,6 +120,36 @@ def nested(rows: list, root: str | None = None) -> list[dict]:
     return out
 
 
+def similarities(notes: DataFrame, topics: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
+    """(note_id, topic_id, path, confidence): the ``most`` topics whose label's vector is nearest to each note's, by cosine.
+
+    ``notes`` has note_id and vector, ``topics`` topic_id, path and vector; ids of the two are told apart, and equal
+    confidences go by topic id. The notes are the stated queries, all topics are searched.
+    """
+    other = topics.select((-1 - F.col("topic_id").cast("long")).alias("id"), "vector")  # a note may have a topic's id
+    found = nearest(notes.select(F.col("note_id").alias("query_id"), "vector"), other, most, least)
+    rows = found.select(F.col("query_id").alias("note_id"), (-1 - F.col("id")).alias("topic_id"), F.col("score").alias("confidence"))
+    return rows.join(topics.select(F.col("topic_id").cast("long").alias("topic_id"), "path"), "topic_id").select("note_id", "topic_id", "path", "confidence")
+
+
+def covered_tree(coverage_rows: DataFrame, root: str | None = None) -> DataFrame:
+    """Pre-order rows of the taxonomy with the counts of each node's coverage, for ``nested`` to put together."""
+    rows = tree_rows(coverage_rows, root)
+    counts = coverage_rows.drop("label", "path")
+    return rows.join(counts, "topic_id").orderBy(F.split("path", "/"))
+
+
+def upserted_ids(stored: DataFrame, tree: DataFrame) -> DataFrame:
+    """(topic_id, path, label) after an upsert by path: known paths keep their id and take the new label, new ones get
+    the ids after the largest, in the order of their paths."""
+    fresh = tree.select("path", F.col("label").alias("new_label")).dropDuplicates(["path"])
+    most = stored.agg(F.coalesce(F.max("topic_id"), F.lit(0)).cast("long").alias("most"))
+    both = stored.join(fresh, "path", "full_outer").crossJoin(F.broadcast(most))
+    # A taxonomy is a list that callers write by hand; its new paths are numbered in one window.
+    number = F.row_number().over(W.partitionBy(F.col("topic_id").isNull()).orderBy("path"))
+    return both.select(F.coalesce(F.col("topic_id").cast("long"), F.col("most") + number).alias("topic_id"), "path", F.coalesce("new_label", "label").alias("label"))
+
+
 def labels(similarities: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
     """The ``most`` best topics of each note among (note_id, topic_id, path, confidence) rows of at least ``least``."""
     w = W.partitionBy("note_id").orderBy(F.desc("confidence"), "path")

@@ -15,39 +15,46 @@ TIERS = {"auto_fix": 1, "quick_fix": 2, "rework": 3, "delete": 4}
 #: Allowed changes of an item's status (fixed values).
 TRANSITIONS = {
     ("open", "in_progress"), ("open", "fixed"), ("open", "skipped"), ("open", "wont_fix"), ("in_progress", "fixed"),
-    ("in_progress", "skipped"), ("in_progress", "open"), ("fixed", "open"), ("skipped", "open"),
+    ("in_progress", "skipped"), ("in_progress", "wont_fix"), ("in_progress", "open"), ("fixed", "open"),
 }
 RESOLVED = ("fixed", "skipped", "wont_fix")
-ITEM = ("id", "loop_kind", "kind", "dimension", "score", "message", "tier", "status", "slug", "confidence")
+ITEM = ("id", "loop_kind", "kind", "dimension", "score", "message", "tier", "status", "slug", "source_path", "confidence")
 
 
-def _items(rows: DataFrame, discriminator: Column, kind: str, tier: Column | int, confidence: float, prefix: str = "", **more: Column) -> DataFrame:
+def _items(rows: DataFrame, item_id: Column, kind: str, tier: Column | int, confidence: Column | float, loop: str = "audit", slug: Column | None = None, source: Column | None = None, **more: Column) -> DataFrame:
     fields = {"dimension": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "message": F.lit(None).cast("string")} | more
+    nothing = F.lit(None).cast("string")
     return rows.select(
-        hashes.item_id(prefix, F.col("slug"), discriminator).alias("id"),
-        F.lit("audit").alias("loop_kind"),
+        item_id.alias("id"),
+        F.lit(loop).alias("loop_kind"),
         F.lit(kind).alias("kind"),
         *[fields[c].alias(c) for c in ("dimension", "score", "message")],
         (F.lit(tier) if isinstance(tier, int) else tier).alias("tier"),
         F.lit("open").alias("status"),
-        "slug",
-        F.lit(confidence).alias("confidence"),
+        (nothing if slug is None else slug).alias("slug"),
+        (nothing if source is None else source).alias("source_path"),
+        (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"),
     )
 
 
+def _of_card(rows: DataFrame, discriminator: Column, kind: str, tier: Column | int, confidence: Column | float, prefix: str = "", **more: Column) -> DataFrame:
+    slug = F.col("slug")
+    return _items(rows, hashes.item_id(prefix, slug, discriminator), kind, tier, confidence, slug=slug, **more)
+
+
 def audit(registry: DataFrame) -> DataFrame:
     """Items of each card (slug, front, back, tags): validation issues, low dimensions, dead skills, missing tags."""
     front, back, tags = F.col("front"), F.col("back"), F.coalesce("tags", F.array().cast("array<string>"))
     found = registry.select("slug", F.explode(quality.card_issues(front, back, tags)).alias("i")).where("i.severity <> 'info'")
     tier = F.when(F.col("i.severity") == "error", TIERS["quick_fix"]).otherwise(TIERS["auto_fix"])
-    parts = [_items(found, F.concat(F.lit("validation:"), "i.message"), "validation_error", tier, 1.0, message=F.col("i.message"))]
+    parts = [_of_card(found, F.concat(F.lit("validation:"), "i.message"), "validation_error", tier, 1.0, message=F.col("i.message"))]
     scores = quality.scores(front, back, tags)
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), scores[d].alias("score")) for d in quality.DIMENSIONS]))
     low = registry.select("slug", each.alias("d")).where("d.score < 0.5")
-    parts.append(_items(low, F.concat(F.lit("quality:"), "d.dimension"), "low_quality", TIERS["quick_fix"], 0.8, dimension=F.col("d.dimension"), score=F.col("d.score")))
-    parts.append(_items(registry.where(F.array_contains(tags, "skill::dead")), F.lit("dead_skill"), "dead_skill", TIERS["delete"], 0.9))
+    parts.append(_of_card(low, F.concat(F.lit("quality:"), "d.dimension"), "low_quality", TIERS["quick_fix"], 0.8, dimension=F.col("d.dimension"), score=F.col("d.score")))
+    parts.append(_of_card(registry.where(F.array_contains(tags, "skill::dead")), F.lit("dead_skill"), "dead_skill", TIERS["delete"], 0.9))
     bare = ~F.exists(tags, lambda t: t.startswith("topic::") | t.startswith("skill::"))
-    parts.append(_items(registry.where(bare), F.lit("missing_tags"), "missing_tags", TIERS["auto_fix"], 1.0))
+    parts.append(_of_card(registry.where(bare), F.lit("missing_tags"), "missing_tags", TIERS["auto_fix"], 1.0))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -86,25 +93,34 @@ def retention(cards: DataFrame, card_stats: DataFrame, registry: DataFrame, now:
     rework = F.when(known, (F.col("stability") < 5) & (F.col("difficulty") > 7)).otherwise((F.col("ease") < 1800) & (F.col("lapses") >= 5))
     delete = F.when(known, (F.col("stability") < 2) & (F.col("difficulty") > 8.5) & (F.col("reps") >= 10)).otherwise((F.col("ease") < 1500) & (F.col("reps") >= 10))
     quick = F.when(known, F.col("recall") < 0.5).otherwise(rate > 0.4) & (reviews >= 5)
-    rule = F.when(rework, "fsrs_low_stability_rework").when(delete, "fsrs_persistently_difficult_delete").when(quick, "fsrs_low_retrievability")
+    rule = F.when(rework, "fsrs_low_stability_rework").when(delete, "fsrs_persistently_difficult_delete").when(quick, "fsrs_low_retrievability_quickfix")
     tier = F.when(rework, TIERS["rework"]).when(delete, TIERS["delete"]).otherwise(TIERS["quick_fix"])
     clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     score = F.when(known, clamp(F.col("stability") / 100) * 0.7 + clamp(1 - (F.col("difficulty") - 1) / 9) * 0.3).otherwise(clamp(F.col("ease") / 5000) * (1 - rate))
     rows = rows.withColumns({"rule": rule, "tier": tier, "score": score}).where("rule is not null")
-    return _items(rows, F.col("rule"), "low_quality", F.col("tier"), 0.85, prefix="fsrs", dimension=F.lit("retention"), score=F.col("score"))
+    confidence = F.when(rework, 0.85).when(delete, 0.9).otherwise(0.8)
+    return _of_card(rows, F.col("rule"), "low_quality", F.col("tier"), confidence, prefix="fsrs", dimension=F.lit("retention"), score=F.col("score"))
 
 
 def uncovered(vault: DataFrame, registry: DataFrame) -> DataFrame:
-    """Items of vault notes (path) that no card comes from."""
-    rows = vault.select(F.col("path").alias("slug")).distinct().join(registry.select(F.col("source_path").alias("slug")), "slug", "left_anti")
-    return _items(rows, F.lit("uncovered_topic"), "uncovered_topic", TIERS["rework"], 0.7, prefix="gen")
+    """Items of vault notes (path) that no card comes from; they are for the generation loop and have no slug."""
+    path = F.col("path")
+    rows = vault.select("path").distinct().join(registry.select(F.col("source_path").alias("path")), "path", "left_anti")
+    return _items(rows, hashes.item_id("gen", path, F.lit("uncovered")), "uncovered_topic", TIERS["rework"], 0.9, loop="generation", source=path)
 
 
 def stale(registry: DataFrame, files: DataFrame) -> DataFrame:
-    """Items of cards whose stored hash isn't that of their source file (path, content) any more."""
-    now = files.select(F.col("path").alias("source_path"), hashes.file_hash(F.col("content")).alias("current"))
-    rows = registry.join(now, "source_path").where("content_hash <> current")
-    return _items(rows, F.lit("stale_content"), "stale_content", TIERS["quick_fix"], 0.9, prefix="stale")
+    """Items of sources whose stored hash isn't that of their file (path, content) any more, or whose file is gone.
+
+    ``registry`` has note_id, source_path and content_hash; of several notes of a source the last one counts, notes
+    without a hash don't. A source gives one item, whose id is that of its path.
+    """
+    stored = registry.where("content_hash is not null").groupBy("source_path").agg(F.max_by("content_hash", "note_id").alias("stored"))
+    now = files.select(F.col("path").alias("source_path"), hashes.file_hash(F.col("content")).alias("current"), F.lit(True).alias("there"))
+    rows = stored.join(now, "source_path", "left").where("there is null or stored <> current")
+    gone, path = F.col("there").isNull(), F.col("source_path")
+    message = F.concat(F.when(gone, "Source note deleted: ").otherwise("Source note modified since last sync: "), path)
+    return _items(rows, hashes.short(F.concat(F.lit("stale:"), path), 16), "stale_content", TIERS["quick_fix"], F.when(gone, 0.95).otherwise(0.9), source=path, message=message)
 
 
 def batched(items: DataFrame, size: int = 10) -> DataFrame:

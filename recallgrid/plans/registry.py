@@ -1,56 +1,20 @@
-"""Queries over the given tables, one per operator or group of operators, with the SQL they must equal."""
+"""Queries over the given tables, one per operator or group of operators, with the SQL they must equal.
 
-from __future__ import annotations
+The modules beside this one hold those of search, text and work items.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes, quality, tags, vectors
 from recallgrid.functions import text as tx
-from recallgrid.operators import documents, duplicates, filters, graph, reports, search, sync, topics, worklist
+from recallgrid.operators import documents, duplicates, filters, graph, neighbours, reports, search, sync, topics, worklist
+from recallgrid.plans.base import ORACLES, QUERIES, query
 from recallgrid.session import table
 from recallgrid.sources import catalog as c
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: The logical tables in SQL, as in sources.catalog.
-VIEWS = """
-    topics AS (
-        SELECT r_regionkey AS topic_id, r_name AS path, r_name AS label FROM region
-        UNION ALL SELECT n_nationkey + 100, r_name || '/' || n_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-    notes AS (
-        SELECT c_custkey AS note_id, c_custkey % 4 + 200 AS model_id, lower(c_name) || ' ' || lower(c_mktsegment) AS text,
-            [lower(c_mktsegment), 'tag-' || (c_custkey % 24)] AS tags, c_custkey % 17 = 0 AS deleted FROM customer),
-    note_topics AS (
-        SELECT c_custkey AS note_id, c_nationkey + 100 AS topic_id, least(greatest((c_acctbal + 1000) / 11000, 0), 1) AS confidence FROM customer
-        UNION ALL SELECT c_custkey, n_regionkey, least(greatest((c_acctbal + 1000) / 11000, 0), 1) * 0.5 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0),
-    cards AS (
-        SELECT o_orderkey AS card_id, o_custkey AS note_id, o_orderpriority AS deck, o_orderkey % 60 AS ivl, o_orderkey % 7 AS lapses, o_orderkey % 25 AS reps, o_orderkey % 2000 + 1300 AS ease FROM orders),
-    card_stats AS (SELECT l_orderkey AS card_id, count(*) AS reviews, avg((l_returnflag = 'R')::INT) AS fail_rate FROM lineitem GROUP BY 1),
-    reviews AS (
-        SELECT epoch_ms(ts) AS review_ms, user_id AS card_id, CASE WHEN event_type = 'error' THEN 1 ELSE 3 END AS ease, event_id % 1200 + 1300 AS factor, floor(value)::BIGINT AS time_ms FROM events)
-"""
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a query; its SQL may use the logical tables."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            text = sql.strip()
-            recursive = text.upper().startswith("RECURSIVE")
-            text = text[len("RECURSIVE") :].strip() if recursive else text
-            head = f"WITH {'RECURSIVE ' if recursive else ''}{VIEWS}"
-            ORACLES[name] = f"{head}, {text[4:].lstrip()}" if text.upper().startswith("WITH") else f"{head} {text}"
-        return f
-
-    return add
-
-
 COVERAGE = """
     SELECT t.topic_id, t.path, t.label,
         count(DISTINCT a.note_id) AS note_count,
@@ -110,10 +74,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return topics.tree_rows(c.topics(spark, d))
 
 
-@query("vec10_topic_labels", """
-    WITH s AS (SELECT c_custkey AS note_id, c_nationkey + 100 AS topic_id, (c_acctbal + 1000) / 11000 AS confidence FROM customer),
-    a AS (SELECT s.note_id, t.topic_id, t.path, round(s.confidence * (CASE WHEN contains(t.path, '/') THEN 1 ELSE 0.9 END), 9) AS confidence FROM s JOIN topics p ON p.topic_id = s.topic_id JOIN topics t ON t.path = p.path OR starts_with(p.path, t.path || '/'))
-    SELECT note_id, topic_id, path, confidence FROM a WHERE confidence >= 0.6 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY confidence DESC, path) <= 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = c.topics(spark, d)
     s = c.note_topics(spark, d).where("topic_id >= 100").join(t.select("topic_id", "path"), "topic_id")
@@ -176,7 +136,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rank <= 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.nearest(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 20).withColumn("score", F.round("score", 6))
+    return neighbours.nearest(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 20).withColumn("score", F.round("score", 6))
 
 
 @query("kg01_similarity_edges", """
@@ -186,7 +146,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, target, round(max(s), 6) AS weight FROM e GROUP BY 1, 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    pairs = search.nearest(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 20).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
+    pairs = neighbours.nearest(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 20).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
     return graph.similarity_edges(pairs, 0.3, 0.9).select("source", "target", F.round("weight", 6).alias("weight"))
 
 
@@ -203,11 +163,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return vectors.sparse_rows(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query("vec04_sparse_scores", f"""
-    WITH {SPARSE}, q AS (SELECT doc_id AS query_id, idx, weight FROM s WHERE doc_id % 200 = 0),
-    f AS (SELECT idx, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM s WHERE idx IN (SELECT idx FROM q) GROUP BY 1),
-    x AS (SELECT query_id, s.doc_id, sum(s.weight * q.weight * idf) AS score FROM q JOIN f USING (idx) JOIN s USING (idx) GROUP BY 1, 2)
-    SELECT query_id, doc_id, round(score, 6) AS score FROM x""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     rows = vectors.sparse_rows(docs, "doc_id", "text")
@@ -272,11 +227,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.best_chunks(lines)
 
 
-@query("srch01_hybrid_search")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text", F.lit(False).alias("deleted"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = search.nearest(v.where("id = 7").withColumnRenamed("id", "query_id"), v, 200)
+    near = neighbours.nearest(v.where("id = 7").withColumnRenamed("id", "query_id"), v, 200)
     hits = near.select(F.col("id").alias("note_id"), F.col("id").alias("chunk_id"), "score")
     return search.hybrid(filters.SearchRequest("the and of", limit=50), docs, hits)[0].select("note_id", "rrf_score", "semantic_rank", "fts_rank")
 
@@ -389,12 +343,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("slug", F.explode(quality.card_issues(F.col("front"), F.col("back"), F.col("tags"))).alias("i")).select("slug", "i.severity", "i.message")
 
 
-@query("scn01_audit_items", f"WITH {PAIRS} SELECT left(sha256(slug || ':missing_tags'), 16) AS id, 'missing_tags' AS kind, 1 AS tier, slug FROM pairs")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return worklist.audit(_registry(spark, d)).where("kind = 'missing_tags'").select("id", "kind", "tier", "slug")
 
 
-@query("scn02_retention_items")
 def _(spark: SparkSession, d: str) -> DataFrame:
     slugs = c.notes(spark, d).select("note_id", F.concat(F.lit("n-"), "note_id").alias("slug"))
     stats = c.card_stats(spark, d).withColumn("last_review_at", F.lit("2024-01-01").cast("timestamp"))
@@ -466,12 +418,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", tags.canonical(F.col("n_name")).alias("tag"))
 
 
-@query("fc01_workload")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return reports.workload(c.cards(spark, d), 30)
 
 
-@query("agg18_workload_summary")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return reports.workload_summary(reports.workload(c.cards(spark, d), 30))
 
@@ -513,10 +463,6 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat_ws("-", F.lit("v/c"), "conv_id", F.concat("turn", F.lit(".md"))).alias("path"), F.concat(F.lit("# "), "role", F.lit("\n"), "text").alias("content"))
 
 
-@query("rag01_chunks", """
-    WITH f AS (SELECT 'v/c-' || conv_id || '-' || turn || '.md' AS path, 'c-' || conv_id || '-' || turn AS stem, role, trim(text) AS t, trim('# ' || role || chr(10) || text) AS w FROM conversations)
-    SELECT path, stem || '_' || role || '_' || left(sha256(path), 8) AS chunk_id, 'section' AS kind, length(t) AS n FROM f WHERE strlen(t) >= 50 AND length(t) <= 2000
-    UNION ALL SELECT path, stem || '_full_' || left(sha256(path), 8), 'full_content', length(w) FROM f WHERE strlen(t) < 50 AND strlen(w) >= 50""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunks(_files(spark, d)).where(F.char_length("content") <= 2000).select("path", "chunk_id", "kind", F.char_length("content").cast("long").alias("n"))
 
@@ -532,7 +478,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return documents.previews(_files(spark, d)).select("path", "slug", "title")
 
 
-@query("val03_html_issues", "SELECT page_id, 'Forbidden HTML tag <script> in back' AS message FROM pages WHERE contains(html, '<script>')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     found = pages.select("page_id", F.explode(F.array_distinct(quality.html_issues(F.col("html"), "Back"))).alias("i"))
@@ -549,13 +494,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sync.orphans(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")), "k")
 
 
-@query("jn16_uncovered", "SELECT left(sha256('gen:doc-' || doc_id || ':uncovered_topic'), 16) AS id, 'doc-' || doc_id AS slug FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("doc-"), "doc_id")
     return worklist.uncovered(table(spark, d, "documents").select(name.alias("path")), table(spark, d, "labels").select(name.alias("source_path"))).select("id", "slug")
 
 
-@query("jn18_stale", "SELECT left(sha256('stale:d' || doc_id || ':stale_content'), 16) AS id, 'd' || doc_id AS slug FROM documents WHERE doc_id % 4 = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     stored = F.when(F.col("doc_id") % 4 == 1, "old").otherwise(hashes.file_hash(F.col("text")))
@@ -563,7 +506,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return worklist.stale(cards, docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).select("id", "slug")
 
 
-@query("prj03_deck_names", "SELECT note_id, array_to_string(list_sort(list(DISTINCT deck)), '|') AS decks FROM cards GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return c.cards(spark, d).groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("deck")), "|").alias("decks"))
 
@@ -616,7 +558,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", F.explode(tx.sections(F.col("content"))).alias("s")).select("path", "s.heading", "s.level")
 
 
-@query("tag02_tag_problems", "SELECT n_nationkey, 'Use ''-'' between words, not ''_'': ''' || n_name || '''' AS problem FROM nation WHERE contains(n_name, '_')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.explode(tags.problems(F.col("n_name"))).alias("problem"))
 
@@ -632,7 +573,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tags.suggestions(asked, brands.select(F.col("p_brand").alias("tag"))).select("tag", "suggestion", F.col("distance").cast("int").alias("distance"))
 
 
-@query("wq03_transitions", f"WITH {WORK} SELECT id, CASE WHEN status IN ('open', 'in_progress') THEN 'fixed' ELSE status END AS status FROM w")
 def _(spark: SparkSession, d: str) -> DataFrame:
     w = _work(spark, d).withColumns({"resolved_at": F.lit(None).cast("timestamp"), "attestation": F.lit(None).cast("string")})
     changes = w.select("id", F.lit("fixed").alias("to"), F.lit("done").alias("attestation"))
@@ -654,7 +594,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sync.index_summary(sync.chunks(docs, "m"), old)
 
 
-@query("snk06_stats_without_orphans", "SELECT card_id, reviews FROM card_stats WHERE card_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     stats = c.card_stats(spark, d).select("card_id", "reviews")
     return sync.synced_stats(stats.limit(0), stats, c.cards(spark, d).where("card_id % 2 = 0").select("card_id"))
@@ -666,6 +605,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sync.stale_states(states, F.lit(50000.0)).select("slug")
 
 
-@query("str09_image_urls", "SELECT page_id, 0 AS images FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(tx.image_urls(F.col("html"), F.col("url"))).alias("images"))
+
+
+from recallgrid.plans import search_queries, text_queries, work_queries  # noqa: E402, F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import sqlite3
 import tempfile
@@ -111,3 +112,17 @@ def taxonomy_rows(tree: list[dict], above: str = "") -> list[tuple[str, str]]:
         out.append((path, node.get("label") or path.rpartition("/")[2]))
         out += taxonomy_rows(node.get("children", []), path)
     return out
+
+
+def media_digests(spark: SparkSession, root: str, refs: DataFrame) -> DataFrame:
+    """(path, length, digest) of the files under a folder that ``refs`` (path, relative to it) names; missing files give
+    no row, and a file is hashed once, however often it is named."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    own = F.regexp_extract("path", rf"{re.escape(root.rstrip('/'))}/(.+)$", 1)
+    files = files.select(own.alias("path"), "length", F.sha2("content", 256).alias("digest"))
+    return files.join(refs.select("path").distinct(), "path", "left_semi")
+
+
+def write_tag_file(tags: DataFrame, path: str) -> None:
+    """Rewrites a tag list as sorted distinct lines, as one file: it is a vocabulary that people edit."""
+    tags.select(F.trim("tag").alias("value")).where("value <> ''").distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,17 +62,25 @@ def soft_deleted(active: DataFrame, snapshot: DataFrame, keys: list[str], now: C
 
 
 class Store:
-    """Tables in versioned folders; a small pointer file names the current version of each and is replaced last."""
+    """Tables in versioned folders. A manifest names the current version of every table; a new one is put in place of the
+    old by one rename, so that readers see all tables of one write or none."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def manifest(self) -> dict[str, str]:
+        """The current version of each table: the manifest with the highest number."""
+        p, fs = _path(self.spark, f"{self.root}/manifests")
+        if not fs.exists(p):
+            return {}
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        found = sorted(int(n) for n in names if n.isdigit())
+        if not found:
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{found[-1]}").collect())) | {"": str(found[-1])}
 
     def version(self, name: str) -> str | None:
-        p, fs = _path(self.spark, self._pointer(name))
-        return self.spark.read.text(self._pointer(name)).first()[0] if fs.exists(p) else None
+        return self.manifest().get(name)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         """The current rows; without a version an empty table of ``schema``."""
@@ -83,13 +92,18 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """Writes new versions of all tables, then points to them, so that a failure leaves every old version in place."""
-        made = {}
+        """Writes new versions of all tables, then the manifest that names them: a failure at any point leaves every old
+        version in place. Of two writers that started from one manifest the second to end fails."""
+        now = self.manifest()
+        number = int(now.pop("", 0)) + 1
         for name, df in tables.items():
-            made[name] = uuid.uuid4().hex
-            df.write.parquet(f"{self.root}/{name}/{made[name]}")
-        for name, version in made.items():
-            p, fs = _path(self.spark, self._pointer(name))
-            out = fs.create(p, True)
-            out.write(bytearray(version.encode()))
-            out.close()
+            now[name] = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/{name}/{now[name]}")
+        made, fs = _path(self.spark, f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        place, _ = _path(self.spark, f"{self.root}/manifests/{number}")
+        out = fs.create(made, False)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        if fs.exists(place) or not fs.rename(made, place):
+            fs.delete(made, False)
+            raise RuntimeError(f"another write has made manifest {number} of {self.root}")

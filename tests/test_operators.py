@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import documents, duplicates, filters, graph, reports, search, sync, topics, worklist
+from recallgrid.operators import cardbook, documents, duplicates, filters, graph, neighbours, reports, search, sync, topics, worklist
 from recallgrid.operators.components import components
 from recallgrid.sources import collection as source
 from recallgrid.streaming import reviews as streams
@@ -77,7 +77,8 @@ def test_fusion_and_rerank(spark, notes):
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(neighbours, "VECTOR_BLOCK", 3)
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)] + [(8, None)], "id long, vector array<double>")
     q = v.where("id < 5").withColumnRenamed("id", "query_id")
     got = rows(search.nearest(q, v, 2, 0.9).select("query_id", "id"))
@@ -110,7 +111,7 @@ def test_work_items(spark):
     assert [r["id"] for r in worklist.queue(items).collect()] == ["a24", "a1", "q", "r"]
     bare = spark.range(11).select(F.format_string("%02d", "id").alias("id"), F.lit("uncovered_topic").alias("kind"), F.lit(None).cast("string").alias("slug"))
     assert [r["cluster_id"] for r in worklist.batched(bare).orderBy("id").collect()] == ["uncovered_topic:0"] * 10 + ["uncovered_topic:1"]
-    assert len(worklist.TRANSITIONS) == 9 and worklist.scores(items.limit(0)).first()["overall"] == 1
+    assert worklist.scores(items.limit(0)).first()["overall"] == 1
     full = items.withColumns({"resolved_at": F.lit(None).cast("timestamp"), "attestation": F.lit(None).cast("string"), "loop_kind": F.lit("audit")})
     changes = spark.createDataFrame([("q", "fixed", "done"), ("r", "nonsense", "x")], "id string, to string, attestation string")
     after = {r["id"]: r for r in worklist.moved(full, changes, now()).collect()}
@@ -148,6 +149,42 @@ def test_store_and_sync(spark, tmp_path):
     assert gone.first()["deleted_at"] is not None
 
 
+def test_a_store_keeps_all_tables_of_one_write(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    one = lambda x: spark.createDataFrame([(x,)], "x int")
+    store.write({"a": one(1), "b": one(1)})
+
+    class Broken:
+        write = property(lambda self: 1 / 0)
+
+    with pytest.raises(ZeroDivisionError):
+        store.write({"a": one(2), "b": Broken()})
+    assert rows(store.read("a")) == rows(store.read("b")) == [(1,)]
+    before = store.manifest()
+    store.write({"b": one(3)})
+    assert (rows(store.read("a")), rows(store.read("b"))) == ([(1,)], [(3,)])
+    monkeypatch.setattr(store, "manifest", lambda: dict(before))
+    with pytest.raises(RuntimeError, match="another write"):
+        store.write({"a": one(4)})
+    monkeypatch.undo()
+    assert rows(store.read("a")) == [(1,)] and store.version("c") is None
+
+
+def test_registry_metadata_and_files(spark, tmp_path):
+    kv = cardbook.metadata_put(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), {"b": {"y": 1, "x": None}, "c": "t"})
+    assert rows(kv) == [("a", "1"), ("b", '{"x": null, "y": 1}'), ("c", '"t"')]
+    log, event = str(tmp_path / "log"), lambda n: spark.createDataFrame([(n,)], "n int")
+    for n in (1, 2):
+        cardbook.append_progress(event(n), log)
+    assert rows(cardbook.progress(spark, log, "n int")) == [(1,), (2,)]
+    (tmp_path / "m" / "sub").mkdir(parents=True)
+    (tmp_path / "m" / "sub" / "a.png").write_bytes(b"abc")
+    refs = spark.createDataFrame([("sub/a.png",), ("sub/a.png",), ("gone.png",)], "path string")
+    assert rows(source.media_digests(spark, str(tmp_path / "m"), refs)) == [("sub/a.png", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
+    source.write_tag_file(spark.createDataFrame([("b",), (" a ",), ("b",), ("",)], "tag string"), str(tmp_path / "tags"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "tags")).collect()] == ["a", "b"]
+
+
 def test_incremental_index(spark):
     current = sync.chunks(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "note_id long, text string"), "m")
     index = sync.chunks(spark.createDataFrame([(1, "a"), (2, "old"), (9, "gone")], "note_id long, text string"), "m").withColumn("vector", F.array(F.lit(0.0))).drop("text")
