@@ -27,7 +27,7 @@ from recallgrid.tables import written
 DIMENSIONS, BITS, CELLS = 4, 10, 4096
 LENGTH, END = 4096, 2
 #: Words whose ids a Python worker remembers, bytes of text that it tokenises and documents that it places at once.
-REMEMBERED, GATHERED, TOGETHER = 1_200_000, 1 << 24, 64
+REMEMBERED, GATHERED, TOGETHER = 600_000, 1 << 23, 64
 VOCABULARY = "word_bpe_49k.json"
 #: The rules of a vocabulary whose texts can be cut at ASCII white space, as its file states them.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -46,13 +46,13 @@ def projection(cells: int = CELLS, dimensions: int = DIMENSIONS, seed: int = 11)
 
 def coordinates(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Quantised projections of the square roots of hashed token frequencies, for documents of ``sizes`` ids one after another."""
-    cells = len(matrix)
-    cell = (ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(32 - int(np.log2(cells)))).astype(np.int64)
+    cells, shift = len(matrix), np.uint32(32 - int(np.log2(len(matrix))))
     ends = np.cumsum(sizes)
     out = np.empty((len(sizes), matrix.shape[1]), np.int64)
     for at in range(0, len(sizes), TOGETHER):
         some = sizes[at : at + TOGETHER]
-        own = cell[ends[at] - sizes[at] : ends[at + len(some) - 1]] + np.repeat(np.arange(0, cells * len(some), cells), some)
+        cell = ids[ends[at] - sizes[at] : ends[at + len(some) - 1]].astype(np.uint32) * np.uint32(2654435761) >> shift
+        own = cell.astype(np.int64) + np.repeat(np.arange(0, cells * len(some), cells), some)
         vectors = np.sqrt(np.bincount(own, minlength=cells * len(some)).astype(np.float32).reshape(len(some), cells))
         scaled = (vectors @ matrix / np.sqrt(np.maximum(some, 1))[:, None] + 4) / 8 * (1 << BITS)  # a unit vector's projections are standard normal
         out[at : at + len(some)] = np.clip(scaled, 0, (1 << BITS) - 1)
@@ -108,6 +108,7 @@ class Ids:
         self.by_word = same and not any(re.search(r"\s", x) for x in added)
         self.kind = pa.from_numpy_dtype(self.code)
         self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(self.kind))  # what is remembered
+        self.again = np.zeros(0, bool)  # whether a word came again since it was learnt
         self.marks = {x: self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in ",."} if self.by_word else {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [c for c in range(256) if c not in printed]
@@ -122,17 +123,18 @@ class Ids:
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten()
         place = pc.index_in(words, self.words)
-        if place.null_count:
-            unseen = words.filter(place.is_null())
+        unseen = words.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        self.again[place[place >= 0]] = True
+        if len(unseen):
             new = unseen.unique()
-            place = place.to_numpy(zero_copy_only=False)
-            place[np.isnan(place)] = pc.index_in(unseen, new).to_numpy() + len(self.words)
-            place = pa.array(place, pa.int32())
+            place[place < 0] = pc.index_in(unseen, new).to_numpy() + np.int32(len(self.words))
             self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self._learned(new)])
-        ids = self.ids.take(place)
-        if len(self.words) > REMEMBERED:  # those of this batch stay
-            kept = place.unique()
-            self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+            self.again = np.append(self.again, np.zeros(len(new), bool))
+        ids = self.ids.take(pa.array(place))
+        if len(self.words) > REMEMBERED:  # words that came once are forgotten; the others must come again to stay
+            kept = pa.array(np.flatnonzero(self.again))
+            self.words, self.ids, self.again = self.words.take(kept), self.ids.take(kept), np.zeros(len(kept), bool)
         ends = ids.offsets.to_numpy()
         return ids.flatten().to_numpy(), np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
 
@@ -232,6 +234,8 @@ def _placed(batches: Iterator[pa.RecordBatch], vocabulary: str | None) -> Iterat
         cuts = np.append(0, np.cumsum(sizes + 1)) * ids.itemsize
         data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(ids)]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("doc_id"), data], ["hilbert", "doc_id", "ids"])
+        del batch, ids, data
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other stages
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, vocabulary: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ def test_ids_after_the_memory_was_full(monkeypatch, rng):
     monkeypatch.setattr(pk, "REMEMBERED", 50)
     ids = pk.Ids(public_tokenizers.path(pk.VOCABULARY))
     texts = [sentence(rng, 40) for _ in range(20)] + ["The word, the Word."] * 3
-    for _ in range(2):
+    for _ in range(3):
         for t in texts:
             assert [*ids.of(pa.array([t]))[0].tolist(), pk.END] == direct(t)
 
