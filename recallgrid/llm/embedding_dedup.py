@@ -1,13 +1,16 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass a vector's key is the concatenation of random hyperplane signs; Spark sorts all vectors by pass and key, and
-each is compared with the few before it in that order. Pairs that pass the cosine test are links; their union over all
-passes gives the components. A pair of cosine 0.9 agrees in a sign with probability 0.86 and one of 0.99 in 0.95, so a
+each is compared with those shortly before it in that order. Pairs that pass the cosine test are links; their union over
+all passes gives the components. A pair of cosine 0.9 agrees in a sign with probability 0.86 and one of 0.99 in 0.95, so a
 pair that shares a run of leading signs in some pass stands close in it. The run must be longer the more vectors there
 are, so the passes are derived from their counted number for a recall of RECALL (see ``passes_for``). Keys hold more
 signs than that run, which part crowded neighbourhoods further. The rows at the edges of the sorted partitions are
 compared once more in the order of all partitions.
 
+What travels in a pass is not the vector but one byte for each component and a bound of the error that this makes. Of
+most pairs the bound decides; the few that it leaves open are verified once, with their vectors, after all passes.
+
 Within a component links are then counted exactly, in pairs of blocks of bounded size. Equal vectors are folded first
 and counted by their number, so copies cost nothing.
 """
@@ -26,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallgrid.llm.common import runs
+from recallgrid.llm.common import chosen, runs
 from recallgrid.operators.components import components
-from recallgrid.tables import written
+from recallgrid.tables import discard, written
 
 #: Fewest passes, signs of a key, rows before a row that it is compared with, rows of a block.
-PASSES, SIGNS, NEIGHBOURS, BLOCK = 24, 62, 32, 1024
+PASSES, SIGNS, NEIGHBOURS, BLOCK = 12, 62, 256, 1024
 #: Estimated recall of an isolated pair at the threshold that sets the number of passes.
 RECALL = 0.99
-EDGES = "a long, b long, part int, at long, pass int, rep long, raw binary"
+EDGES = "a long, b long, sure boolean, part int, at long, pass int, rep long, codes binary"
+EDGE_NAMES = [x.split()[0] for x in EDGES.split(", ")]
+EDGE_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
 
 def passes_for(n: int, least: float, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> int:
@@ -62,12 +67,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     if passes is None:
         passes = passes_for(reps.count(), least, neighbours)
     # An id can stand for several vectors only if it is repeated; the pair (rep, raw) then still is one class.
-    signed = reps.select("rep", "raw").mapInArrow(lambda it: _signed(it, code, passes), "pass int, key long, rep long, raw binary")
-    order = [F.col("pass"), F.col("key"), F.xxhash64("rep", "pass")]
-    near = written(signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, code, least, neighbours, True), EDGES))
-    edges = near.where("part is not null").select("pass", F.lit(0).cast("long").alias("key"), "rep", "raw", "part", "at").repartition("pass").sortWithinPartitions("pass", "part", "at")
-    over = edges.mapInArrow(lambda it: _neighbours(it, code, least, neighbours, False), EDGES)
-    links = written(near.where("part is null").unionByName(over).select("a", "b").distinct())
+    coded = reps.select("rep", "raw").mapInArrow(lambda it: _coded(it, code, passes), "pass int, key long, rep long, codes binary")
+    order = [F.col("pass"), F.length("codes"), F.col("key"), F.xxhash64("rep", "pass")]
+    near = written(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, least, neighbours, True), EDGES))
+    edges = near.where("part is not null").select("pass", F.lit(0).cast("long").alias("key"), "rep", "codes", "part", "at").repartition("pass").sortWithinPartitions("pass", "part", "at")
+    over = edges.mapInArrow(lambda it: _neighbours(it, least, neighbours, False), EDGES)
+    pairs = written(near.where("part is null").unionByName(over).groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
+    links = written(pairs.where("sure").select("a", "b").unionByName(_verified(pairs.where("not sure"), reps, code, least)))
+    discard(near)
+    discard(pairs)
     label = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
 
     own = written(reps.join(label, "rep").select("rep", "component", "copies", "raw"))
@@ -106,7 +114,9 @@ def _unit(raws: list[bytes], code: str) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _signed(batches: Iterator[pa.RecordBatch], code: str, passes: int) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch], code: str, passes: int) -> Iterator[pa.RecordBatch]:
+    """Each vector once a pass, as one byte for each component and four of a bound: how far the unit vector of the bytes
+    is from its own, with the rounding of a product in single precision."""
     weights = np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
     planes: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -118,24 +128,22 @@ def _signed(batches: Iterator[pa.RecordBatch], code: str, passes: int) -> Iterat
             if size not in planes:
                 planes[size] = np.random.default_rng(17).standard_normal((unit.shape[1], passes * SIGNS))
             keys = ((unit @ planes[size]) > 0).reshape(len(some), passes, SIGNS).astype(np.int64) @ weights
+            steps = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True)))
+            off = np.linalg.norm(unit - steps / np.linalg.norm(steps, axis=1, keepdims=True), axis=1) + 2e-7 * (unit.shape[1] + 4)
+            codes = np.hstack([steps.astype(np.int8).view(np.uint8), off.astype("<f4").view(np.uint8).reshape(-1, 4)])
+            values = pa.array([x.tobytes() for x in codes], pa.binary())
             for k in range(passes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(keys[:, k]), pa.array(reps[some]), pa.array(list(raws[some]), pa.binary())], ["pass", "key", "rep", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(keys[:, k]), pa.array(reps[some]), values], ["pass", "key", "rep", "codes"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neighbours: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Links of each row with the rows shortly before it in its pass; those that join nothing new are left out.
+def _neighbours(batches: Iterator[pa.RecordBatch], least: float, neighbours: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Links of each row with the rows shortly before it in its pass, ``sure`` or left open by the bounds; those that join
+    nothing new are left out.
 
     With ``edges`` also the first and last ``neighbours`` rows of the partition, each once, with their place in it.
     """
     part, seen = TaskContext.get().partitionId(), 0
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    names = ["a", "b", "part", "at", "pass", "rep", "raw"]
-
-    def edge(at: int, turn: np.ndarray, rep: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
-        columns = [None] * len(raw), [None] * len(raw), [part] * len(raw), range(at, at + len(raw)), turn, rep, raw
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    held: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
+    tail: pa.Table | None = None
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -144,36 +152,118 @@ def _neighbours(batches: Iterator[pa.RecordBatch], code: str, least: float, neig
             x = p
         return x
 
+    def edge(at: int, x: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = x.num_rows
+        columns = [None] * n, [None] * n, [None] * n, [part] * n, range(at, at + n), *(x[c].to_pylist() for c in ("pass", "rep", "codes"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, EDGE_TYPES, strict=True)], EDGE_NAMES)
+
+    def pairs(a: np.ndarray, b: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if sure:
+            new = np.zeros(len(low), bool)
+            for i, (p, q) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+                if (x := root(p)) != (y := root(q)):
+                    parent[max(x, y)], new[i] = min(x, y), True
+            low, high = low[new], high[new]
+        if len(low):
+            columns = [pa.array(low), pa.array(high), pa.array(np.full(len(low), sure))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(low), t) for t in EDGE_TYPES[3:]], EDGE_NAMES)
+
+    window = _Window(0, 0)
     for batch in batches:
-        turn, _, rep = (c.to_numpy() for c in batch.columns[:3])
-        raw = batch.column(3).to_pylist()
-        if edges and raw and seen < neighbours:
-            some = neighbours - seen
-            yield edge(seen, turn[:some], rep[:some], raw[:some])
-        seen += len(raw)
-        if held is not None:
-            turn, rep, raw = np.concatenate([held[0], turn]), np.concatenate([held[1], rep]), held[2] + raw
-        out: list[tuple[int, int]] = []
-        sizes = np.array([len(r) for r in raw])
-        unit = np.zeros((len(raw), sizes.max(initial=1) // np.dtype(code).itemsize))
-        for size in np.unique(sizes):
-            some = np.flatnonzero(sizes == size)
-            unit[some, : size // np.dtype(code).itemsize] = _unit([raw[i] for i in some], code)
-        for s in range(1, min(neighbours, len(raw) - 1) + 1):
-            cosine = np.einsum("ij,ij->i", unit[s:], unit[:-s])
-            for i in np.flatnonzero((cosine >= least) & (turn[s:] == turn[:-s]) & (sizes[s:] == sizes[:-s])).tolist():
-                a, b = int(rep[i]), int(rep[i + s])
-                if (x := root(a)) != (y := root(b)):
-                    parent[max(x, y)] = min(x, y)
-                    out.append((min(a, b), max(a, b)))
-        held = turn[-neighbours:], rep[-neighbours:], raw[-neighbours:]
+        if edges and batch.num_rows:
+            own = pa.Table.from_batches([batch])
+            if seen < neighbours:
+                yield from edge(seen, own.slice(0, neighbours - seen))
+            tail = pa.concat_tables([x for x in (tail, own) if x is not None])
+            tail = tail.slice(max(0, tail.num_rows - neighbours)).combine_chunks()
+        seen += batch.num_rows
+        turn, rep, codes = batch.column("pass").to_numpy(), batch.column("rep").to_numpy(), batch.column("codes").to_pylist()
+        sizes = np.array([len(c) for c in codes])
+        cuts = np.flatnonzero((turn[1:] != turn[:-1]) | (sizes[1:] != sizes[:-1])) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(codes)], strict=True):
+            if start < end:
+                if (window.turn, window.size) != (turn[start], sizes[start]):
+                    window = _Window(int(turn[start]), int(sizes[start]))
+                for a, b, sure in window.add(rep[start:end], codes[start:end], least, neighbours):
+                    yield from pairs(a, b, sure)
         if len(parent) > 1_000_000:
             parent.clear()  # only costs repeated links
-        if out:
-            found = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(found + [pa.nulls(len(out), t) for t in kinds[2:]], names)
-    if edges and held is not None and (some := min(neighbours, seen - neighbours)) > 0:
-        yield edge(seen - some, held[0][-some:], held[1][-some:], held[2][-some:])
+    if edges and tail is not None and (some := min(neighbours, seen - neighbours)) > 0:
+        yield from edge(seen - some, tail.slice(tail.num_rows - some))
+
+
+class _Window:
+    """The last rows of one pass over vectors of one length, with the class that each is known to be in."""
+
+    def __init__(self, turn: int, size: int) -> None:
+        self.turn, self.size = turn, size
+        self.rep = self.label = np.zeros(0, np.int64)
+        self.unit, self.off = np.zeros((0, max(size - 4, 0)), np.float32), np.zeros(0, np.float32)
+
+    def add(self, rep: np.ndarray, codes: list[bytes], least: float, neighbours: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Takes the next rows; gives the pairs among them and with those before that join classes, first the sure ones."""
+        both = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        steps = both[:, :-4].view(np.int8).astype(np.float32)
+        steps /= np.sqrt(np.einsum("ij,ij->i", steps, steps))[:, None]
+        before = len(self.rep)
+        self.unit = np.concatenate([self.unit, steps])
+        self.off = np.concatenate([self.off, np.ascontiguousarray(both[:, -4:]).view("<f4")[:, 0]])
+        self.rep, self.label = np.concatenate([self.rep, rep]), np.concatenate([self.label, rep])
+        for s in range(before, len(self.rep), neighbours):
+            e, f = min(s + neighbours, len(self.rep)), max(0, s - neighbours)
+            cosine = self.unit[s:e] @ self.unit[f:e].T
+            slack = self.off[s:e, None] + self.off[None, f:e]
+            i, j = np.nonzero(cosine + slack >= least)
+            sure = (cosine - slack)[i, j] >= least
+            i, j = i + s, j + f
+            own = j < i
+            i, j, sure = i[own], j[own], sure[own]
+            for a, b in self._join(i[sure], j[sure]):
+                yield self.rep[a], self.rep[b], True
+            left = ~sure & (self.label[i] != self.label[j])
+            yield self.rep[i[left]], self.rep[j[left]], False
+        for name in ("rep", "label", "unit", "off"):
+            setattr(self, name, getattr(self, name)[-neighbours:])
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Joins the classes of all pairs of rows, and gives those pairs that did so: each class is hung below a lower one."""
+        while True:
+            x, y = self.label[i], self.label[j]
+            new = x != y
+            if not new.any():
+                return
+            i, j, low, high = i[new], j[new], np.minimum(x, y)[new], np.maximum(x, y)[new]
+            hung, at = np.unique(high, return_index=True)
+            below = low[at]
+            yield i[at], j[at]
+            while True:
+                k = np.minimum(np.searchsorted(hung, below), len(hung) - 1)
+                again = hung[k] == below
+                if not again.any():
+                    break
+                below = np.where(again, below[k], below)
+            k = np.minimum(np.searchsorted(hung, self.label), len(hung) - 1)
+            self.label = np.where(hung[k] == self.label, below[k], self.label)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, code: str, least: float) -> DataFrame:
+    """Those pairs of ids whose vectors pass the cosine test in double precision."""
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).to_pylist() for c in ("va", "vb"))
+            sizes = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(one, two, strict=True)])
+            for size in np.unique(sizes[sizes > 0]):
+                some = np.flatnonzero(sizes == size)
+                cosine = np.einsum("ij,ij->i", _unit([one[i] for i in some], code), _unit([two[i] for i in some], code))
+                yield batch.select(["a", "b"]).take(pa.array(some[cosine >= least]))
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    own = written(chosen(reps.select("rep", "raw"), ids, "rep"))
+    discard(ids)
+    one, two = (own.select(F.col("rep").alias(x), F.col("raw").alias(f"v{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long").distinct()
 
 
 def _counted(batches: Iterator[pd.DataFrame], code: str, least: float) -> Iterator[pd.DataFrame]:
