@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from os.path import commonprefix
 
 import numpy as np
@@ -276,19 +276,36 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], ["a", "b", "key", "bag"])
 
 
+def _hot_pairs(entries: DataFrame, tau: int) -> DataFrame:
+    """(a, b) of index entries with other entries of the same hot key whose bags are near.
+
+    Near bags differ in 2 * tau of their sixteen counts at most. So of 2 * tau + 1 groups of counts one is equal, and the
+    join is on that group's counts beside the key: a key that millions of lines share is dealt out over their counts.
+    With more groups than counts (tau above 7) the join is on the key alone.
+    """
+    n = 2 * tau + 1
+    cuts = [16 * k // n for k in range(n + 1)] if n <= 16 else [0, 0]
+    masks = [sum(15 << 4 * i for i in range(x, y)) for x, y in pairwise(cuts)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    part = lambda bag: F.explode(F.array(*[F.struct(F.lit(k).alias("of"), bag.bitwiseAND(F.lit(m)).alias("counts")) for k, m in enumerate(masks)]))
+    hot = entries.select("a", "bag", F.col("key").bitwiseAND(F.lit(1)).alias("probe"), F.shiftright("key", 1).alias("group")).distinct()
+    index = hot.where("probe = 0").select(F.col("a").alias("x"), "group", F.col("bag").alias("other"), part(F.col("bag")).alias("part"))
+    digit = lambda bag, k: F.shiftrightunsigned(bag, k).bitwiseAND(F.lit(15))
+    gap = [F.abs(digit("bag", k) - digit("other", k)) for k in range(0, 64, 4)]
+    near = sum((F.least(d, 16 - d) for d in gap), F.lit(0)) <= 2 * tau
+    equal = [F.when(F.col("bag").bitwiseXOR(F.col("other")).bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(masks)]
+    first = F.coalesce(*equal) == F.col("part.of")  # a pair that meets in several groups is given in the first
+    met = hot.select("a", "bag", "group", part(F.col("bag")).alias("part")).distinct().join(index, ["group", "part"])
+    return met.where((F.col("a") != F.col("x")) & first & near).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
+
+
 def _links(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
     """(a, b) of distinct lines within ``tau`` edits."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     group = F.shiftright("key", 1)
     entries = texts.mapInArrow(lambda it: _keys(it, tau, least), "key long, line_id long, bag long").repartition(group).sortWithinPartitions("key", "line_id")
     found = written(entries.mapInArrow(lambda it: _candidates(it, tau), "a long, b long, key long, bag long"))
-    hot = found.where("key is not null").select("a", "key", "bag").distinct()
-    index = hot.where("key & 1 = 0").select(F.col("a").alias("x"), group.alias("group"), F.col("bag").alias("other"))
-    digit = lambda bag, k: F.shiftrightunsigned(bag, k).bitwiseAND(F.lit(15))
-    gap = [F.abs(digit("bag", k) - digit("other", k)) for k in range(0, 64, 4)]
-    near = sum((F.least(d, 16 - d) for d in gap), F.lit(0)) <= 2 * tau
-    joined = hot.select("a", "bag", group.alias("group")).join(index, "group").where((F.col("a") != F.col("x")) & near).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
-    pairs = written(found.where("key is null").select("a", "b").unionByName(joined).distinct())
+    pairs = written(found.where("key is null").select("a", "b").unionByName(_hot_pairs(found.where("key is not null"), tau)).distinct())
     discard(found)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

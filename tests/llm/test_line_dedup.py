@@ -100,3 +100,20 @@ def test_one_common_segment_over_many_batches(spark, frame, rng):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {i: (1, i % 1600) for i in range(3200)}
+
+
+@pytest.mark.parametrize("tau", [1, 2, 8])
+def test_hot_pairs_equal_brute_force(spark, rng, tau):
+    def sketch(bag, edits):
+        for _ in range(edits):
+            i, step = rng.randrange(16), rng.choice((-1, 1))
+            bag = bag & ~(15 << 4 * i) | ((bag >> 4 * i) + step & 15) << 4 * i
+        return bag
+
+    bases = [rng.getrandbits(64) for _ in range(3)]
+    entries = [(i, 2 * rng.randrange(2) + rng.randrange(2), sketch(rng.choice(bases), rng.randrange(2 * tau + 3))) for i in range(120)]
+    entries = [(i, key, bag - (1 << 64) if bag >> 63 else bag) for i, key, bag in entries]
+    near = lambda x, y: bool(ld.bags_within(np.array([x]), np.array([y]), tau)[0])
+    want = {(min(x, y), max(x, y)) for x, k, p in entries for y, m, q in entries if k & 1 == 0 and k >> 1 == m >> 1 and x != y and near(p, q)}
+    frame = spark.createDataFrame(entries, "a long, key long, bag long")
+    assert want and {(r["a"], r["b"]) for r in ld._hot_pairs(frame, tau).collect()} == want
