@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import chat, decontaminate, langid, licenses, line_dedup, packing, warc
+from recallgrid.llm import chat, decontaminate, langid, licenses, line_dedup, packing, secrets, warc
 from recallgrid.llm.embedding_dedup import near_duplicate_vectors
 from recallgrid.llm.html_extract import main_texts
 from recallgrid.llm.near_dedup import near_duplicates
@@ -51,6 +51,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_tool_links": op1_tool_links,
     "op2_edit_lines": op2_edit_lines,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_byte_recurrence": op9_byte_recurrence,
     "op10_warc": op10_warc,
+    "op11_token_efficiency": op11_token_efficiency,
 }
 
 ORACLES = {
