@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from recallgrid.session import shared_folder
 
 
-def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The same rows, read from a table in the shared folder.
+def written(df: DataFrame, spark: SparkSession | None = None, **options: object) -> DataFrame:
+    """The same rows, read from a table in the shared folder; ``options`` are the writer's.
 
     Cuts the lineage: a lost executor costs the tasks that read the table, never the stages before it.
     """
     spark = spark or df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
