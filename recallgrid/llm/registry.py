@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import chat, decontaminate, langid, licenses, line_dedup, packing, secrets, warc
+from recallgrid.llm import chat, decontaminate, langid, lexical_index, licenses, line_dedup, packing, secrets, warc
 from recallgrid.llm.embedding_dedup import near_duplicate_vectors
 from recallgrid.llm.html_extract import main_texts
 from recallgrid.llm.near_dedup import near_duplicates
@@ -55,6 +55,10 @@ def op11_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op12_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES = {
     "op1_tool_links": op1_tool_links,
     "op2_edit_lines": op2_edit_lines,
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_byte_recurrence": op9_byte_recurrence,
     "op10_warc": op10_warc,
     "op11_token_efficiency": op11_token_efficiency,
+    "op12_length_strata": op12_length_strata,
 }
 
 ORACLES = {
@@ -139,6 +144,18 @@ ORACLES = {
         SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
         FROM v JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = vec_id
     """,
+    "op12_length_strata": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+        s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+        m AS (SELECT doc_id, w, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+        p AS (SELECT doc_id, m, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, m, unnest(w) AS t FROM m) GROUP BY ALL),
+        f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+        x AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM b JOIN f USING (t) JOIN p USING (t) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
