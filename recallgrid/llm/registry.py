@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallgrid.llm import chat, decontaminate, langid, lexical_index, licenses, line_dedup, packing, secrets, warc
+from recallgrid.llm import chat, decontaminate, langid, lexical_index, licenses, line_dedup, packing, prefix_trie, secrets, warc
 from recallgrid.llm.embedding_dedup import near_duplicate_vectors
 from recallgrid.llm.html_extract import main_texts
 from recallgrid.llm.near_dedup import near_duplicates
@@ -59,6 +59,10 @@ def op12_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_tool_links": op1_tool_links,
     "op2_edit_lines": op2_edit_lines,
@@ -72,6 +76,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_token_efficiency": op11_token_efficiency,
     "op12_length_strata": op12_length_strata,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -156,6 +161,23 @@ ORACLES = {
         x AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM b JOIN f USING (t) JOIN p USING (t) GROUP BY ALL)
         SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50
     """,
+    "op13_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (
+            SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h FROM t),
+        r AS (SELECT h.conv_id, list_concat(coalesce(t.own[1:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100),
+        p AS (SELECT conv_id, len(s) AS n, d AS depth, s[1:d] AS k FROM r, unnest(range(0, len(s) + 1)) AS u(d)),
+        n AS (
+            SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(k[depth].text) END AS saved,
+                string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM p GROUP BY k, depth),
+        c AS (SELECT k[1:depth - 1] AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k, depth)),
+        s AS (SELECT k[1:i] AS k, i AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM e, unnest(range(0, depth + 1)) AS u(i) GROUP BY ALL)
+        SELECT e.conv_id, e.depth, up.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+        FROM e JOIN s USING (k, depth) LEFT JOIN n up ON up.depth = e.depth - 1 AND up.k = e.k[1:e.depth - 1]
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
