@@ -48,6 +48,12 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "head", "
 WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related responses respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Whole classes, ids and roles of containers that hold adverts or readers' comments wherever they stand, in articles too,
+#: and those containers. Headings and paragraphs of such a class are an article about it.
+BOXED = set(
+    "ad ads ad-box ad-container ad-slot ad-unit adbox adsbygoogle advert adverts advertisement advertising commentlist comment-list comment-section comment-thread comments comments-area comments-list comments-section disqus_thread reader-comments responses sponsored-content user-comments".split()
+)
+BOXES = {"div", "section", "aside", "ul", "ol", "dl", "table", "figure", "details"}
 #: Elements that can be a page's main slot.
 CONTAINERS = ("html", "body", "main", "article", "section", "div", "table", "tbody", "tr", "td", "center")
 #: Elements whose start ends an open element of the same kind: their end tags may be left out.
@@ -63,12 +69,12 @@ _AROUND_INLINE = frozenset({"article", "main", "table"})
 
 
 @lru_cache(1 << 16)
-def names(attributes: str) -> tuple[str, frozenset[str]]:
+def names(attributes: str) -> tuple[str, frozenset[str], bool]:
     """What tells an element apart, its classes, ids and roles with numbers of three digits or more left out (they number
-    pages), and the words in them."""
+    pages), the words in them, and whether one is BOXED as a whole."""
     values = [x.lower() for v in _NAMED.findall(attributes) for x in v if x]
     own = sorted({_NUMBER.sub("#", x) for v in values for x in v.split()})
-    return "".join(f".{x}" for x in own), frozenset(w for v in values for w in _WORD.findall(v))
+    return "".join(f".{x}" for x in own), frozenset(w for v in values for w in _WORD.findall(v)), not BOXED.isdisjoint(own)
 
 
 @lru_cache(1 << 16)
@@ -134,10 +140,10 @@ class Page:
         if tag in VOID or attributes.endswith("/"):
             return
         _, aside, inside, number = self.stack[-1]
-        own, words = names(attributes) if attributes else ("", _NOTHING)
+        own, words, boxed = names(attributes) if attributes else ("", _NOTHING, False)
         if not aside and tag not in ("html", "body", "main", "article"):
-            # An article's own header has its title, and class words say nothing there.
-            aside = (tag in ASIDE and tag != "header") if inside else tag in ASIDE or not WORDS.isdisjoint(words)
+            # An article's own header has its title, and single words of a class say nothing there.
+            aside = (tag in ASIDE and tag != "header" or boxed and tag in BOXES) if inside else tag in ASIDE or not WORDS.isdisjoint(words)
         if tag not in INLINE:
             _, token, _, depth, _ = self.elements[number]
             self.elements.append((tag, child(token, tag + own), number, depth + 1, aside))

@@ -98,6 +98,8 @@ def random_host(rng, host):
         body = shared if rng.random() < 0.2 else words(rng.randrange(5, 40))
         notice = "<div class=n><p>Fixed notice of the house</p></div>" if rng.random() < odds else ""
         items = "".join(f"<li><b>{words(1)}</b></li>" for _ in range(rng.randrange(4)))
+        if rng.random() < odds:
+            body += f"<div class='ad'><p>{words(3)}</p></div><section id=comments>{items}</section>"
         kind = f"<div class=x1>Menu of all</div><div class=x2><h1>{words(2)}</h1>{notice}<p>{body}<p>{words(9)}</div><div class=x3>Legal line</div>"
         if rng.random() < 0.4:
             kind = f"<div class=w><ul>{items}</ul><section class=s><p>{body}</section></div>{notice}"
@@ -166,3 +168,16 @@ def test_deep_and_long_pages_stay_linear():
     assert Page("<div>" * 20_000 + "x" + "</div></p>" * 20_000).blocks(None, set()) == ["x"]
     assert len(Page("<p>word " * 50_000).blocks(None, set())) == 50_000
     assert Page("<div>" * 20_000 + "x").sizes()[0] == 1
+
+
+def test_comments_and_adverts_inside_articles_go(spark):
+    """Containers whose whole class, id or role says so; other words of a class, and headings, stay."""
+    words = lambda n: " ".join(f"w{n}_{k}" for k in range(40))
+    boxes = ["<section class='comments'><p>reader 0 says hi{n}</p></section>", "<div class='ad'>Buy thing {n} now</div>", "<ul id=comment-list><li>hi {n}</ul>", "<div class='box reader-comments'><div><p>deep {n}</p></div></div>"]
+    for box in boxes:
+        for around in ("article", "main"):
+            got = texts(spark, [page(f"<{around}><h1>Title {n}</h1><p>{words(n)}</p>{box.format(n=n)}</{around}>", n) for n in range(8)])
+            assert got == [f"Title {n} {words(n)}" for n in range(8)]
+    stay = "<div class='share-price'><p>Price {n}</p></div><h2 class=comments>On comments {n}</h2><p class=ad>An ad of old {n}</p>"
+    got = texts(spark, [page(f"<article><p>{words(n)}</p>{stay.format(n=n)}</article>", n) for n in range(8)])
+    assert got == [f"{words(n)} Price {n} On comments {n} An ad of old {n}" for n in range(8)]
