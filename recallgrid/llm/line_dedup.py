@@ -129,9 +129,11 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line_id, size) for each line of each text that is not blank, numbered from 0; size in code points."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, line_no, line_id, size) for each line of each text that is not blank, numbered from 0; size in code points.
+    With ``hashed`` also text_id, a hash of the whole text."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias("text_id")] * hashed)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -143,11 +145,12 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         number.append(k)
                         ids.append(line_id(body))
                         sizes.append(len(body) if body.isascii() else len(body.decode("utf-8", "surrogatepass")))
-            found = batch.column("doc_id").take(pa.array(of, pa.int64()))
-            arrays = [found, pa.array(number, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line_no", "line_id", "size"])
+            at = pa.array(of, pa.int64())
+            arrays = [batch.column("doc_id").take(at), pa.array(number, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())]
+            arrays += [batch.column("text_id").take(at)] if hashed else []
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line_no", "line_id", "size", "text_id"][: len(arrays)])
 
-    return rows.mapInArrow(lines, "doc_id long, line_no int, line_id long, size int")
+    return rows.mapInArrow(lines, "doc_id long, line_no int, line_id long, size int" + ", text_id long" * hashed)
 
 
 def line_id(body: bytes) -> int:
@@ -332,15 +335,15 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Lines of under ``least`` code points and blank lines stay. A document that loses all its lines with text goes; a
     null, empty or blank text stays as it is. All columns are returned, whatever their names; an n_chars column follows
-    the new text. Rows that share an id, or have none, lose the same line numbers, so exact repeats of a row are kept or
-    cut together. Of equal heads the first by (id, line number) is kept. An empty table gives no row.
+    the new text. Rows that share an id, or have none, are told apart by their texts; rows with equal id and text are
+    kept or cut together. Of equal heads the first by (id, line number) is kept. An empty table gives no row.
     """
-    own, out_lines = fresh(docs, "__id", "__gone")
+    own, same, out_lines = fresh(docs, "__id", "__same", "__gone")
     classes = near_duplicate_lines(docs, id_col, text_col, tau, least).where("n_copies > 1 or n_links > 0")
-    places = lines_of(docs, id_col, text_col).where(F.col("size") >= least)
+    places = lines_of(docs, id_col, text_col, True).where(F.col("size") >= least)
     head = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
-    gone = places.join(classes, "line_id").where(~head).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(out_lines))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left")
+    gone = places.join(classes, "line_id").where(~head).groupBy(F.col("doc_id").alias(own), F.col("text_id").alias(same)).agg(F.collect_set("line_no").alias(out_lines))
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(same)), "left")
     lost = F.col(out_lines).isNotNull()
     left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(out_lines, i)), "\n")
     rows = rows.withColumn(text_col, F.when(lost, left).otherwise(F.col(text_col)))

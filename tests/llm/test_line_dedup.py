@@ -117,3 +117,16 @@ def test_hot_pairs_equal_brute_force(spark, rng, tau):
     want = {(min(x, y), max(x, y)) for x, k, p in entries for y, m, q in entries if k & 1 == 0 and k >> 1 == m >> 1 and x != y and near(p, q)}
     frame = spark.createDataFrame(entries, "a long, key long, bag long")
     assert want and {(r["a"], r["b"]) for r in ld._hot_pairs(frame, tau).collect()} == want
+
+
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark, frame):
+    """What stands nowhere else stays, whether ids repeat or are missing."""
+    shared = "a line that all of these texts have"
+    texts = [f"{shared}\nfirst text, its own second line", f"{shared}\n{shared}\nfirst own line of the second text\nother text with this id, its second line", f"own first line of the third text\n{shared}", None]
+    for ids in ([5, 5, 5, 5], [None] * 4, [5, None, 5, None], [1, 2, 3, 4]):
+        got = [r["text"] for r in ld.without_repeated_lines(frame(texts, ids)).collect()]
+        lines = [line for t in got if t for line in t.split("\n")]
+        want = {line for t in texts if t for line in t.split("\n")}
+        assert set(lines) == want and got.count(None) == 1
+        own = [line for line in lines if line != shared]
+        assert len(own) == len(set(own))
