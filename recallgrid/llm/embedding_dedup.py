@@ -2,11 +2,12 @@
 
 In each pass a vector's key is the concatenation of random hyperplane signs; Spark sorts all vectors by pass and key, and
 each is compared with those shortly before it in that order. Pairs that pass the cosine test are links; their union over
-all passes gives the components. A pair of cosine 0.9 agrees in a sign with probability 0.86 and one of 0.99 in 0.95, so a
-pair that shares a run of leading signs in some pass stands close in it. The run must be longer the more vectors there
-are, so the passes are derived from their counted number for a recall of RECALL (see ``passes_for``). Keys hold more
-signs than that run, which part crowded neighbourhoods further. The rows at the edges of the sorted partitions are
-compared once more in the order of all partitions.
+all passes gives the components. Signs are those of the unit vectors less their mean, as a direction that all share parts
+none of them. A pair of cosine 0.9 among spread-out vectors agrees in a sign with probability 0.86, so a pair that shares
+a run of leading signs in some pass stands close in it. The run must be longer the more vectors there are and the closer
+they crowd, so the number of passes follows from both: from the count, and from measured ranks (see ``passes_for`` and
+``_measured``). Keys hold more signs than that run, which part crowded neighbourhoods further. The rows at the edges of
+the sorted partitions are compared once more in the order of all partitions.
 
 What travels in a pass is not the vector but one byte for each component and a bound of the error that this makes. Of
 most pairs the bound decides; the few that it leaves open are verified once, with their vectors, after all passes.
@@ -37,6 +38,8 @@ from recallgrid.tables import discard, written
 PASSES, SIGNS, NEIGHBOURS, BLOCK = 12, 62, 256, 1024
 #: Estimated recall of an isolated pair at the threshold that sets the number of passes.
 RECALL = 0.99
+#: Vectors whose ranks are measured, neighbours planted beside each, passes that they are measured in.
+SAMPLE, PLANTED, TRIALS = 64, 16, 6
 EDGES = "a long, b long, sure boolean, part int, at long, pass int, rep long, codes binary"
 EDGE_NAMES = [x.split()[0] for x in EDGES.split(", ")]
 EDGE_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -56,7 +59,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     n_links is the number of other rows linked directly, component_id the smallest id reachable. Vectors that are null,
     empty, zero, or hold a null or non-finite component link with nothing; so do vectors of unlike lengths. A row with a
     null id takes no part: no links, component null, kept. Repeated rows are links of each other and share an id.
-    Labels and other columns are ignored. Without ``passes`` their number follows from that of the distinct vectors.
+    Labels and other columns are ignored. Without ``passes`` their number follows from the distinct vectors; it is large
+    where many vectors are nearly as close as ``least``.
     """
     kind = vectors.schema[vector_col].dataType.elementType
     code = "<f4" if isinstance(kind, T.FloatType) else "<f8"
@@ -64,10 +68,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     valid = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
     raw = written(rows.where(valid).mapInArrow(lambda it: _checked(it, code), "vec_id long, digest binary, raw binary"))
     reps = written(raw.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    means = _means(reps, code)
     if passes is None:
-        passes = passes_for(reps.count(), least, neighbours)
+        n = reps.count()
+        passes = max(passes_for(n, least, neighbours), _measured(reps, code, least, neighbours, means) if n > 2 * neighbours else 0)
     # An id can stand for several vectors only if it is repeated; the pair (rep, raw) then still is one class.
-    coded = reps.select("rep", "raw").mapInArrow(lambda it: _coded(it, code, passes), "pass int, key long, rep long, codes binary")
+    coded = reps.select("rep", "raw").mapInArrow(lambda it: _coded(it, code, passes, means), "pass int, key long, rep long, codes binary")
     order = [F.col("pass"), F.length("codes"), F.col("key"), F.xxhash64("rep", "pass")]
     near = written(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, least, neighbours, True), EDGES))
     edges = near.where("part is not null").select("pass", F.lit(0).cast("long").alias("key"), "rep", "codes", "part", "at").repartition("pass").sortWithinPartitions("pass", "part", "at")
@@ -114,20 +120,120 @@ def _unit(raws: list[bytes], code: str) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _coded(batches: Iterator[pa.RecordBatch], code: str, passes: int) -> Iterator[pa.RecordBatch]:
+def _by_size(raws: list[bytes], code: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each length."""
+    sizes = np.array([len(r) for r in raws])
+    for size in np.unique(sizes):
+        some = np.flatnonzero(sizes == size)
+        yield some, _unit([raws[i] for i in some], code)
+
+
+def _means(reps: DataFrame, code: str) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each length; summed by task and then by length, a row of each for the driver."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            for some, unit in _by_size(batch.column(0).to_pylist(), code):
+                s, n = sums.get(unit.shape[1], (0, 0))
+                sums[unit.shape[1]] = s + unit.sum(axis=0), n + len(some)
+        yield pa.RecordBatch.from_pydict({"size": pa.array(sums, pa.int32()), "total": pa.array([s.tobytes() for s, _ in sums.values()], pa.binary()), "n": pa.array([n for _, n in sums.values()], pa.int64())})
+
+    def merged(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in rows.column("total").to_pylist())
+        return pa.table({"size": rows.column("size").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64())})
+
+    kind = "size int, total binary, n long"
+    rows = reps.select("raw").mapInArrow(summed, kind).groupBy("size").applyInArrow(merged, kind)
+    return {r["size"]: np.frombuffer(bytes(r["total"])) / r["n"] for r in rows.toLocalIterator()}
+
+
+def _signs(unit: np.ndarray, mean: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Keys of unit vectors, a column for each pass."""
+    weights = np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
+    return (((unit - mean) @ planes) > 0).reshape(len(unit), -1, SIGNS).astype(np.int64) @ weights
+
+
+def _planted(unit: np.ndarray, mean: np.ndarray, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """PLANTED neighbours of each vector at the threshold, and which vectors have them.
+
+    A neighbour differs from its vector in the way in which vectors differ from each other: the direction is that between
+    two others, and what both have in common with the mean stays. A vector that is nearer to the mean than the threshold
+    is near to most others, which connect it, and gets none.
+    """
+    own = unit - mean
+    size = np.einsum("ij,ij->i", own, own)
+    some = np.flatnonzero(size > 1 - least) if len(unit) > 2 else np.zeros(0, np.int64)
+    out = []
+    for i in some:
+        one, two = (rng.integers(0, len(unit), PLANTED) for _ in range(2))
+        t = unit[one] - unit[two] + 1e-9 * rng.standard_normal((PLANTED, unit.shape[1]))
+        t -= np.outer(t @ own[i] / size[i], own[i])
+        t /= np.linalg.norm(t, axis=1, keepdims=True)
+        near = 1 - (1 - least) / size[i]  # the cosine without the mean
+        out.append(mean + near * own[i] + np.sqrt(size[i] * (1 - near * near)) * t)
+    return np.concatenate(out) if out else np.zeros((0, unit.shape[1])), some
+
+
+def _measured(reps: DataFrame, code: str, least: float, neighbours: int, means: dict[int, np.ndarray]) -> int:
+    """Passes after which a pair at the threshold was within ``neighbours`` rows in one, at a chance of RECALL, by the ranks
+    that planted neighbours of SAMPLE vectors have among all vectors in TRIALS passes.
+
+    All vectors are counted between the sorted keys of the planted ones: a sum for each interval.
+    """
+    rows = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("raw").collect()
+    rng, keys, planes = np.random.default_rng(23), {}, {}
+    for _, unit in _by_size([bytes(r["raw"]) for r in rows], code):
+        size = unit.shape[1]
+        near, some = _planted(unit, means[size], least, rng)
+        if len(some):
+            planes[size] = rng.standard_normal((size, TRIALS * SIGNS))
+            keys[size] = _signs(unit[some], means[size], planes[size]), _signs(near, means[size], planes[size])
+    if not keys:
+        return 0
+    bounds = {size: np.sort(np.concatenate(k), axis=0) for size, k in keys.items()}
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {size: np.zeros((len(b) + 1, TRIALS), np.int64) for size, b in bounds.items()}
+        for batch in batches:
+            for _, unit in _by_size(batch.column(0).to_pylist(), code):
+                if (size := unit.shape[1]) in bounds:
+                    own = _signs(unit, means[size], planes[size])
+                    for t in range(TRIALS):
+                        counts[size][:, t] += np.bincount(np.searchsorted(bounds[size][:, t], own[:, t]), minlength=len(bounds[size]) + 1)
+        for size, c in counts.items():
+            at, trial = np.nonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size), pa.int32()), pa.array(trial, pa.int32()), pa.array(at, pa.int32()), pa.array(c[at, trial])], ["size", "trial", "at", "n"])
+
+    found = reps.select("raw").mapInArrow(between, "size int, trial int, at int, n long").groupBy("size", "trial", "at").agg(F.sum("n").alias("n"))
+    upto = {size: np.zeros((len(b) + 2, TRIALS), np.int64) for size, b in bounds.items()}
+    for r in found.toLocalIterator():
+        upto[r["size"]][r["at"] + 1, r["trial"]] = r["n"]
+    chances = []
+    for size, (own, near) in keys.items():
+        rank, hits = np.cumsum(upto[size], axis=0), np.zeros((len(own), PLANTED, TRIALS), bool)
+        for t in range(TRIALS):
+            place = lambda k, t=t: rank[np.searchsorted(bounds[size][:, t], k[:, t]) + 1, t]
+            hits[:, :, t] = np.abs(place(near).reshape(len(own), PLANTED) - place(own)[:, None]) <= neighbours
+        chances.append(hits.mean(axis=(1, 2)))
+    p = np.maximum(np.concatenate(chances), 0.5 / (PLANTED * TRIALS))
+    passes = 1
+    while np.mean(1 - (1 - p) ** passes) < RECALL:
+        passes += 1
+    return passes
+
+
+def _coded(batches: Iterator[pa.RecordBatch], code: str, passes: int, means: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Each vector once a pass, as one byte for each component and four of a bound: how far the unit vector of the bytes
     is from its own, with the rounding of a product in single precision."""
-    weights = np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
     planes: dict[int, np.ndarray] = {}
     for batch in batches:
-        reps, raws = (np.array(c.to_pylist(), dtype) for c, dtype in zip(batch.columns, (np.int64, object), strict=True))
-        sizes = np.array([len(r) for r in raws])
-        for size in np.unique(sizes):
-            some = np.flatnonzero(sizes == size)
-            unit = _unit(list(raws[some]), code)
+        reps = batch.column(0).to_numpy()
+        for some, unit in _by_size(batch.column(1).to_pylist(), code):
+            size = unit.shape[1]
             if size not in planes:
-                planes[size] = np.random.default_rng(17).standard_normal((unit.shape[1], passes * SIGNS))
-            keys = ((unit @ planes[size]) > 0).reshape(len(some), passes, SIGNS).astype(np.int64) @ weights
+                planes[size] = np.random.default_rng(17).standard_normal((size, passes * SIGNS))
+            keys = _signs(unit, means[size], planes[size])
             steps = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True)))
             off = np.linalg.norm(unit - steps / np.linalg.norm(steps, axis=1, keepdims=True), axis=1) + 2e-7 * (unit.shape[1] + 4)
             codes = np.hstack([steps.astype(np.int8).view(np.uint8), off.astype("<f4").view(np.uint8).reshape(-1, 4)])

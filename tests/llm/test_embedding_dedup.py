@@ -57,3 +57,30 @@ def test_windows_go_on_over_partition_edges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     assert {r["component_id"] for r in got} == {0}
+
+
+def cone(rng, n, size, common, at, pairs):
+    """Unit vectors of mean cosine ``common``, and near ones of the first ``pairs`` of them at cosine ``at``."""
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    axis = np.eye(1, size)
+    side = lambda k: unit(np.hstack([np.zeros((k, 1)), rng.standard_normal((k, size - 1))]))
+    one, two = side(n), side(pairs)
+    two -= np.einsum("ij,ij->i", two, one[:pairs])[:, None] * one[:pairs]
+    r = (at - common) / (1 - common)
+    near = r * one[:pairs] + np.sqrt(1 - r * r) * unit(two)
+    return np.vstack([np.sqrt(common) * axis + np.sqrt(1 - common) * x for x in (one, near)]).astype(np.float32)
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_recall_on_vectors_with_a_common_direction(spark, common):
+    """Windows of 16 among 3,200 vectors stand for the default ones among 50 thousand."""
+    pairs, at = 200, 0.905 if common < 0.7 else 0.92
+    v = cone(np.random.default_rng(6), 3000, 96, common, at, pairs)
+    exact = v.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    want = (exact @ exact.T >= 0.9).sum() - len(v)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    found = ed.near_duplicate_vectors(rows, neighbours=16).agg({"n_links": "sum"}).first()[0]
+    assert want >= 2 * pairs and found >= 0.95 * want
