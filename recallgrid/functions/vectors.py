@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.functions.hashes import little_endian
+#: White space in the sense of Unicode, and words that a worker remembers.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+REMEMBERED = 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,26 +44,90 @@ def tokens(text: Column) -> Column:
     return F.filter(cleaned, lambda w: w != "")
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, n): how often each row's text has each token, over one row or several of a token.
+def token(word: str) -> str:
+    """A word's letters and digits in lower case, as ``tokens`` has them."""
+    return (word if word.isalnum() else "".join(c for c in word if c.isalnum())).lower()
+
+
+class _Remembered(dict):
+    """What ``of`` makes of a word, kept for the words that come again."""
+
+    def __init__(self, of) -> None:
+        self.of = of
 
-    Words are counted as they stand and cleaned after the shuffle, once for each word of a row.
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = self.of(word)
+        return out
+
+
+def token_bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens, counts): the distinct tokens of each row's text and how often it has them; a null text has none.
+
+    A text's words are counted where the text is, so nothing is shuffled and no word becomes a row.
     """
-    words = docs.select(id_col, F.explode(F.split(text_col, r"(?U)\s+")).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    token = F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
-    return words.select(id_col, token.alias("token"), "n").where("token <> ''")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Remembered(token)
+        for batch in batches:
+            names, counts, ends = [], [], [0]
+            for text in batch.column(1).to_pylist():
+                bag: dict[str, int] = {}
+                for word, n in Counter(_WHITE.split(text or "")).items():
+                    if name := known[word]:
+                        bag[name] = bag.get(name, 0) + n
+                names.extend(bag)
+                counts.extend(bag.values())
+                ends.append(len(names))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], [id_col, "tokens", "counts"])
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(bags, f"`{id_col}` {kind}, tokens array<string>, counts array<long>")
 
 
-def sparse_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, idx, weight): one row per distinct token hash, weights 1 + ln(count), of unit length together.
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, n): how often each row's text has each token."""
+    each = token_bags(docs, id_col, text_col).select(id_col, F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+    return each.select(id_col, F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
+
+
+def token_index(word: str) -> int:
+    """The index of a word's token: the first four bytes of its SHA-256, lowest first; -1 for a word without one."""
+    name = token(word)
+    return int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "little") if name else -1
+
 
-    The index is the first four bytes of the token's SHA-256, lowest first.
+def sparse_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, idx, weight): the sparse vector of each row as two arrays, indices ascending.
+
+    Weights are 1 + ln(count), of unit length together; a row without tokens has empty arrays. One map, no shuffle.
     """
-    counts = token_counts(docs, id_col, text_col)
-    idx = little_endian(F.sha2("token", 256), 8)
-    weights = counts.groupBy(id_col, idx.alias("idx")).agg((1 + F.log(F.sum("n"))).alias("w"))
-    norms = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, id_col).select(id_col, "idx", (F.col("w") / F.col("norm")).alias("weight"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Remembered(token_index)
+        for batch in batches:
+            idx, weight, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [0]
+            for text in batch.column(1).to_pylist():
+                bag = Counter(_WHITE.split(text or ""))
+                own, place = np.unique(np.fromiter((known[w] for w in bag), np.int64, len(bag)), return_inverse=True)
+                n = np.bincount(place, np.fromiter(bag.values(), np.float64, len(bag)), len(own))[own >= 0]
+                w = 1 + np.log(n)
+                idx.append(own[own >= 0])
+                weight.append(w / np.sqrt(w @ w) if len(w) else w)
+                ends.append(ends[-1] + len(w))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (idx, weight))], [id_col, "idx", "weight"])
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(vectors, f"`{id_col}` {kind}, idx array<long>, weight array<double>")
+
+
+def sparse_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, idx, weight): ``sparse_documents`` with one row per index."""
+    each = sparse_documents(docs, id_col, text_col).select(id_col, F.explode(F.arrays_zip("idx", "weight")).alias("t"))
+    return each.select(id_col, F.col("t.idx").alias("idx"), F.col("t.weight").alias("weight"))
 
 
 def sparse_scores(queries: DataFrame, rows: DataFrame, n_docs: DataFrame, query_col: str, id_col: str) -> DataFrame:
