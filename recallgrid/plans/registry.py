@@ -221,16 +221,16 @@ CLUSTERS = """
 """
 
 
-@query("vec09_duplicate_clusters", f"WITH {CLUSTERS} SELECT representative, size, note_id, CASE WHEN representative = first OR note_id = first THEN 1.0 ELSE 0.0 END::DOUBLE AS similarity FROM g, unnest(ids) AS u(note_id) WHERE note_id <> representative")
+@query("vec09_duplicate_clusters", f"WITH {CLUSTERS} SELECT representative, size, note_id, 1.0::DOUBLE AS similarity FROM g, unnest(ids) AS u(note_id) WHERE note_id <> representative")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = _notes_of_documents(spark, d)
-    return duplicates.clusters(duplicates.exact_pairs(n), n.select("note_id", (F.col("note_id") % 9).alias("total_reps")))
+    return duplicates.clusters(duplicates.exact_pairs(n), n.select("note_id", (F.col("note_id") % 9).alias("total_reps")), notes=n)
 
 
 @query("agg11_duplicate_stats", f"WITH {CLUSTERS} SELECT count(*) AS clusters, sum(size - 1)::BIGINT AS duplicates, round(avg(size), 6) AS avg_size, (SELECT count(*) FROM documents) AS notes_scanned FROM (SELECT * FROM g ORDER BY size DESC, representative LIMIT 50)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = _notes_of_documents(spark, d)
-    found = duplicates.clusters(duplicates.exact_pairs(n), n.select("note_id", (F.col("note_id") % 9).alias("total_reps")))
+    found = duplicates.clusters(duplicates.exact_pairs(n), n.select("note_id", (F.col("note_id") % 9).alias("total_reps")), notes=n)
     return duplicates.stats(duplicates.listed(found, n), n).withColumn("avg_size", F.round("avg_size", 6))
 
 
@@ -524,4 +524,4 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from recallgrid.plans import search_queries, text_queries, work_queries  # noqa: E402, F401
+from recallgrid.plans import card_queries, search_queries, text_queries, work_queries  # noqa: E402, F401

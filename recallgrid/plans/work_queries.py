@@ -201,25 +201,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cardbook.derived(cards).select("p_partkey", "guid", "content_hash", "anchor", "is_new")
 
 
-@query("val07_constructor_issues", """
-    WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 5 = 1 THEN 'Slug ' || p_partkey ELSE 'slug-' || p_partkey END AS slug, p_partkey % 7 AS i, CASE WHEN p_partkey % 3 = 0 THEN 'xx' ELSE 'en' END AS lang, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS front FROM part)
-    SELECT slug, 'slug is empty' AS message FROM k WHERE trim(slug) = '' UNION ALL SELECT slug, 'slug has invalid characters: ' || slug FROM k WHERE trim(slug) <> '' AND NOT regexp_full_match(slug, '[a-z0-9-]+')
-    UNION ALL SELECT slug, 'index must be positive' FROM k WHERE i < 1 UNION ALL SELECT slug, 'unknown language: ' || lang FROM k WHERE lang = 'xx' UNION ALL SELECT slug, 'front is empty' FROM k WHERE front = ''""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    slug = F.when(k % 5 == 0, " ").when(k % 5 == 1, F.concat(F.lit("Slug "), k)).otherwise(F.concat(F.lit("slug-"), k))
-    cards = table(spark, d, "part").select(slug.alias("slug"), (k % 7).alias("index"), F.when(k % 3 == 0, "xx").otherwise("en").alias("lang"), F.when(k % 11 == 0, "").otherwise(F.col("p_name")).alias("front"), F.col("p_type").alias("back"))
-    return cardbook.constructor_issues(cards).select("slug", "message")
-
-
-@query("jsn02_issue_kinds", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'low_quality' ELSE 'stale_content' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS dimension, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 END::DOUBLE AS score FROM orders")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    good = F.to_json(F.struct(F.lit("low_quality").alias("kind"), F.col("o_orderpriority").alias("dimension"), (k % 10).alias("score")))
-    stored = table(spark, d, "orders").select("o_orderkey", F.when(k % 3 == 0, good).when(k % 3 == 1, "{broken").alias("issue_kind"))
-    return cardbook.parsed_kinds(stored).select("o_orderkey", "kind", "dimension", "score")
-
-
 @query("prj03_deck_names", "SELECT n.note_id, coalesce(array_to_string(list_sort(list(DISTINCT deck) FILTER (deck IS NOT NULL)), '|'), '') AS decks FROM notes n LEFT JOIN cards USING (note_id) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return filters.note_details(c.notes(spark, d), c.cards(spark, d)).select("note_id", F.array_join("deck_names", "|").alias("decks"))
