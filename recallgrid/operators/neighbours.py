@@ -61,3 +61,98 @@ def _best(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[p
             first = np.searchsorted(query, query)
             some = np.arange(len(query)) - first < k
             yield pa.RecordBatch.from_arrays([pa.array(own[query[some]]), pa.array(found[at[some]]), pa.array(value[some])], ["query_id", "id", "score"])
+
+
+#: Vectors that the cells are fitted on, rounds of that, most cells, queries that set the number of probes.
+SAMPLE, ROUNDS, CELLS, CALIBRATION = 20_000, 8, 1024, 64
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    size = np.sqrt(np.einsum("ij,ij->i", v, v))
+    return v / np.where(size > 0, size, 1)[:, None]
+
+
+def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def fitted_cells(vectors: DataFrame, cells: int | None = None, id_col: str = "id", vector_col: str = "vector") -> np.ndarray:
+    """Centres of cells by spherical k-means on a bounded sample: the SAMPLE vectors with the smallest hashes of their ids.
+
+    Their number is the root of that of all vectors, CELLS at most, unless it is given.
+    """
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(F.col(vector_col).cast("array<double>").alias("v")).toArrow()
+    if not n:
+        return np.zeros((0, 0))
+    own = _units(_matrix(some.column("v")))
+    k = max(1, min(cells or min(int(n**0.5), CELLS), len(own)))
+    rng = np.random.default_rng(13)
+    centres = own[rng.permutation(len(own))[:k]]
+    for _ in range(ROUNDS):
+        cell = np.concatenate([np.argmax(own[at : at + 1024] @ centres.T, axis=1) for at in range(0, len(own), 1024)])
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, own)
+        empty = np.bincount(cell, minlength=k) == 0
+        total[empty] = own[rng.integers(0, len(own), int(empty.sum()))]
+        centres = _units(total)
+    return centres
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """(cell, probe, id, unit): each vector in its nearest ``probes`` cells, the nearest first."""
+    for batch in batches:
+        unit = _units(_matrix(batch.column(1)))
+        score = unit @ centres.T
+        near = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        data = pa.array([u.tobytes() for u in unit], pa.binary())
+        at = pa.array(np.repeat(np.arange(len(unit)), near.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(unit))), batch.column(0).take(at), data.take(at)], ["cell", "probe", "id", "unit"])
+
+
+def coarse_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, recall: float = 0.95, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """``nearest`` in part of the vectors: (query_id, id, score, rank) of each query among those of its nearest cells.
+
+    Every vector is put into the nearest of some cells, a query looks into its nearest ``probes`` of them, and what it
+    finds is scored exactly. Without ``probes`` their number is the smallest that finds a share of ``recall`` of the true
+    neighbours of CALIBRATION of the queries, those with the smallest hashes, which are compared with all vectors; on
+    vectors that lie spread out these are many cells. A cell of any size is cut into blocks, so that one with a third of
+    all vectors is many tasks' work. Ids, nulls and ties are as in ``nearest``; scores are exact, neighbours in cells
+    that a query doesn't look into are missing.
+    """
+    spark = vectors.sparkSession
+    of = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    centres = fitted_cells(vectors, cells, id_col, vector_col)
+    if not len(centres):
+        return nearest(queries, vectors, k, -1.0, query_id, id_col, vector_col)
+    sent = spark.sparkContext.broadcast(centres)
+    kind = "cell int, probe int, id long, unit binary"
+    own = written(of(vectors, id_col).mapInArrow(lambda it: _by_cell(it, sent.value, 1), kind))
+    asked = of(queries, query_id)
+    if probes is None:
+        some = written(queries.where(F.col(query_id).isNotNull() & F.col(vector_col).isNotNull()).orderBy(F.xxhash64(query_id), query_id).limit(CALIBRATION))
+        truth = nearest(some, vectors, k, -1.0, query_id, id_col, vector_col).select(F.col(query_id).alias("q"), F.col(id_col).alias("id")).join(own.select("id", "cell"), "id")
+        order = of(some, query_id).mapInArrow(lambda it: _by_cell(it, sent.value, len(centres)), kind).select(F.col("id").alias("q"), "cell", "probe")
+        places = sorted(r["probe"] for r in truth.join(order, ["q", "cell"]).select("probe").toLocalIterator())  # k for each of few queries
+        probes = places[max(0, int(np.ceil(recall * len(places))) - 1)] + 1 if places else 1
+    # A row for each cell: how many blocks its vectors make.
+    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = "cell int, block int, ids binary, units binary"
+    right = written(dealt.select("cell", "block", "id", "unit").groupBy("cell", "block").applyInArrow(_packed_block, packed), maxRecordsPerFile=64).toDF("cell", "block", "other_ids", "other_units")
+    looked = asked.mapInArrow(lambda it: _by_cell(it, sent.value, probes), kind)
+    many = written(looked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")))
+    looked = looked.join(F.broadcast(many), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = looked.select("cell", "block", "id", "unit").groupBy("cell", "block").applyInArrow(_packed_block, packed)
+    left = left.join(F.broadcast(sizes), "cell").select("cell", "ids", "units", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    found = left.join(right, ["cell", "block"]).select("ids", "units", "other_ids", "other_units").mapInArrow(lambda it: _best(it, k, -1.0), "query_id long, id long, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+
+
+def _packed_block(rows: pa.Table) -> pa.Table:
+    ids, units = rows.column("id").to_numpy().tobytes(), b"".join(rows.column("unit").to_pylist())
+    return pa.table({"cell": rows.column("cell").slice(0, 1), "block": rows.column("block").slice(0, 1), "ids": pa.array([ids], pa.binary()), "units": pa.array([units], pa.binary())})
