@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes
@@ -33,15 +34,16 @@ def synced_stats(stored: DataFrame, stats: DataFrame, cards: DataFrame) -> DataF
     return upserted(stored, stats.join(cards, "card_id", "left_semi").select(*stored.columns), ["card_id"])
 
 
-def sync(store: Store, snapshot: dict[str, DataFrame], now: Column) -> None:
-    """Brings decks, models, notes, cards and card_stats of a store to a snapshot; versions change together at the end."""
+def sync(store: Store, snapshot: dict[str, DataFrame], now: Column, batch: tuple[str, int] | None = None) -> None:
+    """Brings decks, models, notes, cards and card_stats of a store to a snapshot; versions change together at the end,
+    with the stream's batch if the snapshot is one."""
     new = {name: upserted(store.read(name, snapshot[name].schema), snapshot[name], [key]) for name, key in (("decks", "deck_id"), ("models", "model_id"), ("cards", "card_id")) if name in snapshot}
     if "notes" in snapshot:
         schema = snapshot["notes"].withColumn("deleted_at", F.lit(None).cast("timestamp")).schema
         new["notes"] = synced_notes(store.read("notes", schema), snapshot["notes"], now)
     if "card_stats" in snapshot:
         new["card_stats"] = synced_stats(store.read("card_stats", snapshot["card_stats"].schema), snapshot["card_stats"], snapshot["cards"])
-    store.write(new)
+    store.write(new, batch)
 
 
 def chunks(notes: DataFrame, model: str) -> DataFrame:
@@ -56,6 +58,14 @@ def changed(chunks_now: DataFrame, indexed: DataFrame) -> DataFrame:
     return chunks_now.join(old, "note_id", "left").where("old_hash is null or old_hash <> content_hash").drop("old_hash")
 
 
+def changed_versions(versions: DataFrame) -> DataFrame:
+    """Chunks (note_id, version, content_hash, ...) whose note had another hash in the version before, or none."""
+    last = versions.select("note_id", "version", "content_hash").distinct()
+    before = F.lag("content_hash").over(W.partitionBy("note_id").orderBy("version"))
+    new = last.withColumn("before", before).where("before is null or before <> content_hash").select("note_id", "version")
+    return versions.join(new, ["note_id", "version"], "left_semi")
+
+
 def indexed(chunks_now: DataFrame, index: DataFrame, embed: Callable[[Column], Column], force: bool = False) -> DataFrame:
     """The index after an incremental run: new and changed chunks embedded, those of notes that are gone removed."""
     todo = chunks_now if force else changed(chunks_now, index)

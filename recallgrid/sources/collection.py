@@ -2,70 +2,96 @@
 
 from __future__ import annotations
 
-import json
 import re
 import shutil
-import sqlite3
-import tempfile
+import uuid
+from contextlib import closing
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.operators.sync import card_stats
+from recallgrid.session import shared_folder
+from recallgrid.sources.sqlite_source import opened, sqlite_table
+
 SEPARATOR = "\x1f"
 
 
 class Collection:
-    """Tables of one collection file. The file is copied first, so that the program that owns it isn't disturbed."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.folder = Path(tempfile.mkdtemp(prefix="collection-"))
+    """Tables of one collection file, read by executors. The file is copied first, so that the program that owns it isn't
+    disturbed: into the folder that driver and executors share, which must be mounted on all machines."""
+
+    def __init__(self, spark: SparkSession, path: str, rows: int = 100_000) -> None:
+        self.spark, self.rows = spark, rows
+        shared = urlsplit(shared_folder(spark))
+        if shared.scheme not in ("", "file"):
+            raise ValueError(f"collection files need a shared folder that is mounted, not {shared.scheme}:")
+        self.folder = Path(shared.path) / f"collection-{uuid.uuid4().hex}"
+        self.folder.mkdir(parents=True)
         self.copy = self.folder / "collection.db"
         shutil.copyfile(path, self.copy)
-        self.modern = bool(self._rows("select 1 from sqlite_master where type = 'table' and name = 'notetypes'"))
+        with closing(opened(str(self.copy))) as db:
+            self.names = {name for (name,) in db.execute("select name from sqlite_master where type = 'table'")}
+        self.modern = "notetypes" in self.names
 
-    def _rows(self, sql: str) -> list[tuple]:
-        with sqlite3.connect(self.copy) as db:
-            db.create_collation("unicase", lambda a, b: (a.lower() > b.lower()) - (a.lower() < b.lower()))
-            return db.execute(sql).fetchall()
+    def table(self, name: str, schema: str) -> DataFrame:
+        """The rows of a table of the file, in partitions of row ids; equality on its columns is pushed down."""
+        return sqlite_table(self.spark, str(self.copy), name, schema, self.rows)
 
-    def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+    def _json(self, column: str, kind: str) -> DataFrame:
+        """(key, value) of the JSON object in a column of the one row of an old file."""
+        text = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("{}"))
+        return self.table("col", f"{column} string").select(F.explode(F.from_json(text, f"map<string, {kind}>")))
 
     def decks(self) -> DataFrame:
+        """(deck_id, name, parent_name)."""
         if self.modern:
-            rows = [(i, name.replace(SEPARATOR, "::")) for i, name in self._rows("select id, name from decks")]
+            rows = self.table("decks", "id long, name string").select(F.col("id").alias("deck_id"), F.replace("name", F.lit(SEPARATOR), F.lit("::")).alias("name"))
         else:
-            rows = [(int(d.get("id", k)), d["name"]) for k, d in json.loads(self._rows("select decks from col")[0][0] or "{}").items()]
-        return self._frame(rows, "deck_id long, name string").withColumn("parent_name", parent_deck(F.col("name")))
+            rows = self._json("decks", "struct<id:long,name:string>").select(F.coalesce("value.id", F.col("key").cast("long")).alias("deck_id"), "value.name")
+        return rows.withColumn("parent_name", parent_deck(F.col("name")))
+
+    def _parts(self, name: str) -> DataFrame:
+        """(model_id, parts) of fields or templates, in their order."""
+        parts = F.sort_array(F.collect_list(F.struct("ord", "name")))
+        named = F.transform(parts, lambda p: F.struct(p["name"].alias("name"), p["ord"].alias("ord")))
+        return self.table(name, "ntid long, ord int, name string").groupBy(F.col("ntid").alias("model_id")).agg(named.alias(name))
 
     def models(self) -> DataFrame:
+        """(model_id, name, fields, templates): both in their order; a file without templates has none."""
+        nothing = F.array().cast("array<struct<name:string,ord:int>>")
         if self.modern:
-            fields: dict[int, list] = {}
-            for ntid, at, name in self._rows("select ntid, ord, name from fields order by ntid, ord"):
-                fields.setdefault(ntid, []).append((name, at))
-            rows = [(i, name, fields.get(i, [])) for i, name in self._rows("select id, name from notetypes")]
-        else:
-            found = json.loads(self._rows("select models from col")[0][0] or "{}")
-            rows = [(int(k), m["name"], sorted(((f["name"], f.get("ord", i)) for i, f in enumerate(m.get("flds", []))), key=lambda f: f[1])) for k, m in found.items()]
-        return self._frame(rows, "model_id long, name string, fields array<struct<name:string,ord:int>>")
+            rows = self.table("notetypes", "id long, name string").withColumnRenamed("id", "model_id").join(self._parts("fields"), "model_id", "left")
+            rows = rows.join(self._parts("templates"), "model_id", "left") if "templates" in self.names else rows.withColumn("templates", nothing)
+            return rows.select("model_id", "name", *[F.coalesce(c, nothing).alias(c) for c in ("fields", "templates")])
+        part = "array<struct<name:string,ord:int>>"
+        rows = self._json("models", f"struct<name:string,flds:{part},tmpls:{part}>").select(F.col("key").cast("long").alias("model_id"), "value.*")
+        placed = lambda c: F.transform(F.array_sort(F.transform(F.coalesce(c, nothing), lambda p, i: F.struct(F.coalesce(p["ord"], i).alias("ord"), p["name"].alias("name")))), lambda p: F.struct(p["name"].alias("name"), p["ord"].alias("ord")))
+        return rows.select("model_id", "name", placed("flds").alias("fields"), placed("tmpls").alias("templates"))
 
     def notes(self) -> DataFrame:
-        rows = self._frame(self._rows("select id, mid, mod, tags, flds from notes"), "note_id long, model_id long, mtime long, raw_tags string, raw_fields string")
+        rows = self.table("notes", "id long, mid long, mod long, tags string, flds string").toDF("note_id", "model_id", "mtime", "raw_tags", "raw_fields")
         names = self.models().select("model_id", F.transform("fields", lambda f: f["name"]).alias("names"))
         rows = rows.join(names, "model_id", "left").withColumns({"tags": split_tags(F.col("raw_tags")), "fields": named_fields(F.col("raw_fields"), F.col("names"))})
         return rows.select("note_id", "model_id", "mtime", "tags", "fields", "raw_fields")
 
     def cards(self) -> DataFrame:
-        rows = self._rows("select id, nid, did, ord, due, ivl, factor, lapses, reps, queue, type, mod, usn from cards")
-        return self._frame(rows, "card_id long, note_id long, deck_id long, ord int, due int, ivl int, ease int, lapses int, reps int, queue int, card_type int, mtime long, usn int")
+        columns = "id long, nid long, did long, ord int, due int, ivl int, factor int, lapses int, reps int, queue int, type int, mod long, usn int"
+        return self.table("cards", columns).toDF("card_id", "note_id", "deck_id", "ord", "due", "ivl", "ease", "lapses", "reps", "queue", "card_type", "mtime", "usn")
 
     def reviews(self) -> DataFrame:
-        rows = self._rows("select id, cid, ease, factor, time from revlog")
-        return self._frame(rows, "review_ms long, card_id long, ease int, factor int, time_ms long")
+        """All columns of the review log."""
+        columns = "id long, cid long, usn int, ease int, ivl int, lastIvl int, factor int, time long, type int"
+        return self.table("revlog", columns).toDF("review_ms", "card_id", "usn", "ease", "ivl", "last_ivl", "factor", "time_ms", "review_type")
+
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables, with the statistics of the log, as ``sync`` takes them."""
+        return {"decks": self.decks(), "models": self.models(), "notes": self.notes(), "cards": self.cards(), "reviews": self.reviews(), "card_stats": card_stats(self.reviews())}
 
     def close(self) -> None:
+        """Removes the copy; tables of it can't be read any more."""
         shutil.rmtree(self.folder)
 
 

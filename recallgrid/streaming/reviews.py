@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators.sync import card_stats
 from recallgrid.sources.catalog import REVIEWS
+from recallgrid.tables import Store
 
 
 def review_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -35,3 +36,18 @@ def each_snapshot(apply: Callable[[DataFrame], None]) -> Callable[[DataFrame, in
             apply(batch)
 
     return run
+
+
+def each_batch_once(store: Store, stream: str, apply: Callable[[DataFrame, tuple[str, int]], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function for foreachBatch that applies each batch of a stream to a store once.
+
+    ``apply`` gets the batch with (stream, number), which it hands to the store's write: the manifest then has the number.
+    A batch that comes again, as its stream failed between that write and its own commit, has a number that the manifest
+    knows and is passed over. Empty batches are passed over too.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if number > store.applied(stream) and not batch.isEmpty():
+            apply(batch, (stream, number))
+
+    return run

@@ -91,10 +91,17 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that a manifest has, -1 if there is none."""
+        return int(self.manifest().get(f"@{stream}", -1))
+
+    def write(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
         """Writes new versions of all tables, then the manifest that names them: a failure at any point leaves every old
-        version in place. Of two writers that started from one manifest the second to end fails."""
+        version in place. Of two writers that started from one manifest the second to end fails. ``batch``, a stream's
+        name and the number of its batch, is part of that manifest: the tables and the number change together."""
         now = self.manifest()
+        if batch:
+            now[f"@{batch[0]}"] = str(batch[1])
         number = int(now.pop("", 0)) + 1
         for name, df in tables.items():
             now[name] = uuid.uuid4().hex

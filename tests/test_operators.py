@@ -212,13 +212,15 @@ def test_collection_files(spark, tmp_path, modern):
     with sqlite3.connect(path) as db:
         db.execute("create table notes (id, mid, mod, tags, flds)")
         db.execute("create table cards (id, nid, did, ord, due, ivl, factor, lapses, reps, queue, type, mod, usn)")
-        db.execute("create table revlog (id, cid, ease, factor, time)")
+        db.execute("create table revlog (id, cid, usn, ease, ivl, lastIvl, factor, time, type)")
         db.execute("insert into notes values (100, 9, 1, ' vocab japanese ', ?)", ("Hello\x1fWorld\x1fmore",))
         db.execute("insert into cards values (500, 100, 2, 0, 0, 30, 2500, 2, 10, 2, 2, 1, 0)")
-        db.executemany("insert into revlog values (?, 500, ?, ?, ?)", [(1700000000000, 3, 2500, 8000), (1700000001000, 1, 2100, 15000), (1700000002000, 3, 2200, 6000)])
+        db.executemany("insert into revlog values (?, 500, -1, ?, 30, 15, ?, ?, 1)", [(1700000000000, 3, 2500, 8000), (1700000001000, 1, 2100, 15000), (1700000002000, 3, 2200, 6000)])
         if modern:
             db.execute("create table notetypes (id, name)")
             db.execute("create table fields (ntid, ord, name)")
+            db.execute("create table templates (ntid, ord, name)")
+            db.executemany("insert into templates values (9, ?, ?)", [(1, "Card 2"), (0, "Card 1")])
             db.execute("create table decks (id, name)")
             db.execute("insert into notetypes values (9, 'Basic')")
             db.executemany("insert into fields values (9, ?, ?)", [(1, "Back"), (0, "Front")])
@@ -226,7 +228,7 @@ def test_collection_files(spark, tmp_path, modern):
         else:
             db.execute("create table col (decks, models)")
             decks = {"1": {"id": 1, "name": "Default"}, "2": {"id": 2, "name": "Japanese::Vocab"}}
-            db.execute("insert into col values (?, ?)", (json.dumps(decks), json.dumps({"9": {"name": "Basic", "flds": [{"name": "Front", "ord": 0}, {"name": "Back", "ord": 1}]}})))
+            db.execute("insert into col values (?, ?)", (json.dumps(decks), json.dumps({"9": {"name": "Basic", "flds": [{"name": "Front", "ord": 0}, {"name": "Back", "ord": 1}], "tmpls": [{"name": "Card 2", "ord": 1}, {"name": "Card 1", "ord": 0}]}})))
     c = source.Collection(spark, path)
     assert c.modern == modern and rows(c.decks()) == [(1, "Default", None), (2, "Japanese::Vocab", "Japanese")]
     note = c.notes().first()
@@ -234,6 +236,10 @@ def test_collection_files(spark, tmp_path, modern):
     stats = sync.card_stats(c.reviews()).first()
     assert (stats["reviews"], round(stats["avg_ease"], 3), stats["total_time_ms"]) == (3, 2266.667, 29000) and stats["fail_rate"] == pytest.approx(1 / 3)
     assert stats["last_review_at"] == dt.datetime(2023, 11, 14, 22, 13, 22) and c.cards().count() == 1
+    model = c.models().first()
+    assert [tuple(x) for x in model["fields"]] == [("Front", 0), ("Back", 1)] and [tuple(x) for x in model["templates"]] == [("Card 1", 0), ("Card 2", 1)]
+    assert rows(c.reviews())[0] == (1700000000000, 500, -1, 3, 30, 15, 2500, 8000, 1)
+    assert {name: t.count() for name, t in c.tables().items()} == {"decks": 2, "models": 1, "notes": 1, "cards": 1, "reviews": 3, "card_stats": 1}
     c.close()
 
 
