@@ -66,20 +66,35 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(F.startswith(x, y) | F.startswith(y, x), 0).otherwise(differ)
 
 
+def _segments(text: Column, within: int) -> Column:
+    """Keys of the texts that differ from one in ``within`` places at most: for each length that the shorter one can have,
+    the parts of that many characters, one more than differences; of two such texts a part is equal.
+
+    Texts whose bytes differ by ``within`` at most can differ by three times as many characters.
+    """
+    parts = within + 1
+    key = lambda m: F.transform(F.sequence(F.lit(0), F.lit(within)), lambda i: F.concat_ws("\x00", m.cast("string"), i.cast("string"), F.substring(text, (F.floor(m * i / parts) + 1).cast("int"), (F.floor(m * (i + 1) / parts) - F.floor(m * i / parts)).cast("int"))))
+    n = F.char_length(text)
+    return F.flatten(F.transform(F.sequence(F.greatest(n - 3 * within, F.lit(0)), n), key))
+
+
+def _prefixes(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda n: F.left(text, n))
+
+
 def suggestions(tags: DataFrame, vocabulary: DataFrame, most: int = 3, within: int = 2) -> DataFrame:
     """(tag, suggestion, distance): up to ``most`` known tags within ``within`` of each tag, nearest first.
 
-    A partner within the distance shares its first letters or lies within the length bound, and so one of two keys:
-    its first letter with a length of nearly the same, or another first letter among the two differences; a prefix
-    relation has the same first letter. Both sides are exploded to those keys and joined by them.
+    Tags within the distance have a segment of one length in common, and one that starts with the other has it among its
+    prefixes; both sides are joined by these keys, so that a tag meets those that are nearly like it. Empty tags are none.
     """
-    known = vocabulary.select(F.col("tag").alias("suggestion")).distinct()
-    left = tags.select(trimmed(F.col("tag")).alias("tag")).where("tag <> ''").distinct()
-    rows = left.join(known, F.left(F.lower("tag"), F.lit(1)) == F.left(F.lower("suggestion"), F.lit(1)))
-    size = F.octet_length("tag")
-    near = F.explode(F.sequence(size - within, size + within))
-    others = left.withColumn("size", near).join(known.withColumn("size", F.octet_length("suggestion")), "size").where(F.left(F.lower("tag"), F.lit(1)) != F.left(F.lower("suggestion"), F.lit(1)))
-    rows = rows.unionByName(others.drop("size")).where(F.lower("tag") != F.lower("suggestion"))
+    known = vocabulary.select(F.col("tag").alias("suggestion"), F.lower("tag").alias("y")).where("suggestion <> ''").distinct()
+    left = tags.select(trimmed(F.col("tag")).alias("tag")).where("tag <> ''").distinct().withColumn("x", F.lower("tag"))
+    keys = lambda df, c, make: df.withColumn("key", F.explode(make(F.col(c))))
+    segment = lambda c: _segments(c, within)
+    itself = lambda c: F.array(c)
+    pairs = [keys(left, "x", a).join(keys(known, "y", b), "key") for a, b in ((segment, segment), (_prefixes, itself), (itself, _prefixes))]
+    rows = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).where("x <> y").select("tag", "suggestion").distinct()
     rows = rows.withColumn("distance", distance(F.col("tag"), F.col("suggestion"))).where(F.col("distance") <= within)
     w = W.partitionBy("tag").orderBy("distance", "suggestion")
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")

@@ -170,3 +170,40 @@ def hybrid(request: SearchRequest, notes: DataFrame, chunk_hits: DataFrame, scor
     else:
         rows = rows.orderBy(F.desc("rrf_score"), "note_id")
     return rows.limit(request.limit), stats
+
+
+def hybrid_each(queries: DataFrame, notes: DataFrame, chunk_hits: DataFrame, lexical_hits: DataFrame, limit: int = 50, mode: str = "hybrid", semantic_weight: float = 1.0, lexical_weight: float = 1.0, scorer: Callable[[Column, Column], Column] | None = None, rerank_top: int | None = None, k: int = RRF_K) -> DataFrame:
+    """The first ``limit`` notes of each query by both sides: (query_id, note_id, rank, rrf_score, semantic_rank,
+    semantic_score, lexical_rank, lexical_score, lexical_mode, sources, rerank_score, and the columns of the best chunk).
+
+    ``queries`` (query_id, query); ``chunk_hits`` (query_id, note_id, chunk_id, score, ...) of the vector side, whose best
+    chunk stands for a note; ``lexical_hits`` as ``lexicon.lexical_each`` gives them. Each side is cut to ``limit`` notes,
+    fused by weighed reciprocal ranks and cut again; a mode of one side leaves the other's list out. A blank query has no
+    result on either side, and only notes of ``notes`` are found. With ``scorer`` of (query, text) the first
+    ``rerank_top`` of each query are put first by their score, those without a text after the others.
+    """
+    SearchRequest("q", mode, limit, semantic_weight, lexical_weight, rerank_top)  # checks the values
+    asked = queries.where(F.trim("query") != "").select("query_id", "query")
+    extra = [c for c in chunk_hits.columns if c not in ("query_id", "note_id", "score")]
+    hits = chunk_hits if mode != "lexical" else chunk_hits.limit(0)
+    hits = hits.join(asked.select("query_id"), "query_id", "left_semi").join(notes.select("note_id"), "note_id", "left_semi")
+    best = hits.groupBy("query_id", "note_id").agg(F.max_by(F.struct("score", *extra), F.struct("score", "chunk_id")).alias("b"))
+    place = lambda score: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "note_id"))
+    semantic = best.select("query_id", "note_id", F.col("b.score").alias("semantic_score"), *[F.col(f"b.{c}").alias(c) for c in extra])
+    semantic = semantic.withColumn("semantic_rank", place("semantic_score")).where(F.col("semantic_rank") <= limit)
+    words = lexical_hits if mode != "semantic" else lexical_hits.limit(0)
+    words = words.where(F.col("rank") <= limit).join(asked.select("query_id"), "query_id", "left_semi")
+    words = words.select("query_id", "note_id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank"), F.col("mode").alias("lexical_mode"))
+    part = lambda weight, rank: F.coalesce(F.lit(weight) / (k + F.col(rank)), F.lit(0.0))
+    sources = F.array_compact(F.array(F.when(F.col("semantic_rank").isNotNull(), "semantic"), F.when(F.col("lexical_rank").isNotNull(), "fts")))
+    rows = semantic.join(words, ["query_id", "note_id"], "full_outer").withColumns({"rrf_score": part(semantic_weight, "semantic_rank") + part(lexical_weight, "lexical_rank"), "sources": sources})
+    rows = rows.withColumn("rank", place("rrf_score")).where(F.col("rank") <= limit)
+    score = F.lit(None).cast("double")
+    if scorer and rerank_top:
+        texts = rows.where(F.col("rank") <= rerank_top).select("query_id", "note_id").join(notes.select("note_id", "text"), "note_id").join(asked, "query_id")
+        scored = texts.where(F.trim("text") != "").select("query_id", "note_id", scorer(F.col("query"), F.col("text")).alias("rerank_score"))
+        rows = rows.join(scored, ["query_id", "note_id"], "left")
+        again = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank"))
+        rows, score = rows.withColumn("again", again), F.col("rerank_score")
+        rows = rows.withColumn("rank", F.col("again"))
+    return rows.select("query_id", "note_id", "rank", "rrf_score", "semantic_rank", "semantic_score", "lexical_rank", "lexical_score", "lexical_mode", "sources", score.alias("rerank_score"), *extra)

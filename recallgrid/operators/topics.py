@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.operators.neighbours import nearest
+from recallgrid.tables import numbered
 
 MATURE = 21
 
@@ -144,10 +145,9 @@ def upserted_ids(stored: DataFrame, tree: DataFrame) -> DataFrame:
     the ids after the largest, in the order of their paths."""
     fresh = tree.select("path", F.col("label").alias("new_label")).dropDuplicates(["path"])
     most = stored.agg(F.coalesce(F.max("topic_id"), F.lit(0)).cast("long").alias("most"))
-    both = stored.join(fresh, "path", "full_outer").crossJoin(F.broadcast(most))
-    # A taxonomy is a list that callers write by hand; its new paths are numbered in one window.
-    number = F.row_number().over(W.partitionBy(F.col("topic_id").isNull()).orderBy("path"))
-    return both.select(F.coalesce(F.col("topic_id").cast("long"), F.col("most") + number).alias("topic_id"), "path", F.coalesce("new_label", "label").alias("label"))
+    known = stored.join(fresh, "path", "left").select(F.col("topic_id").cast("long").alias("topic_id"), "path", F.coalesce("new_label", "label").alias("label"))
+    new = numbered(fresh.join(stored.select("path"), "path", "left_anti"), ["path"], "number").crossJoin(F.broadcast(most))
+    return known.unionByName(new.select((F.col("most") + F.col("number")).alias("topic_id"), "path", F.col("new_label").alias("label")))
 
 
 def labels(similarities: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes, quality
+from recallgrid.tables import numbered
 
 #: Tiers from the cheapest to the most drastic fix.
 TIERS = {"auto_fix": 1, "quick_fix": 2, "rework": 3, "delete": 4}
@@ -124,12 +125,10 @@ def stale(registry: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def batched(items: DataFrame, size: int = 10) -> DataFrame:
-    """cluster_id: the slug, or for items without one their kind and the number of their batch of ``size``.
-
-    Only items without a slug are numbered, which are few.
-    """
-    n = F.row_number().over(W.partitionBy("kind").orderBy("id")) - 1
-    bare = items.where("slug is null").withColumn("cluster_id", F.concat_ws(":", "kind", F.floor(n / size).cast("string")))
+    """cluster_id: the slug, or for items without one their kind and the number of their batch of ``size``, by id."""
+    number = F.floor((F.col("__number") - 1) / size).cast("string")
+    bare = numbered(items.where("slug is null"), ["id"], "__number", ["kind"])
+    bare = bare.withColumn("cluster_id", F.concat_ws(":", "kind", number)).drop("__number")
     return items.where("slug is not null").withColumn("cluster_id", F.col("slug")).unionByName(bare)
 
 

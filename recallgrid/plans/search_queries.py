@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors
-from recallgrid.operators import documents, duplicates, filters, neighbours, search, topics
+from recallgrid.operators import documents, duplicates, filters, lexicon, neighbours, search, topics
 from recallgrid.plans.base import query
 from recallgrid.plans.registry import SPARSE, _notes_of_documents
 from recallgrid.session import table
@@ -171,3 +171,60 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     f = filters.translated(filters.Filters(decks=("2-HIGH ", "5-LOW"), tags=("building", "tag-7"), tags_exclude=("tag-1",), min_ivl=21))
     return filters.note_details(c.notes(spark, d), c.cards(spark, d)).where(filters.payload_predicate(f)).select("note_id")
+
+
+def _part_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Part names as notes, and every twentieth of them, spelt without its letters e, as a query."""
+    notes = table(spark, d, "part").select(F.col("p_partkey").alias("note_id"), F.col("p_name").alias("text"))
+    return notes, notes.where("note_id % 20 = 0").select(F.col("note_id").alias("query_id"), F.replace("text", F.lit("e"), F.lit("")).alias("query"))
+
+
+GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN [x FOR x IN regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']]))"
+
+
+@query("fts03_trigrams_each", f"""
+    WITH g AS (SELECT p_partkey AS note_id, {GRAMS.format(text="p_name")} AS g FROM part), q AS (SELECT p_partkey AS query_id, {GRAMS.format(text="replace(p_name, 'e', '')")} AS q FROM part WHERE p_partkey % 20 = 0),
+    s AS (SELECT query_id, note_id, len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))) AS r FROM g, q)
+    SELECT query_id, note_id, round(r, 6) AS rank FROM s WHERE r > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, note_id) <= 50""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    notes, queries = _part_names(spark, d)
+    return lexicon.fuzzy_each(lexicon.trigram_postings(notes), queries, 50).withColumn("rank", F.round("rank", 6))
+
+
+@query("fts04_prefix_table", "SELECT doc_id AS note_id, 1.0::DOUBLE AS rank FROM documents WHERE starts_with(lower(text), 'th') ORDER BY doc_id LIMIT 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    notes = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    return lexicon.prefixed(lexicon.prefix_table(notes), "Th", 50)
+
+
+HYBRID = """
+    sem AS (SELECT query_id, id AS note_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM dense WHERE id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT doc_id FROM k) QUALIFY place <= {limit}),
+    words AS (SELECT query_id, note_id, score, rank FROM lex WHERE rank <= {limit}),
+    z AS (SELECT query_id, note_id, place AS semantic_rank, rank AS lexical_rank, coalesce({sw} / (60 + place), 0) + coalesce({lw} / (60 + rank), 0) AS rrf FROM {sides}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, note_id) AS rank FROM z QUALIFY rank <= {limit})
+"""
+SIDES = {"hybrid": "sem FULL JOIN words USING (query_id, note_id)", "semantic": "sem LEFT JOIN (SELECT * FROM words WHERE false) words USING (query_id, note_id)", "lexical": "words LEFT JOIN (SELECT * FROM sem WHERE false) sem USING (query_id, note_id)"}
+
+
+def _hybrid(name: str, mode: str, limit: int, semantic: float, words: float, rerank: int | None = None) -> None:
+    """A hybrid search of the stated query set. Its words are found by full text: a query's own document has them."""
+    sides = HYBRID.format(limit=limit, sw=semantic, lw=words, sides=SIDES[mode])
+    order = f"CASE WHEN rank <= {rerank} THEN length(text) END DESC NULLS LAST, rank" if rerank else "rank"
+    sql = f"""WITH {STEMMED}, {DENSE.format(most=4 * limit)}, {sides}
+        SELECT query_id, note_id, (row_number() OVER (PARTITION BY query_id ORDER BY {order}))::INT AS rank, round(rrf, 9) AS rrf_score, semantic_rank::INT AS semantic_rank, lexical_rank::INT AS lexical_rank, CASE WHEN semantic_rank IS NOT NULL THEN 'v' || note_id END AS chunk_id
+        FROM r JOIN documents ON doc_id = note_id"""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        notes = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text")
+        near = neighbours.nearest(*_dense(spark, d), 4 * limit).select("query_id", F.col("id").alias("note_id"), F.concat(F.lit("v"), "id").alias("chunk_id"), "score")
+        queries = _queries(spark, d)
+        found = search.hybrid_each(queries, notes, near, lexicon.lexical_each(notes, queries, limit).where("mode = 'fts'"), limit, mode, semantic, words, (lambda _, text: F.char_length(text).cast("double")) if rerank else None, rerank)
+        return found.select("query_id", "note_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), "semantic_rank", "lexical_rank", "chunk_id")
+
+    query(name, sql)(run)
+
+
+_hybrid("srch01_hybrid", "hybrid", 50, 1.0, 0.5)
+_hybrid("srch01_semantic_mode", "semantic", 20, 1.0, 1.0)
+_hybrid("srch01_lexical_mode", "lexical", 20, 1.0, 1.0)
+_hybrid("srch01_reranked", "hybrid", 20, 1.0, 1.0, 10)

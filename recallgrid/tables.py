@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.session import shared_folder
@@ -61,6 +62,27 @@ def soft_deleted(active: DataFrame, snapshot: DataFrame, keys: list[str], now: C
     return rows.withColumn(column, F.when(F.col("__seen").isNull() & F.col(column).isNull(), now).otherwise(F.col(column))).select(*active.columns)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with numbers from 1 in the order of some columns, and from 1 again for each value of those in ``by``.
+
+    Rows are range-sorted, each partition numbers its own, and what comes before it is added from counts by partition: no
+    group is in one task, however large. Rows that are equal in all these columns are numbered in any order.
+    """
+    by = by or []
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    at = F.monotonically_increasing_id()
+    ranged = written(ranged.withColumns({"__part": F.spark_partition_id(), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    w = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = written(parts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n"))  # a row for each group and partition that it is in
+    on = F.lit(True)
+    other = before.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), "__first", "__before")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = ranged.join(other, (F.col("__part") == F.col("__p")) & on)
+    return rows.withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).select(*df.columns, name)
+
+
 class Store:
     """Tables in versioned folders. A manifest names the current version of every table; a new one is put in place of the
     old by one rename, so that readers see all tables of one write or none."""
