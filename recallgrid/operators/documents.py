@@ -53,6 +53,16 @@ def context(hits: DataFrame, k: int, most: int = 500) -> DataFrame:
     return first.orderBy(F.desc("score"), "chunk_id").limit(k).withColumn("content", F.left("content", F.lit(most)))
 
 
+def few_shot(hits: DataFrame, k: int, topic: str | None = None, question: int = 300, answer: int = 500) -> DataFrame:
+    """(question, answer, topic, difficulty, path): the ``k`` best of (path, score, chunk_id, content, metadata) hits as
+    examples, those whose metadata has the topic if one is given. Both texts are the content, cut at their lengths; what
+    the metadata lacks is empty."""
+    rows = hits if topic is None else with_metadata(hits, "topic", topic)
+    own = lambda name: F.coalesce(F.col("metadata")[name], F.lit("")).alias(name)
+    rows = rows.orderBy(F.desc("score"), "chunk_id").limit(k)
+    return rows.select(F.left("content", F.lit(question)).alias("question"), F.left("content", F.lit(answer)).alias("answer"), own("topic"), own("difficulty"), "path")
+
+
 def with_metadata(rows: DataFrame, field: str, value: str) -> DataFrame:
     """Rows whose metadata map has the value."""
     return rows.where(F.col("metadata")[field] == value)

@@ -45,9 +45,12 @@ def clusters(pairs: DataFrame, reps: DataFrame, least: float = 0.92, notes: Data
 
 
 def listed(members: DataFrame, notes: DataFrame, most: int = 50) -> DataFrame:
-    """One row per cluster, the largest first: representative, size, sorted members, union of tags."""
+    """One row per cluster, the largest first: representative, size, sorted members, union of tags and, where ``notes`` has
+    deck_names, of decks."""
+    columns = [c for c in ("tags", "deck_names") if c in notes.columns]
     tags = members.select("representative", "note_id").unionByName(members.select("representative", F.col("representative").alias("note_id")).distinct())
-    tags = tags.join(notes.select("note_id", "tags"), "note_id").groupBy("representative").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    every = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in columns]
+    tags = tags.join(notes.select("note_id", *columns), "note_id").groupBy("representative").agg(*every)
     rows = members.groupBy("representative").agg(F.max("size").alias("size"), F.array_sort(F.collect_list("note_id")).alias("members"))
     return rows.join(tags, "representative", "left").orderBy(F.desc("size"), "representative").limit(most)
 

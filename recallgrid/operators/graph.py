@@ -54,6 +54,16 @@ def dependents(edges: DataFrame, node: int) -> DataFrame:
     return edges.where((F.col("source") == node) & (F.col("edge_type") == "prerequisite")).orderBy(F.desc("weight"), "target")
 
 
+def prerequisite_gaps(edges: DataFrame, topic: int, note_counts: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """The edges into a topic from its prerequisites, the heaviest first; with ``note_counts`` (topic_id, note_count) those
+    from topics of fewer than ``least`` notes."""
+    rows = prerequisites(edges, topic)
+    if note_counts is None:
+        return rows
+    counts = note_counts.select(F.col("topic_id").alias("source"), "note_count")
+    return rows.join(counts, "source", "left").where(F.coalesce("note_count", F.lit(0)) < least).select(*edges.columns).orderBy(F.desc("weight"), "source")
+
+
 def prerequisite_chain(edges: DataFrame, node: int, depth: int) -> DataFrame:
     """Edges into the nodes that a backward walk of ``depth`` steps visits, each with the step at which it was taken."""
     own = edges.where("edge_type = 'prerequisite'").select("source", "target", "weight")

@@ -22,6 +22,11 @@ def workload(cards: DataFrame, days: int, deck: str | None = None) -> DataFrame:
     return every.join(counted, "day", "left").select("day", F.coalesce("reviews", F.lit(0)).alias("reviews"))
 
 
+def cards_of_deck(cards: DataFrame, decks: DataFrame, name: str) -> DataFrame:
+    """The cards whose deck (deck_id, name) has a name, with it as ``deck``; the name is tested before the join."""
+    return cards.join(decks.where(F.col("name") == name).select("deck_id", F.col("name").alias("deck")), "deck_id")
+
+
 def workload_summary(daily: DataFrame) -> DataFrame:
     """Total, mean and the peak day; of equal peaks the last."""
     return daily.agg(F.sum("reviews").alias("total"), F.avg("reviews").alias("mean"), F.max("reviews").alias("peak"), F.max_by("day", F.struct("reviews", "day")).alias("peak_day"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes
-from recallgrid.operators import cardbook, documents, filters, graph, reports, sync, topics, worklist
+from recallgrid.operators import cardbook, documents, duplicates, filters, graph, reports, scans, sync, topics, worklist
 from recallgrid.plans.base import query
 from recallgrid.plans.registry import COVERAGE, EDGES, PAIRS, _coverage, _edges, _registry, _work
-from recallgrid.session import table
+from recallgrid.session import shared_folder, table
 from recallgrid.sources import catalog as c
-from recallgrid.tables import inserted, upserted
+from recallgrid.tables import Store, inserted, upserted
 
 STATUSES = ("open", "in_progress", "fixed", "skipped", "wont_fix")
 
@@ -113,6 +115,77 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return worklist.moved(w, again, F.lit("2024-02-01").cast("timestamp")).select("id", "status", F.col("resolved_at").isNotNull().alias("resolved"))
 
 
+UNCOVERED = """
+    p AS (SELECT DISTINCT p_type AS path FROM part), covered AS (SELECT DISTINCT p_type AS path FROM part WHERE p_size = 1),
+    i AS (SELECT left(sha256('gen:' || path || ':uncovered'), 16) AS id, path, path IN (SELECT path FROM covered) AS covered FROM p)
+"""
+
+
+def _vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A vault with a note for each type of part; a registry without cards, and one with cards of the types of size 1."""
+    parts = table(spark, d, "part")
+    cards = parts.where("p_size = 1").select(F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_name").alias("front"), F.col("p_comment" if "p_comment" in parts.columns else "p_name").alias("back"), F.array(F.lit("topic::part")).alias("tags"), F.col("p_type").alias("source_path"), F.col("p_partkey").alias("note_id"))
+    return parts.select(F.col("p_type").alias("path")), cards.limit(0), cards
+
+
+@query("wq05_verified", f"WITH {UNCOVERED} SELECT id, path AS source_path, CASE WHEN covered THEN 'fixed' ELSE 'open' END AS status, covered AS resolved FROM i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All items are claimed to be fixed; those that the scanner still finds are open again."""
+    vault, before, after = _vault(spark, d)
+    now = F.lit("2024-02-01").cast("timestamp")
+    items = worklist.uncovered(vault, before).withColumns({"resolved_at": F.lit(None).cast("timestamp"), "attestation": F.lit(None).cast("string")})
+    done = scans.verified(items, items.select("id", F.lit("fixed").alias("to"), F.lit("done").alias("attestation")), worklist.uncovered(vault, after), now)
+    return done.select("id", "source_path", "status", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
+@query("wq06_scan_runs", f"WITH {UNCOVERED} SELECT id, path AS source_path, CASE WHEN covered THEN 'fixed' ELSE 'open' END AS status, CASE WHEN covered THEN 1 ELSE 2 END AS scan_number FROM i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of the generation loop by its scanner's name: what is covered meanwhile is resolved by the second."""
+    vault, before, after = _vault(spark, d)
+    store = Store(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    for day, registry in (("2024-02-01", before), ("2024-02-02", after)):
+        scans.run(store, {"vault": vault, "registry": registry}, F.lit(day).cast("timestamp"), "generation", ["uncovered"])
+    return store.read("work_items").select("id", "source_path", "status", "scan_number")
+
+
+@query("jn19_deck_cards", "SELECT card_id, ivl, deck FROM cards WHERE deck = '3-MEDIUM'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Cards with the number of their deck, joined to the deck of a name."""
+    number = F.left("deck", F.lit(1)).cast("int")
+    cards = c.cards(spark, d).withColumn("deck_id", number).select("card_id", "ivl", "deck_id")
+    decks = c.cards(spark, d).select(number.alias("deck_id"), F.col("deck").alias("name")).distinct()
+    return reports.cards_of_deck(cards, decks, "3-MEDIUM").select("card_id", "ivl", "deck")
+
+
+@query("agg12_cluster_tags", """
+    WITH k AS (SELECT note_id, tags, note_id % 40 AS c FROM notes), m AS (SELECT c, min(note_id) AS representative, count(*) AS size, list_sort(list_distinct(flatten(list(tags)))) AS t FROM k GROUP BY c),
+    x AS (SELECT k.c, list_sort(list_distinct(list(deck))) AS d FROM cards JOIN k USING (note_id) GROUP BY k.c)
+    SELECT representative, size, array_to_string(t, '|') AS tags, coalesce(array_to_string(d, '|'), '') AS decks FROM m LEFT JOIN x USING (c)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of equal remainders, with the tags and decks of their members."""
+    notes = filters.note_details(c.notes(spark, d), c.cards(spark, d))
+    heads = notes.groupBy((F.col("note_id") % 40).alias("c")).agg(F.min("note_id").alias("representative"), F.count("*").alias("size"))
+    members = notes.select("note_id", (F.col("note_id") % 40).alias("c")).join(heads, "c").where("note_id <> representative").select("representative", "size", "note_id")
+    found = duplicates.listed(members, notes)
+    return found.select("representative", "size", F.array_join("tags", "|").alias("tags"), F.array_join("deck_names", "|").alias("decks"))
+
+
+@query("rag03_few_shot", """
+    SELECT left(text, 300) AS question, left(text, 500) AS answer, role AS topic, '' AS difficulty, conv_id || '.md' AS path FROM conversations WHERE role = 'user' ORDER BY length(text) DESC, conv_id * 1000 + turn LIMIT 25""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The longest user turns as examples."""
+    hits = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.char_length("text").alias("score"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"), F.create_map(F.lit("topic"), "role").alias("metadata"))
+    return documents.few_shot(hits, 25, "user")
+
+
+@query("kg04_gaps", f"WITH {EDGES}, n AS (SELECT source, count(*) AS n FROM e GROUP BY 1) SELECT source, weight FROM e JOIN n USING (source) WHERE target = 7 AND n < 80")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Prerequisites of a node that lead to fewer than 80 others."""
+    edges = _edges(spark, d)
+    counts = edges.groupBy(F.col("source").alias("topic_id")).agg(F.count("*").alias("note_count"))
+    return graph.prerequisite_gaps(edges, 7, counts, 80).select("source", "weight")
+
+
 DUE = """
     k AS (SELECT card_id, greatest(ivl, 1)::DOUBLE AS ivl, greatest(ease, 1300) / 1000 AS f FROM cards),
     r(card_id, n, due, ivl, f) AS (SELECT card_id, 1, ivl, ivl, f FROM k UNION ALL SELECT card_id, n + 1, due + ivl * pow(f, n), ivl, f FROM r WHERE due <= 30 AND n < 21),
