@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.session import spread
+
 #: White space in the sense of Unicode, and words that a worker remembers.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 REMEMBERED = 500_000
@@ -84,7 +86,7 @@ def token_bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], [id_col, "tokens", "counts"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(bags, f"`{id_col}` {kind}, tokens array<string>, counts array<long>")
+    return spread(docs.select(id_col, F.col(text_col).cast("string").alias("text"))).mapInArrow(bags, f"`{id_col}` {kind}, tokens array<string>, counts array<long>")
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +123,7 @@ def sparse_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (idx, weight))], [id_col, "idx", "weight"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(vectors, f"`{id_col}` {kind}, idx array<long>, weight array<double>")
+    return spread(docs.select(id_col, F.col(text_col).cast("string").alias("text"))).mapInArrow(vectors, f"`{id_col}` {kind}, idx array<long>, weight array<double>")
 
 
 def sparse_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

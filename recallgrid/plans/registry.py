@@ -14,6 +14,7 @@ from recallgrid.operators import documents, duplicates, filters, graph, neighbou
 from recallgrid.plans.base import ORACLES, QUERIES, query
 from recallgrid.session import table
 from recallgrid.sources import catalog as c
+from recallgrid.tables import written
 
 COVERAGE = """
     SELECT t.topic_id, t.path, t.label,
@@ -162,7 +163,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The best 60 documents of each query of the whole stated set, from pruned blocks of postings."""
     docs = table(spark, d, "documents")
-    rows = vectors.sparse_documents(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    rows = written(vectors.sparse_documents(docs, "doc_id", "text").withColumnRenamed("doc_id", "id"))
     best = sparse_index.best_documents(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, docs.agg(F.count("*").alias("n")), 60)
     return best.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 

@@ -11,6 +11,7 @@ from recallgrid.plans.base import query
 from recallgrid.plans.registry import SPARSE, _notes_of_documents
 from recallgrid.session import table
 from recallgrid.sources import catalog as c
+from recallgrid.tables import written
 
 #: The words of a query are the first three of its document.
 FIRST_WORDS = 3
@@ -79,7 +80,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, id, round(score, 9) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY z.score DESC, id) <= 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    rows = vectors.sparse_documents(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    rows = written(vectors.sparse_documents(docs, "doc_id", "text").withColumnRenamed("doc_id", "id"))
     sparse_queries = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     found = search.chunk_search(*_dense(spark, d), sparse_queries, rows, docs.agg(F.count("*").alias("n")), 20)
     return found.select("query_id", "id", F.round("score", 9).alias("score"))
