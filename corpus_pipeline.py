@@ -24,7 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that repeat, exactly or within two edits, at all places but the first; empty documents go."""
+    """Cuts lines that repeat, exactly or within two edits, at all places but the first; documents that lose all go.
+
+    Lines of under 20 code points, and blank ones, stay wherever they repeat.
+    """
     ship(spark)
     return without_repeated_lines(docs)
 
