@@ -62,3 +62,37 @@ RELATIVES = ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-
 def test_close_relatives_are_told_apart(name):
     found = ls.Index(ls.TEMPLATES).matches(ls.word_hashes(ls.words_of(f"Intro. {ls.TEMPLATES[name]} The end")[0]), ls.LEAST)
     assert [(m[0], m[2]) for m in found] == [(name, 1.0)]
+
+
+def test_query_equals_comparing_every_template_with_every_passage(frame, rng):
+    """Documents of filler and passages, some of them changed: each passage goes to the template with the longest common
+    subsequence of all, as plain comparison finds it."""
+    names, texts, want = sorted(ls.TEMPLATES), [], []
+    words = {n: [w.decode() for w in ls.words_of(ls.TEMPLATES[n])[0]] for n in names}
+    for i in range(40):
+        parts, expected = [], []
+        for k in range(rng.randrange(4)):
+            own = list(words[names[(i * 3 + k) % len(names)]])
+            for _ in range(rng.randrange(len(own) // 12 + 1)):
+                del own[rng.randrange(len(own))]
+            parts += [" ".join(f"filler{rng.randrange(10**6)}" for _ in range(30)), " ".join(own)]
+            scored = [(longest(words[n], own), longest(words[n], own) / len(words[n]), n) for n in names]
+            good = [s for s in scored if s[1] >= ls.LEAST]
+            if good:
+                most = max(s[:2] for s in good)
+                at = len(" ".join(parts)) - len(parts[-1])
+                expected.append((min(s[2] for s in good if s[:2] == most), *most, at, at + len(parts[-1])))
+        texts.append(" ".join(parts))
+        want.append(expected)
+    found = {}
+    for r in ls.every_match(frame(texts)).collect():
+        found.setdefault(r["doc_id"], []).extend([(r["license"], r["matched_words"], r["coverage"], r["start"], r["end"])] if r["license"] else [])
+    for i, expected in enumerate(want):
+        own = sorted(found[i], key=lambda m: m[3])
+        assert [m[:3] for m in own] == [m[:3] for m in expected], (i, own, expected)
+        assert all(a[3] <= m[3] and m[4] <= a[4] for m, a in zip(own, expected, strict=True))
+
+
+def test_repeated_rows_and_a_clashing_column(frame):
+    docs = frame([ls.TEMPLATES["MIT"]] * 2, [3, 3]).withColumnRenamed("source", "matches")
+    assert [(r["doc_id"], r["n_matches"]) for r in ls.licenses(docs).collect()] == [(3, 1), (3, 1)]

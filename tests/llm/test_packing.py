@@ -65,3 +65,15 @@ def test_a_vocabulary_with_other_rules_takes_whole_texts(frame, rng):
     for i, text in enumerate(texts):
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
         assert [x for r in own for x in r["ids"]] == [*whole.encode(text or "", add_special_tokens=False).ids, pk.END]
+
+
+def test_pieces_follow_the_curve(spark, frame, rng):
+    """In the order of sequences and offsets the places on the curve never fall, and are those of the documents' ids."""
+    texts = [*ODD, *(sentence(rng, rng.randrange(0, 300)) for _ in range(150)), *["copy of one text"] * 20]
+    rows = pk.packed(frame(texts).repartition(7)).collect()
+    order = [r["hilbert"] for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert order == sorted(order) and len(set(order)) > 100
+    matrix = pk.projection()
+    for r in rows:
+        ids = np.array(direct(texts[r["doc_id"]])[:-1], np.uint16)
+        assert r["hilbert"] == pk.hilbert(pk.coordinates(ids, np.array([len(ids)]), matrix))[0]
