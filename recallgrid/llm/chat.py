@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
@@ -28,18 +29,26 @@ _TYPES = {*_KINDS, "number", "integer"}
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no spaces, the shortest numbers and only the escapes that JSON needs (as in RFC 8785)."""
+    """JSON with sorted keys, no spaces, the shortest numbers and only the escapes that JSON needs (as in RFC 8785).
+
+    All numbers are doubles, whole ones too; one beyond them is an error.
+    """
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, int) and not isinstance(value, bool):
+        try:
+            value = float(value)
+        except OverflowError:
+            raise ValueError("beyond a double") from None
     if isinstance(value, float):
         if not math.isfinite(value):
             raise ValueError("not a JSON number")
-        if value == int(value) and abs(value) < 1e21:
-            return str(int(value))
         text = repr(value)
+        if value == int(value) and abs(value) < 1e21:
+            return format(Decimal(text), "f").removesuffix(".0") if value else "0"
         if "e" in text:
             digits, power = text.split("e")
             if -7 < int(power) < 0:

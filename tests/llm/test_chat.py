@@ -13,6 +13,17 @@ def test_canonical_json(value, text):
     assert chat.canonical(value) == text and json.loads(text) == value
 
 
+@pytest.mark.parametrize(("value", "text"), [(9007199254740993, "9007199254740992"), (9007199254740993.0, "9007199254740992"), (-7, "-7"), (0, "0"), (-0.0, "0"), (1.2345678901234568e20, "123456789012345680000"), (10**21, "1e+21"), (True, "true"), (10**20, "100000000000000000000")])
+def test_whole_numbers_are_doubles(value, text):
+    assert chat.canonical(value) == text
+
+
+def test_numbers_beyond_a_double_are_refused():
+    for value in (10**400, -(10**400), float("inf")):
+        with pytest.raises(ValueError):
+            chat.canonical(value)
+
+
 def test_violations():
     s = TOOLS["add"]
     assert chat.violations({"a": 2, "b": "x"}, s) == []
@@ -46,7 +57,7 @@ def test_links_order_and_errors(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA), TOOLS).count() == 0
 
 
-BAD = ['{"a":1e999}', '{"a":"\\ud800"}', '{"a":' + "[" * 5000 + "]" * 5000 + "}", '{"a":' * 101 + "1" + "}" * 101, '{"a":NaN}', '{"a":' + "9" * 5000 + "}"]
+BAD = ['{"a":1e999}', '{"a":' + "9" * 400 + "}", '{"a":"\\ud800"}', '{"a":' + "[" * 5000 + "]" * 5000 + "}", '{"a":' * 101 + "1" + "}" * 101, '{"a":NaN}', '{"a":' + "9" * 5000 + "}"]
 
 
 def test_arguments_beyond_canonical_json(spark):
