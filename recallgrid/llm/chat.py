@@ -168,7 +168,7 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 def parsed(text: str) -> Any:
     """A JSON text's value; ValueError or RecursionError if it is none, or canonical JSON can't hold it."""
-    value = json.loads(text, parse_constant=_refused, parse_float=_finite)
+    value = json.loads(text, parse_constant=_refused, parse_float=_finite, parse_int=_whole)
     level = [value] if isinstance(value, dict | list) else []
     for _ in range(DEPTH):
         level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
@@ -179,6 +179,11 @@ def parsed(text: str) -> Any:
     return value
 
 
+def _whole(text: str) -> int:
+    _finite(text)
+    return int(text)
+
+
 def _finite(text: str) -> float:
     if not math.isfinite(value := float(text)):
         raise ValueError(text)
