@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.operators.neighbours import nearest
-from recallgrid.tables import numbered
+from recallgrid.tables import numbered, upserted
 
 MATURE = 21
 
@@ -133,6 +133,18 @@ def similarities(notes: DataFrame, topics: DataFrame, least: float = 0.6, most:
     return rows.join(topics.select(F.col("topic_id").cast("long").alias("topic_id"), "path"), "topic_id").select("note_id", "topic_id", "path", "confidence")
 
 
+def embedded_text() -> Column:
+    """What of a topic (label, description) is embedded: both, or the label where there is no description."""
+    return F.when(F.col("description").isNotNull(), F.concat("label", F.lit(": "), "description")).otherwise(F.col("label"))
+
+
+def assigned(stored: DataFrame, labelled: DataFrame, method: str = "embedding") -> DataFrame:
+    """Stored assignments (note_id, topic_id, confidence, method) with new ones (note_id, topic_id, confidence) put in by
+    note and topic: a pair that is there takes the new confidence and method; pairs that aren't labelled again stay."""
+    new = labelled.groupBy("note_id", "topic_id").agg(F.max("confidence").alias("confidence")).withColumn("method", F.lit(method))
+    return upserted(stored, new.select(*stored.columns), ["note_id", "topic_id"])
+
+
 def covered_tree(coverage_rows: DataFrame, root: str | None = None) -> DataFrame:
     """Pre-order rows of the taxonomy with the counts of each node's coverage, for ``nested`` to put together."""
     rows = tree_rows(coverage_rows, root)

@@ -129,6 +129,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return labelled.withColumn("confidence", F.round("confidence", 6))
 
 
+@query("vec10_stored_assignments", f"""
+    WITH n AS (SELECT note_id, [x::FLOAT::DOUBLE FOR x IN {MOCK.format(text="text")}] AS v FROM notes),
+    d AS (SELECT topic_id, CASE WHEN topic_id % 2 = 0 THEN label || ': all of ' || path ELSE label END AS e FROM topics), t AS (SELECT topic_id::BIGINT AS topic_id, [x::FLOAT::DOUBLE FOR x IN {MOCK.format(text="e")}] AS v FROM d),
+    l AS (SELECT note_id, topic_id, round(list_cosine_similarity(n.v, t.v), 6) AS confidence FROM n, t WHERE list_cosine_similarity(n.v, t.v) >= 0.5 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY list_cosine_similarity(n.v, t.v) DESC, topic_id DESC) <= 2),
+    s AS (SELECT note_id, topic_id::BIGINT AS topic_id, round(max(confidence), 6)::DOUBLE AS confidence FROM note_topics GROUP BY 1, 2)
+    SELECT note_id, topic_id, coalesce(l.confidence, s.confidence) AS confidence, CASE WHEN l.confidence IS NULL THEN 'rule' ELSE 'embedding' END AS method FROM s FULL JOIN l USING (note_id, topic_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with and without a description embedded by the mock model, and their labels put into the stored ones."""
+    embed = lambda x: vectors.mock_embedding(x, 8).cast("array<double>")
+    description = F.when(F.col("topic_id") % 2 == 0, F.concat(F.lit("all of "), "path"))
+    own = c.topics(spark, d).withColumn("description", description).select("topic_id", "path", embed(topics.embedded_text()).alias("vector"))
+    labelled = topics.similarities(c.notes(spark, d).select("note_id", embed(F.col("text")).alias("vector")), own, 0.5, 2)
+    stored = c.note_topics(spark, d).groupBy("note_id", F.col("topic_id").cast("long").alias("topic_id")).agg(F.max("confidence").alias("confidence")).withColumn("method", F.lit("rule"))
+    return topics.assigned(stored, labelled).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("vec09_vector_clusters", f"""RECURSIVE
     WITH {DENSE.format(most=25)}, p AS (SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(s) AS s FROM dense WHERE s >= 0.4 GROUP BY 1, 2),
     l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, c) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
