@@ -182,12 +182,25 @@ def title(text: Column) -> Column:
     return F.nullif(trimmed(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
 
 
+def frontmatter_split(content: Column) -> Column:
+    """(yaml, body): a block of lines between ``---`` at the very start and the next line that starts so. Without a whole
+    block yaml is null and the body is all."""
+    rest = F.substr(content, F.lit(5))
+    end = F.locate("\n---", rest)
+    after = F.substr(rest, end + 4)
+    pair = lambda yaml, body: F.struct(yaml.alias("yaml"), body.alias("body"))
+    none = pair(F.lit(None).cast("string"), content)
+    block = pair(F.left(rest, end - 1), F.when(after.startswith("\n"), F.substr(after, F.lit(2))).otherwise(after))
+    inner = F.when(rest.startswith("---\n"), pair(F.lit(""), F.substr(rest, F.lit(5)))).when(rest == "---", pair(F.lit(""), F.lit("")))
+    return F.when(content.startswith("---\n"), inner.when(end > 0, block).otherwise(none)).otherwise(none)
+
+
 def frontmatter(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1), F.lit(""))
+    return F.nullif(frontmatter_split(text)["yaml"], F.lit(""))
 
 
 def body(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
+    return frontmatter_split(text)["body"]
 
 
 def sections(text: Column) -> Column:
@@ -255,4 +268,4 @@ def with_frontmatter(text: Column, key: str, value: Column) -> Column:
     has = F.exists(lines, lambda x: x.startswith(f"{key}:"))
     new = F.when(has, F.transform(lines, lambda x: F.when(x.startswith(f"{key}:"), line).otherwise(x))).otherwise(F.concat(lines, F.array(line)))
     block = F.when(own.isNull(), line).otherwise(F.array_join(new, "\n"))
-    return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), F.when(own.isNull(), text).otherwise(body(text)))
+    return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), body(text))

@@ -11,6 +11,7 @@ from recallgrid.operators import documents, reports
 from recallgrid.plans.base import query
 from recallgrid.plans.registry import _files, _vault
 from recallgrid.session import table
+from recallgrid.sources import notes
 from recallgrid.sources.collection import named_fields, parent_deck, split_tags
 
 
@@ -96,6 +97,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.frontmatter(text).alias("front"), tx.body(text).alias("body"))
 
 
+NOTE = """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(source, '') AS s FROM documents),
+    c AS (SELECT doc_id, CASE doc_id % 5
+            WHEN 0 THEN '---' || chr(10) || 'title: `T ' || doc_id || '`' || chr(10) || 'tags: [a, 1, yes]' || chr(10) || '---' || chr(10)
+            WHEN 1 THEN '---' || chr(10) || '---' || chr(10)
+            WHEN 2 THEN '---' || chr(10) || 'title: [1' || chr(10) || '---' || chr(10)
+            WHEN 3 THEN '---' || chr(10) || 'title: 7' || chr(10) ELSE '' END AS front,
+        'x ![[a b.png]]' || chr(10) || '# Of ' || s || chr(10) || x || chr(10) || '## End ![p](c.svg) ![](a b.png) ![q](d.txt)' || chr(10) || 'y' AS own FROM t),
+    b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN front || own ELSE own END AS body FROM c)
+"""
+
+
+@query("src13_note_parts", f"""{NOTE}
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'T ' || doc_id ELSE regexp_extract(body, '(?m)^#\\s+(.+)$', 1) END AS title,
+        CASE doc_id % 5 WHEN 0 THEN '["a",1,"yes"]' END AS tags, doc_id % 5 = 2 AS problem, len(regexp_extract_all(body, '(?m)^#{{1,6}}\\s+.+$')) + 1 AS n_sections,
+        len(list_distinct(list_concat(regexp_extract_all(body, '!\\[\\[([^\\]]+\\.(?:png|jpe?g|gif|webp|svg))\\]\\]', 1), regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+\\.(?:png|jpe?g|gif|webp|svg))\\)', 1)))) AS n_images,
+        length(body) AS n_body FROM b""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Notes made of whole documents, with frontmatter that is whole, empty, broken, open or missing."""
+    k = F.col("doc_id") % 5
+    front = F.when(k == 0, _say("---\ntitle: `T ", "$doc_id", "`\ntags: [a, 1, yes]\n---\n")).when(k == 1, "---\n---\n").when(k == 2, "---\ntitle: [1\n---\n").when(k == 3, "---\ntitle: 7\n").otherwise("")
+    content = _say(front, "x ![[a b.png]]\n# Of ", F.coalesce("source", F.lit("")), "\n", F.coalesce("text", F.lit("")), "\n## End ![p](c.svg) ![](a b.png) ![q](d.txt)\ny")
+    rows = notes.parsed(table(spark, d, "documents").select(F.col("doc_id").alias("path"), content.alias("content")))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select(
+        F.col("path").alias("doc_id"), "title", F.replace(F.col("frontmatter")["tags"], F.lit(", "), F.lit(",")).alias("tags"), F.col("problem").isNotNull().alias("problem"),
+        size("sections").alias("n_sections"), size("images").alias("n_images"), F.char_length("body").cast("long").alias("n_body"),
+    )
+
+
 @query("snk19_frontmatter_written", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '---' || chr(10) || 'a: 1' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || 'body' WHEN 1 THEN '---' || chr(10) || 'lang: ' || lang || chr(10) || 'b: 2' || chr(10) || '---' || chr(10) || 'body' ELSE '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || 'body' END AS text FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 3
