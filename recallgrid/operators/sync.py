@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes
+from recallgrid.functions.text import rfc3339
 from recallgrid.tables import Store, soft_deleted, upserted
 
 
@@ -34,15 +35,22 @@ def synced_stats(stored: DataFrame, stats: DataFrame, cards: DataFrame) -> DataF
     return upserted(stored, stats.join(cards, "card_id", "left_semi").select(*stored.columns), ["card_id"])
 
 
-def sync(store: Store, snapshot: dict[str, DataFrame], now: Column, batch: tuple[str, int] | None = None) -> None:
+METADATA = "key string, value string"
+
+
+def sync(store: Store, snapshot: dict[str, DataFrame], now: Column, batch: tuple[str, int] | None = None, source: str | None = None) -> None:
     """Brings decks, models, notes, cards and card_stats of a store to a snapshot; versions change together at the end,
-    with the stream's batch if the snapshot is one."""
+    with the stream's batch if the snapshot is one. ``source``, the collection's path, is kept with the time in the same
+    write, as metadata (key, value) under ``last_collection_path`` and ``last_sync_at``."""
     new = {name: upserted(store.read(name, snapshot[name].schema), snapshot[name], [key]) for name, key in (("decks", "deck_id"), ("models", "model_id"), ("cards", "card_id")) if name in snapshot}
     if "notes" in snapshot:
         schema = snapshot["notes"].withColumn("deleted_at", F.lit(None).cast("timestamp")).schema
         new["notes"] = synced_notes(store.read("notes", schema), snapshot["notes"], now)
     if "card_stats" in snapshot:
         new["card_stats"] = synced_stats(store.read("card_stats", snapshot["card_stats"].schema), snapshot["card_stats"], snapshot["cards"])
+    if source is not None:
+        rows = store.spark.range(1).select(F.explode(F.create_map(F.lit("last_sync_at"), rfc3339(now), F.lit("last_collection_path"), F.lit(source))))
+        new["metadata"] = upserted(store.read("metadata", METADATA), rows, ["key"])
     store.write(new, batch)
 
 

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.functions import embedding_inputs as ei
 from recallgrid.functions import hashes
-from recallgrid.operators import cardbook, documents, duplicates, filters, graph, reports, scans, sync, topics, worklist
+from recallgrid.operators import cardbook, chunk_store, documents, duplicates, filters, graph, reports, scans, sync, topics, worklist
 from recallgrid.plans.base import query
 from recallgrid.plans.registry import COVERAGE, EDGES, PAIRS, _coverage, _edges, _registry, _work
 from recallgrid.session import shared_folder, table
@@ -277,3 +278,79 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("prj03_deck_names", "SELECT n.note_id, coalesce(array_to_string(list_sort(list(DISTINCT deck) FILTER (deck IS NOT NULL)), '|'), '') AS decks FROM notes n LEFT JOIN cards USING (note_id) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return filters.note_details(c.notes(spark, d), c.cards(spark, d)).select("note_id", F.array_join("deck_names", "|").alias("decks"))
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+
+
+@query("rag04_chunk_store", """
+    SELECT vec_id::VARCHAR AS chunk_id, 'f' || (vec_id % 50) AS source, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'two' END AS content, 't' || label AS topic, len(embedding) AS n FROM embeddings WHERE vec_id % 50 <> 7
+    UNION ALL SELECT 'added', NULL, NULL, NULL, count(*) FROM embeddings WHERE vec_id % 3 <> 0
+    UNION ALL SELECT 'new', NULL, NULL, NULL, count(*) FROM embeddings WHERE vec_id % 3 = 0
+    UNION ALL SELECT 'deleted', NULL, NULL, NULL, count(*) FROM embeddings WHERE vec_id % 50 = 7
+    UNION ALL SELECT 'files', NULL, NULL, string_agg(DISTINCT 't' || label, '|' ORDER BY 't' || label), count(DISTINCT vec_id % 50) FROM embeddings WHERE vec_id % 50 <> 7""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A collection that gets two thirds of the vectors, then all of them, and loses the chunks of one file."""
+    v = table(spark, d, "embeddings")
+    topic = F.create_map(F.lit("topic"), F.concat(F.lit("t"), "label"))
+    rows = v.select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("f"), F.col("vec_id") % 50).alias("source"), F.lit("one").alias("content"), F.col("embedding").alias("vector"), topic.alias("metadata"), "vec_id")
+    some = rows.where("vec_id % 3 <> 0")
+    kept = chunk_store.ChunkStore(_store(spark))
+    kept.ensure(v.select(F.max(F.size("embedding"))).first()[0])
+    added = kept.add(some)
+    new = kept.add(rows.withColumn("content", F.when(F.col("vec_id") % 3 == 0, "new").otherwise("two")))
+    deleted = kept.delete_by_source(spark.createDataFrame([("f7",)], "source string"))
+    counts = spark.createDataFrame([("added", added), ("new", new), ("deleted", deleted)], "chunk_id string, n long")
+    none = lambda df: df.select("chunk_id", *[F.lit(None).cast("string").alias(x) for x in ("source", "content")], F.col("topic") if "topic" in df.columns else F.lit(None).cast("string").alias("topic"), "n")
+    files = kept.stats().select(F.lit("files").alias("chunk_id"), F.array_join("topics", "|").alias("topic"), F.col("unique_files").alias("n"))
+    return kept.rows().select("chunk_id", "source", "content", F.col("metadata")["topic"].alias("topic"), F.size("vector").cast("long").alias("n")).unionByName(none(counts)).unionByName(none(files))
+
+
+@query("rag04_chunk_search", """
+    WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT * FROM embeddings WHERE label = 3),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM q, v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id::VARCHAR) AS rank FROM s)
+    SELECT query_id, id::VARCHAR AS chunk_id, round(1 / (2 - c), 6) AS similarity, rank FROM r WHERE rank <= 5 AND 1 / (2 - c) >= 0.55""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of one topic nearest to the stated vectors, of at least a similarity."""
+    v = table(spark, d, "embeddings")
+    kept = chunk_store.ChunkStore(_store(spark))
+    kept.ensure(v.select(F.max(F.size("embedding"))).first()[0])
+    topic = F.create_map(F.lit("topic"), F.col("label").cast("string"))
+    kept.add(v.select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("f").alias("source"), F.lit("").alias("content"), F.col("embedding").alias("vector"), topic.alias("metadata")))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return kept.search(asked, 5, "topic", "3", 0.55).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("idx02_index_runs", """
+    WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS k, count(*) FILTER (doc_id % 5 = 0) AS gone, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 3 <> 0) AS fresh, count(*) FILTER (doc_id % 15 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 = 0 AND doc_id % 2 = 0) AS edited, count(*) FILTER (doc_id % 15 = 0) AS both_ FROM documents)
+    SELECT 1 AS run, 'missing' AS reason, true AS forced, k AS chunks, k AS embedded, 0::BIGINT AS skipped, 0::BIGINT AS removed_notes FROM n
+    UNION ALL SELECT 2, NULL, false, n - gone, fresh + edited, n - gone - fresh - edited, both_ FROM n
+    UNION ALL SELECT 3, NULL, false, n - gone, 0, n - gone, 0 FROM n
+    UNION ALL SELECT 4, NULL, true, n - gone, n - gone, 0, 0 FROM n
+    UNION ALL SELECT 5, 'model mismatch', true, n, n, 0, 0 FROM n
+    UNION ALL SELECT 6, 'dimension mismatch', true, n, n, 0, 0 FROM n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Runs over a third of the documents; over all, with edits and deletions; the same again; forced; with other settings."""
+    notes = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text", F.lit(False).alias("deleted"))
+    edited = notes.withColumns({"text": F.when(F.col("note_id") % 2 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("x"))).otherwise(F.col("text")), "deleted": F.col("note_id") % 5 == 0})
+    embed = lambda n: lambda text: ei.mock_vector(ei.embedding_input(F.array(ei.text_part(text))), n)
+    store = _store(spark)
+    runs = [(notes.where("note_id % 3 = 0"), "m", 4, False), (edited, "m", 4, False), (edited, "m", 4, False), (edited, "m", 4, True), (notes, "other", 4, False), (notes, "other", 8, False)]
+    found = [chunk_store.index_notes(store, rows, model, n, embed(n), force) for rows, model, n, force in runs]
+    return spark.createDataFrame([(i, *r.values()) for i, r in enumerate(found, 1)], "run int, reason string, forced boolean, chunks long, embedded long, skipped long, removed_notes long")
+
+
+@query("msc07_embedding_inputs", """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(source, '') AS s FROM documents)
+    SELECT doc_id, sha256(encode(CASE WHEN doc_id % 2 = 0 THEN 'RetrievalDocument' || s || '64' ELSE 'Default' END) || '\\xFFtext'::BLOB || encode(x) || CASE WHEN doc_id % 3 = 0 THEN '\\xFFinline_bytesimage/png'::BLOB || encode(s || x) WHEN doc_id % 3 = 1 THEN '\\xFFfile_uriimage/png'::BLOB || encode('f/' || doc_id) ELSE ''::BLOB END) AS digest,
+        CASE WHEN doc_id % 3 = 2 THEN x END AS single FROM t""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of text alone, with inlined bytes, and with a file, for two tasks."""
+    k, x, s = F.col("doc_id"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    mime = F.lit("image/png")
+    parts = F.when(k % 3 == 0, F.array(ei.text_part(x), ei.inline_part(mime, F.encode(x, "UTF-8"), s))).when(k % 3 == 1, F.array(ei.text_part(x), ei.file_part(mime, F.concat(F.lit("f/"), k)))).otherwise(F.array(ei.text_part(x)))
+    given = F.when(k % 2 == 0, ei.embedding_input(parts, "RetrievalDocument", s, 64)).otherwise(ei.embedding_input(parts))
+    rows = table(spark, d, "documents").select("doc_id", given.alias("given"))
+    return rows.select("doc_id", ei.input_digest(F.col("given")).alias("digest"), ei.single_text(F.col("given")).alias("single"))
