@@ -9,6 +9,12 @@ appear when the job commits.
 The writer's archives hold uncompressed records (WARC/1.1): a response is an HTTP header and the payload, a revisit the
 HTTP header alone. ``.warc`` and ``.warc.gz`` files are read; a file is never split. Paths are those that pyarrow's file
 systems reach, plain or as a URI.
+
+Archives of other programs: ``payload_bytes`` of a response is the length behind its HTTP header, which takes reading the
+block if that column is asked for; of a revisit that doesn't say it is null. A block of a response without an end of the
+HTTP header has no payload. Header lines must end in CRLF, as the standard says. A record whose headers don't end, or lack
+a whole number as Content-Length, and a block that is cut off, are a ValueError with the file and the byte: what follows
+such a record can't be told, so nothing is dropped in silence. A block that is skipped isn't looked at.
 """
 
 from __future__ import annotations
@@ -77,22 +83,33 @@ def head(row: dict, length: int, now: datetime) -> bytes:
 
 
 def parsed(raw: bytes) -> tuple[dict, int, bool]:
-    """Column values of a header block, the length of the record's block, and whether that starts with an HTTP header."""
+    """Column values of a header block, the length of the record's block, and whether that starts with an HTTP header.
+
+    ``payload_bytes`` is null where the headers don't tell it.
+    """
     lines = (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])
     h = {name.lower(): value.strip() for name, colon, value in lines if colon}
     number = lambda x: int(x) if x and re.fullmatch(r"-?\d+", x) else None
     page = lambda x: number(x[10:-1]) if x and x.startswith("<urn:page:") else None
-    length = int(h["content-length"])
+    length = number(h.get("content-length"))
+    if length is None or length < 0:
+        raise ValueError(f"a record without a length: {h.get('content-length')!r}")
+    http = h.get("content-type", "").startswith("application/http")
     own, size = number(h.get("x-page-id")), number(h.get("x-payload-length"))
     values = {
         "page_id": page(h.get("warc-record-id")) if own is None else own,
         "record_type": h.get("warc-type"),
         "target_uri": h.get("warc-target-uri"),
         "payload_digest": h["warc-payload-digest"].partition(":")[2] if "warc-payload-digest" in h else None,
-        "payload_bytes": length if size is None else size,
+        "payload_bytes": length if size is None and not http and h.get("warc-type") != "revisit" else size,
         "refers_to": page(h.get("warc-refers-to")),
     }
-    return values, length, h.get("content-type", "").startswith("application/http")
+    return values, length, http
+
+
+def payload(block: bytes, http: bool) -> bytes:
+    """What stands behind the HTTP header of a block, if it has one."""
+    return block.partition(b"\r\n\r\n")[2] if http else block
 
 
 class WarcSource(DataSource):
@@ -137,19 +154,31 @@ class WarcReader(DataSourceReader):
         if partition is None:  # Spark's stand-in where there is no file
             return
         store, path = file_system(partition.path)
+        with store.open_input_stream(path, compression="gzip") if path.endswith(".gz") else store.open_input_file(path) as f:
+            try:
+                yield from self._rows(f)
+            except ValueError as e:
+                raise ValueError(f"{partition.path}: {e}") from e
+
+    def _rows(self, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         held = 0
-        with store.open_input_stream(path, compression="gzip") if path.endswith(".gz") else store.open_input_file(path) as f:
-            for values, http, block in records(f):
-                if all(values[c] in ok for c, ok in self.wanted):
-                    if "payload" in self.names:
-                        body = None if values["record_type"] == "revisit" else block()
-                        values["payload"] = body[body.find(b"\r\n\r\n") + 4 :] if body and http else body
-                        held += len(body or b"")
-                    rows.append(values)
-                if len(rows) >= 4096 or held > 1 << 24:
-                    yield self._batch(rows)
-                    rows, held = [], 0
+        early = [(c, ok) for c, ok in self.wanted if c != "payload_bytes"]
+        sized = "payload_bytes" in self.names or len(early) < len(self.wanted)
+        for values, http, block in records(f):
+            if not all(values[c] in ok for c, ok in early):
+                continue
+            revisit = values["record_type"] == "revisit"
+            if sized and values["payload_bytes"] is None and not revisit:
+                values["payload_bytes"] = len(payload(block(), http))
+            if all(values[c] in ok for c, ok in self.wanted):
+                if "payload" in self.names:
+                    values["payload"] = None if revisit else payload(block(), http)
+                    held += len(values["payload"] or b"")
+                rows.append(values)
+            if len(rows) >= 4096 or held > 1 << 24:
+                yield self._batch(rows)
+                rows, held = [], 0
         yield self._batch(rows)
 
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
@@ -169,13 +198,18 @@ def records(f: pa.NativeFile) -> Iterator[tuple[dict, bool, Callable[[], bytes]]
                     raise ValueError(f"a record without an end of headers at byte {at}")
                 return
             ahead += more
-        values, length, http = parsed(ahead[:stop].lstrip())
+        try:
+            values, length, http = parsed(ahead[:stop].lstrip())
+        except ValueError as e:
+            raise ValueError(f"{e} at byte {at}") from e
         at, ahead = at + stop + 4, ahead[stop + 4 :]
         held: list[bytes] = []
 
-        def block(length: int = length, ahead: bytes = ahead, held: list[bytes] = held) -> bytes:
+        def block(length: int = length, ahead: bytes = ahead, held: list[bytes] = held, at: int = at) -> bytes:
             if not held:
                 held.append(ahead[:length] + f.read(max(0, length - len(ahead))))
+                if len(held[0]) < length:
+                    raise ValueError(f"a block of {length} bytes that is cut off, at byte {at}")
             return held[0]
 
         yield values, http, block

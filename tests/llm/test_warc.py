@@ -3,6 +3,7 @@ import hashlib
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.llm import warc
@@ -101,3 +102,25 @@ def test_repeated_rows_and_empty_tables(spark):
     rows = warc.report(pages(spark, [(7, "u", body, 1), (7, "u", body, 1), (8, "u", body, 1)])).collect()
     assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows) == [(7, "response", None), (7, "response", None), (8, "revisit", 7)]
     assert warc.report(pages(spark, [])).count() == 0
+
+
+def test_lengths_of_foreign_payloads(spark, tmp_path):
+    record = lambda kind, block, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: application/http\r\n{more}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    parts = [record("response", "HTTP/1.1 200 OK\r\n\r\nbody", "WARC-Target-URI: a\r\n"), record("revisit", "HTTP/1.1 200 OK\r\n\r\n", "WARC-Target-URI: b\r\n"), record("response", "HTTP/1.1 204 none", "WARC-Target-URI: c\r\n"), record("response", "HTTP/1.1 200 OK\r\n\r\n" + "x" * 3000, "WARC-Target-URI: d\r\n")]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    back = spark.read.format("warc").load(str(tmp_path))
+    want = {"a": 4, "b": None, "c": 0, "d": 3000}
+    assert {r["target_uri"]: r["payload_bytes"] for r in back.select("target_uri", "payload_bytes").collect()} == want
+    assert {r["target_uri"]: r["payload"] and len(r["payload"]) for r in back.select("target_uri", "payload").collect()} == want | {"c": b""}
+    assert [tuple(r) for r in back.where("payload_bytes = 3000").select("target_uri").collect()] == [("d",)]
+    assert sorted(r[0] for r in back.where("payload_bytes in (0, 4)").select("target_uri").collect()) == ["a", "c"]
+
+
+@pytest.mark.parametrize(("raw", "say"), [(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx\r\n\r\n", "a record without a length: None at byte 53"), (b"WARC/1.0\r\nContent-Length: ten\r\n\r\n", "a record without a length: 'ten' at byte 53"), (b"WARC/1.0\nContent-Length: 1\n\nx\n\n", "a record without an end of headers at byte 53"), (b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc", "cut off, at byte 84")])
+def test_broken_records_are_named(tmp_path, raw, say):
+    whole = b"WARC/1.0\r\nWARC-Type: info\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert len(whole) == 53
+    (tmp_path / "a.warc").write_bytes(whole + raw)
+    reader = warc.WarcReader(["record_type", "payload"], str(tmp_path))
+    with pytest.raises(ValueError, match=r"a\.warc: .*" + say):
+        list(reader.read(reader.partitions()[0]))
