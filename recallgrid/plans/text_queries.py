@@ -134,14 +134,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.with_frontmatter(text, "lang", F.col("lang")).alias("text"))
 
 
-@query("str25_headlines", "SELECT doc_id, 'The <b>' || lang || '</b>, ' || lang || 'x' AS headline FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'The ' || lang || ', ' || lang || 'x' FROM documents WHERE lang <> 'en'")
+@query("str25_headlines", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'The <b>' || lang || '</b>, ' || lang || 'x' ELSE 'The ' || lang || ', ' || lang || 'x' END AS headline FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang is not null").select("doc_id", tx.headline(_say("The ", "$lang", ", ", "$lang", "x"), ["EN"]).alias("headline"))
+    return table(spark, d, "documents").select("doc_id", tx.headline(_say("The ", "$lang", ", ", "$lang", "x"), ["EN"]).alias("headline"))
 
 
-@query("str26_split_csv", "SELECT doc_id, lang || '|' || source AS parts FROM documents WHERE lang IS NOT NULL")
+@query("str26_split_csv", "SELECT doc_id, lang || '|' || source AS parts FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang is not null").select("doc_id", F.array_join(tx.split_csv(_say(" ", "$lang", ",, ", "$source", " ,")), "|").alias("parts"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.split_csv(_say(" ", "$lang", ",, ", "$source", " ,")), "|").alias("parts"))
 
 
 @query("dt02_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS written, epoch_us(ts) // 1000000 AS seconds FROM events")
@@ -223,11 +223,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return documents.with_metadata(docs, "lang", "en").select("doc_id")
 
 
-@query("udf01_media_refs", "SELECT doc_id, 'a' || doc_id || '.PNG=image|d/' || lang || '.pdf=document|s.mp3=audio' AS refs FROM documents WHERE lang IS NOT NULL")
+@query("udf01_media_refs", "SELECT doc_id, 'a' || doc_id || '.PNG=image|d/' || lang || '.pdf=document|s.mp3=audio' AS refs FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     text = _say('<img src="./a', "$doc_id", '.PNG?x=1"><a href="d/', "$lang", '.pdf">p</a>[sound:s.mp3][sound:../no.mp3]<img src="http://x/y.png">')
     refs = F.transform(documents.media_refs(text), lambda r: F.concat_ws("=", r["path"], r["modality"]))
-    return table(spark, d, "documents").where("lang is not null").select("doc_id", F.array_join(refs, "|").alias("refs"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(refs, "|").alias("refs"))
 
 
 @query("val03_html_issues", """RECURSIVE
