@@ -6,11 +6,12 @@ import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import hashes
 from recallgrid.functions.text import trimmed
-from recallgrid.tables import upserted
+from recallgrid.tables import inserted, upserted
 
 #: Languages and note types that a card may have.
 LANGS = ("en", "ru", "de", "fr", "es", "it", "pt", "zh", "ja", "ko")
@@ -39,6 +40,35 @@ def find_cards(cards: DataFrame, note_id: str | None = None, source_path: str |
     return cards
 
 
+def _one_each(cards: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of ``cards`` with the columns of ``stored``; of those that share a slug that which sorts first."""
+    order = F.to_json(F.struct(*[c for c in stored.columns if c != "slug"]))
+    rows = cards.select(*stored.columns).where("slug is not null")
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy("slug").orderBy(order))).where("__n = 1").drop("__n")
+
+
+def added(stored: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """The registry with those cards whose slug it doesn't have; times of creation and change default to ``now``."""
+    dated = cards.withColumns({c: F.coalesce(c, now) for c in ("created_at", "updated_at")})
+    return inserted(stored, _one_each(dated, stored), ["slug"])
+
+
+def updated(stored: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """The registry with all columns of known cards but the time of creation as given, changed ``now``; unknown ones are left out."""
+    known = _one_each(cards.withColumn("updated_at", now), stored).join(stored.select("slug"), "slug", "left_semi")
+    return upserted(stored, known, ["slug"], keep=("created_at",))
+
+
+def deleted(stored: DataFrame, slugs: DataFrame) -> DataFrame:
+    return stored.join(slugs, "slug", "left_anti")
+
+
+def mapped(stored: DataFrame, notes: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """The registry with the cards of ``notes`` (note_id) replaced by ``cards``: theirs go, then new ones are added, but
+    for slugs that a card of another note has."""
+    return added(stored.join(notes.select("note_id").distinct(), "note_id", "left_anti").select(*stored.columns), cards, now)
+
+
 def counts(cards: DataFrame, mappings: DataFrame) -> DataFrame:
     """One row: cards, notes that they come from, mappings that are synced, those that aren't."""
     own = cards.agg(F.count("*").alias("cards"), F.countDistinct("note_id").alias("notes"))

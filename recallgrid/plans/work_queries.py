@@ -354,3 +354,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     given = F.when(k % 2 == 0, ei.embedding_input(parts, "RetrievalDocument", s, 64)).otherwise(ei.embedding_input(parts))
     rows = table(spark, d, "documents").select("doc_id", given.alias("given"))
     return rows.select("doc_id", ei.input_digest(F.col("given")).alias("digest"), ei.single_text(F.col("given")).alias("single"))
+
+
+@query("snk17_registry_changes", """
+    WITH p AS (SELECT p_partkey AS k, p_name AS f FROM part),
+    s AS (SELECT k, k % 50 AS note, f AS front, 1 AS made, 1 AS changed FROM p WHERE k % 2 = 0),
+    a AS (SELECT * FROM s UNION ALL SELECT k, k % 50, f || '+', CASE WHEN k % 9 = 0 THEN 5 ELSE 2 END, 2 FROM p WHERE k % 3 = 0 AND k % 2 <> 0),
+    u AS (SELECT k, note, CASE WHEN k % 5 = 0 THEN 'u' || k ELSE front END AS front, made, CASE WHEN k % 5 = 0 THEN 3 ELSE changed END AS changed FROM a),
+    d AS (SELECT * FROM u WHERE k % 7 <> 0),
+    m AS (SELECT * FROM d WHERE note NOT IN (4, 8)),
+    r AS (SELECT * FROM m UNION ALL SELECT k, 4, 'm', 4, 4 FROM p WHERE k % 11 = 0 AND k NOT IN (SELECT k FROM m))
+    SELECT k::VARCHAR AS slug, note::VARCHAR AS note_id, front, made, changed FROM r""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Cards added, updated, deleted, and those of two notes replaced, in this order."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n).cast("timestamp")
+    none = F.lit(None).cast("timestamp")
+    cards = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("slug"), (F.col("p_partkey") % 50).cast("string").alias("note_id"), F.col("p_name").alias("front"), none.alias("created_at"), none.alias("updated_at"))
+    k, own = F.col("p_partkey"), ["slug", "note_id", "front", "created_at", "updated_at"]
+    rows = cards.where("p_partkey % 2 = 0").select(*own).withColumns({"created_at": day(1), "updated_at": day(1)})
+    rows = cardbook.added(rows, cards.where("p_partkey % 3 = 0").withColumns({"front": F.concat("front", F.lit("+")), "created_at": F.when(k % 9 == 0, day(5))}), day(2))
+    rows = cardbook.updated(rows, cards.where("p_partkey % 5 = 0").withColumns({"front": F.concat(F.lit("u"), "slug"), "created_at": day(9)}), day(3))
+    rows = cardbook.deleted(rows, cards.where("p_partkey % 7 = 0").select("slug"))
+    rows = cardbook.mapped(rows, spark.createDataFrame([("4",), ("8",)], "note_id string"), cards.where("p_partkey % 11 = 0").withColumns({"note_id": F.lit("4"), "front": F.lit("m")}), day(4))
+    return rows.select("slug", "note_id", "front", *[(F.dayofmonth(x) - 1).alias(y) for x, y in (("created_at", "made"), ("updated_at", "changed"))])
