@@ -45,3 +45,25 @@ def test_sparse_scores_cover_the_stated_query_set(spark, db):
     got = {r[0] for r in registry.QUERIES["vec04_all_sparse_scores"](spark, FOLDER).select("query_id").distinct().collect()}
     want = {r[0] for r in db.execute("SELECT doc_id FROM documents WHERE doc_id % 20 = 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')").fetchall()}
     assert got == want
+
+
+def test_all_sparse_scores_leave_no_pair_out(spark, db):
+    """Every document that shares a token with a query has a row, the query itself too: none is cut at a rank."""
+    got = {(r[0], r[1]) for r in registry.QUERIES["vec04_all_sparse_scores"](spark, FOLDER).select("query_id", "doc_id").collect()}
+    tokens = "SELECT DISTINCT doc_id, lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)"
+    want = set(db.execute(f"WITH t AS ({tokens}) SELECT DISTINCT a.doc_id, b.doc_id FROM t a JOIN t b USING (t) WHERE t <> '' AND a.doc_id % 20 = 0").fetchall())
+    assert got == want
+    assert max(sum(q == x for q, _ in got) for x in {q for q, _ in got}) > 60
+
+
+def test_all_sparse_scores_of_odd_documents(spark, tmp_path):
+    """Ids that are null, negative or shared, texts that are null or without a token, and copies."""
+    texts = [(0, "a b b c"), (0, "c d"), (20, "a"), (20, None), (-20, "b, B! c"), (None, "a d"), (None, "d e"), (1, "a b b c"), (2, "--- ..."), (3, ""), (40, None), (60, "?"), (80, "zz"), (5, "e e e"), (7, "a " * 3000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'" if t != "documents" else f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted((tuple(plain(v) for v in r) for r in con.execute(registry.ORACLES["vec04_all_sparse_scores"]).fetchall()), key=str)
+    got = registry.QUERIES["vec04_all_sparse_scores"](spark, str(tmp_path)).select("query_id", "doc_id", "score").collect()
+    assert sorted((tuple(plain(v) for v in r) for r in got), key=str) == want
+    assert (0, None) in {r[:2] for r in want} and (20, 20) in {r[:2] for r in want}
