@@ -2,10 +2,13 @@
 
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import sync
+from recallgrid.plans import registry
+from recallgrid.sources import catalog
 from recallgrid.sources.sqlite_source import SqliteReader, sqlite_table
 from recallgrid.streaming import changes, reviews
 from recallgrid.tables import Store
@@ -104,3 +107,17 @@ def test_streamed_changes_equal_the_batch_form(spark, tmp_path, split):
     q.stop()
     assert ended
     assert sorted(map(tuple, spark.table(name).collect())) == want
+
+
+def test_review_times_are_the_nearest_milliseconds_as_in_their_sql(spark, tmp_path):
+    """A last review less than half a millisecond before a second is one of that second."""
+    us = [0, 499, 500, 1499, 1500, -1, -499, -500, -1500, 1704067200999499, 1704067200999500, 1706654933999731]
+    rows = spark.createDataFrame([(i, u, i) for i, u in enumerate(us)], "event_id long, us long, user_id long")
+    rows = rows.select("event_id", F.expr("timestampadd(MICROSECOND, us, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("ts"), "user_id", F.lit("error").alias("event_type"), F.lit(2.5).alias("value"))
+    rows.unionByName(rows.where("event_id = 0").withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "user_id": F.lit(99)})).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute("SELECT user_id, epoch_ms(ts) FROM events ORDER BY user_id").fetchall()
+    assert [tuple(r) for r in catalog.reviews(spark, str(tmp_path)).orderBy("card_id").select("card_id", "review_ms").collect()] == want
+    stats = registry.QUERIES["agg01_card_stats"](spark, str(tmp_path))
+    assert {r["card_id"]: r["last_review_s"] for r in stats.collect()}[11] == 1706654934
