@@ -10,17 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text as tx
-from recallgrid.functions.vectors import token_bags, tokens
+from recallgrid.functions.vectors import tokens
 from recallgrid.operators.filters import SearchRequest
 from recallgrid.operators.neighbours import nearest
 from recallgrid.operators.sparse_index import best_documents
+from recallgrid.operators.word_index import STOP, best_notes
 from recallgrid.tables import discard, written
 
-#: English words that a lexical query ignores.
-STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 RRF_K = 60
-#: Stems that may be broadcast.
-BROADCAST_ROWS = 500_000
 FUZZY = 0.1
 
 
@@ -72,30 +69,12 @@ def lexical(notes: DataFrame, query: str, limit: int = 50) -> tuple[str, DataFra
 
 
 def full_text_each(notes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, note_id, rank): ``full_text`` of each of a stated set of queries (query_id, query).
+    """(query_id, note_id, rank): ``full_text`` of each of a stated set of queries (query_id, query), from blocks of postings.
 
-    Texts become bags of tokens where they are; a note's length is counted there, and of its tokens only those with a
-    wanted stem become postings. A query's notes are looked for by its rarest stem, so that a common one joins nothing by
-    itself; candidates are then held against the query's other stems by (note, stem).
+    Texts become postings where they are, and a query's notes are looked for in the tasks that hold a block of them: no
+    posting and no candidate is shuffled.
     """
-    wanted = written(queries.select("query_id", F.explode(F.array_distinct(stems(F.col("query")))).alias("stem")))
-    kept = lambda t: ~t["tokens"].isin(*STOP)
-    bags = token_bags(notes, "note_id", "text").select("note_id", F.filter(F.arrays_zip("tokens", "counts"), kept).alias("t"))
-    bags = bags.withColumn("size", F.aggregate("t.counts", F.lit(0).cast("long"), lambda s, n: s + n))
-    each = bags.select("note_id", "size", F.explode("t").alias("t")).select("note_id", "size", stem(F.col("t.tokens")).alias("stem"), F.col("t.counts").alias("n"))
-    names = written(wanted.select("stem").distinct())
-    small = names.count() <= BROADCAST_ROWS
-    postings = written(each.join(F.broadcast(names) if small else names, "stem", "left_semi").groupBy("note_id", "size", "stem").agg(F.sum("n").alias("n")))
-    found = postings.groupBy("stem").agg(F.count("*").alias("df"))
-    wanted = written(wanted.join(found, "stem", "left").withColumn("df", F.coalesce("df", F.lit(0))))
-    # A query with a stem that no note has finds nothing.
-    rarest = wanted.groupBy("query_id").agg(F.min_by("stem", F.struct("df", "stem")).alias("stem"), F.count("*").alias("stems"), F.min("df").alias("df")).where("df > 0")
-    hits = rarest.join(postings.select("stem", "note_id"), "stem").select("query_id", "stems", "note_id")
-    shared = hits.join(wanted.select("query_id", "stem"), "query_id").join(postings, ["note_id", "stem"]).groupBy("query_id", "note_id", "stems", "size").agg(F.count("*").alias("found"), F.sum("n").alias("n"))
-    full = shared.where("found = stems")
-    rows = full.select("query_id", "note_id", (F.col("n") / (1 + F.log(1 + F.col("size").cast("double")))).alias("rank"))
-    w = W.partitionBy("query_id").orderBy(F.desc("rank"), "note_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+    return best_notes(notes, queries, limit)
 
 
 def fused_each(lists: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
