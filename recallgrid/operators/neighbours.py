@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from recallgrid.tables import written
 
-#: Queries and vectors of a block.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Queries and vectors of a block, and its bytes.
+QUERY_BLOCK, VECTOR_BLOCK, BYTES = 512, 4096, 1 << 22
+#: Decimals to which scores are rounded, so that equal vectors tie wherever they stand, and what that leaves open.
+DECIMALS, SLACK = 12, 1e-11
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest of all vectors to each of a stated set of query vectors, by cosine.
 
-    Both sides are packed into rows that hold a block each. Spark pairs the blocks, a task multiplies a pair of them and
-    gives the best k of each query in it, and a window takes the best of those; nothing passes the driver. A query
+    Both sides are packed into rows that hold a block each. Spark pairs the blocks, a task multiplies pairs of them and
+    gives the best k of each query in all of its own, and a window takes the best of those; nothing passes the driver. A query
     doesn't find its own id. Zero vectors score 0, rows without an id or vector take no part; all vectors have one length.
     """
     of = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
@@ -35,32 +37,64 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
 
 
 def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of up to ``rows`` ids and unit vectors."""
+    """Blocks of ``rows`` ids and unit vectors, fewer where they have over BYTES, and over the edges of batches."""
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        unit = np.concatenate([_units(_matrix(p.column(1))) for p in parts])
+        return pa.RecordBatch.from_pydict({"ids": [b"".join(p.column(0).to_numpy().tobytes() for p in parts)], "units": [unit.tobytes()]})
+
+    held, n = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-            size = np.sqrt(np.einsum("ij,ij->i", v, v))
-            unit = v / np.where(size > 0, size, 1)[:, None]
-            yield pa.RecordBatch.from_pydict({"ids": [part.column(0).to_numpy().tobytes()], "units": [unit.tobytes()]})
+        at = 0
+        most = max(1, min(rows, BYTES // (8 * max(1, len(batch.column(1)[0]))))) if batch.num_rows else rows
+        while at < batch.num_rows:
+            part = batch.slice(at, most - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == most:
+                yield block(held)
+                held, n = [], 0
+    if held:
+        yield block(held)
+
+
+def _first(query: np.ndarray, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each query by value, then id, and which of them are a k-th."""
+    order = np.lexsort((at, -value, query))
+    query, at, value = query[order], at[order], value[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    some = place < k
+    return query[some], at[some], value[some], place[some] == k - 1
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of each query over the pairs that a task has for its block, one block of queries after another."""
+    held, own, left = None, np.zeros(0, np.int64), np.zeros((0, 0))
+    query, at, value, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(at), pa.array(value)], ["query_id", "id", "score"])
+
     for batch in batches:
         for ids, units, others, other_units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own, found = np.frombuffer(ids, np.int64), np.frombuffer(others, np.int64)
-            score = np.frombuffer(units).reshape(len(own), -1) @ np.frombuffer(other_units).reshape(len(found), -1).T
+            if ids != held:
+                if len(query):
+                    yield rows()
+                held, own = ids, np.frombuffer(ids, np.int64)
+                left = np.frombuffer(units).reshape(len(own), -1)
+                query, at, value, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(own), -np.inf)
+            found = np.frombuffer(others, np.int64)
+            score = left @ np.frombuffer(other_units).reshape(len(found), -1).T
             score[(score < least) | (own[:, None] == found[None, :])] = -np.inf
-            if len(found) > 4 * k:  # all that tie with the k-th stay until they are ordered
-                edge = np.partition(score, -k, axis=1)[:, -k]
-                score[score < edge[:, None]] = -np.inf
-            query, at = np.nonzero(np.isfinite(score))
-            value = score[query, at]
-            order = np.lexsort((found[at], -value, query))
-            query, at, value = query[order], at[order], value[order]
-            first = np.searchsorted(query, query)
-            some = np.arange(len(query)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(own[query[some]]), pa.array(found[at[some]]), pa.array(value[some])], ["query_id", "id", "score"])
+            if len(found) > 4 * k and not len(query):  # all that tie with the k-th stay until they are ordered
+                floor = np.partition(score, -k, axis=1)[:, -k] - SLACK
+            some, place = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+            if len(some):
+                new = np.round(score[some, place], DECIMALS)
+                query, at, value, last = _first(np.append(query, some), np.append(at, found[place]), np.append(value, new), k)
+                floor[query[last]] = value[last] - SLACK
+    if len(query):
+        yield rows()
 
 
 #: Vectors that the cells are fitted on, rounds of that, most cells, queries that set the number of probes.

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallgrid.operators import neighbours
 
@@ -43,3 +44,19 @@ def test_empty_and_null(spark):
     got = sorted((r["query_id"], r["id"]) for r in neighbours.coarse_nearest(q, v, 5).collect())
     assert got == [(1, 2), (2, 1)]
     assert neighbours.coarse_nearest(q, v.limit(0), 5).collect() == []
+
+
+def test_nearest_gives_the_best_of_a_task_once(spark):
+    """Blocks go over the edges of batches, and the pairs of one block of queries give k rows a query together."""
+    rows = spark.range(3000).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.3)).alias("v")).toArrow().to_batches(100)
+    assert [len(b.column("ids")[0].as_py()) // 8 for b in neighbours._packed(iter(rows), 1024)] == [1024, 1024, 952]
+    left, right = next(neighbours._packed(iter(rows[:1]), 512)), list(neighbours._packed(iter(rows), 250))
+    pairs = [type(b).from_arrays([*left.columns, *b.columns], ["ids", "units", "other_ids", "other_units"]) for b in right]
+    assert len(pairs) == 12 and sum(b.num_rows for b in neighbours._best(iter(pairs), 20, -1.0)) == 100 * 20
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    v = [0.1 * ((i * 7919) % 97 - 48) for i in range(67)]
+    rows = spark.createDataFrame([(i, [x + (0.5 if i % 50 == 49 else 0.0) for x in v]) for i in range(1003)], "id long, vector array<double>")
+    got = neighbours.nearest(rows.where("id = 0").withColumnRenamed("id", "query_id"), rows, 900).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [i for i in range(1, 1003) if i % 50 != 49][:900]
