@@ -235,7 +235,8 @@ def _hybrid(name: str, mode: str, limit: int, semantic: float, words: float, rer
         notes = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text")
         near = neighbours.nearest(*_dense(spark, d), 4 * limit).select("query_id", F.col("id").alias("note_id"), F.concat(F.lit("v"), "id").alias("chunk_id"), "score")
         queries = _queries(spark, d)
-        found = search.hybrid_each(queries, notes, near, lexicon.lexical_each(notes, queries, limit).where("mode = 'fts'"), limit, mode, semantic, words, (lambda _, text: F.char_length(text).cast("double")) if rerank else None, rerank)
+        hits = lexicon.lexical_each(notes, queries, limit, ("fts",) if mode != "semantic" else ())
+        found = search.hybrid_each(queries, notes, near, hits, limit, mode, semantic, words, (lambda _, text: F.char_length(text).cast("double")) if rerank else None, rerank)
         return found.select("query_id", "note_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), "semantic_rank", "lexical_rank", "chunk_id")
 
     query(name, sql)(run)

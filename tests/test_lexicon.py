@@ -134,3 +134,11 @@ def test_tag_keys_bring_all_near_tags_and_few_others(spark):
     assert got == want
     keys = known.withColumn("key", F.explode(tags._segments(F.lower("tag"), 2)))
     assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < len(base)  # no key has all tags
+
+
+def test_only_wanted_stages_run(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "trigram_postings", lambda notes: pytest.fail("trigrams of all notes"))
+    notes = spark.createDataFrame([(1, "the is"), (2, "cities")], "note_id long, text string")
+    queries = spark.createDataFrame([(1, "the is"), (2, "city")], "query_id long, query string")
+    assert [(r["query_id"], r["note_id"]) for r in lexicon.lexical_each(notes, queries, 5, ("fts",)).collect()] == [(2, 2)]
+    assert lexicon.lexical_each(notes, queries, 5, ()).count() == 0
