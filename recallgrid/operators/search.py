@@ -18,6 +18,8 @@ from recallgrid.operators.word_index import STOP, best_notes
 from recallgrid.tables import discard, written
 
 RRF_K = 60
+#: Pairs of a query and a note that may be broadcast to the texts.
+BROADCAST_ROWS = 500_000
 FUZZY = 0.1
 
 
@@ -179,7 +181,10 @@ def hybrid_each(queries: DataFrame, notes: DataFrame, chunk_hits: DataFrame, lex
     rows = rows.withColumn("rank", place("rrf_score")).where(F.col("rank") <= limit)
     score = F.lit(None).cast("double")
     if scorer and rerank_top:
-        texts = rows.where(F.col("rank") <= rerank_top).select("query_id", "note_id").join(notes.select("note_id", "text"), "note_id").join(asked, "query_id")
+        rows = written(rows)
+        wanted = written(rows.where(F.col("rank") <= rerank_top).select("query_id", "note_id").join(asked, "query_id"))
+        small = wanted.count() <= BROADCAST_ROWS  # else texts are shuffled, once and without a sort
+        texts = notes.select("note_id", "text").join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "note_id")
         scored = texts.where(F.trim("text") != "").select("query_id", "note_id", scorer(F.col("query"), F.col("text")).alias("rerank_score"))
         rows = rows.join(scored, ["query_id", "note_id"], "left")
         again = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank"))

@@ -142,3 +142,19 @@ def test_only_wanted_stages_run(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "the is"), (2, "city")], "query_id long, query string")
     assert [(r["query_id"], r["note_id"]) for r in lexicon.lexical_each(notes, queries, 5, ("fts",)).collect()] == [(2, 2)]
     assert lexicon.lexical_each(notes, queries, 5, ()).count() == 0
+
+
+def test_texts_are_scored_without_a_shuffle(spark):
+    """Few pairs of a query and a note go to the texts, whatever Spark would broadcast by itself."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        notes = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(20)], "note_id long, text string")
+        queries = spark.createDataFrame([(1, "word")], "query_id long, query string")
+        hits = spark.createDataFrame([(1, 3, "v3", 0.5)], "query_id long, note_id long, chunk_id string, score double")
+        found = search.hybrid_each(queries, notes, hits, lexicon.lexical_each(notes, queries, 10, ("fts",)), 10, scorer=lambda q, t: F.char_length(t).cast("double"), rerank_top=4)
+        assert "BroadcastHashJoin [note_id" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["rank"] for r in found.collect()) == list(range(1, 11))
+    finally:
+        spark.conf.set(name, before)
