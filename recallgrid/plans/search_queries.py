@@ -205,7 +205,7 @@ GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1
     SELECT query_id, note_id, round(r, 6) AS rank FROM s WHERE r > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, note_id) <= 50""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     notes, queries = _part_names(spark, d)
-    return lexicon.fuzzy_each(lexicon.trigram_postings(notes), queries, 50).withColumn("rank", F.round("rank", 6))
+    return lexicon.fuzzy_of_texts(notes, queries, 50).withColumn("rank", F.round("rank", 6))
 
 
 @query("fts04_prefix_table", "SELECT doc_id AS note_id, 1.0::DOUBLE AS rank FROM documents WHERE starts_with(lower(text), 'th') ORDER BY doc_id LIMIT 50")

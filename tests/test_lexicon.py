@@ -158,3 +158,17 @@ def test_texts_are_scored_without_a_shuffle(spark):
         assert sorted(r["rank"] for r in found.collect()) == list(range(1, 11))
     finally:
         spark.conf.set(name, before)
+
+
+def test_equal_texts_and_queries_are_searched_once(spark, monkeypatch):
+    """Copies give the results of a search note by note, ties by id, but their trigrams are looked at once."""
+    texts = ["red bolt", "red bolts", "bolt red", "new anvil", "hot ring", "", None]
+    notes = spark.createDataFrame([(i, texts[i * i % 7]) for i in range(200)], "note_id long, text string")
+    queries = spark.createDataFrame([(i, ["rd bolt", "nw anvl", "xyz", "", None][i % 5]) for i in range(30)], "query_id long, query string")
+    want = {(r[0], r[1], round(r[2], 9)) for r in lexicon.fuzzy_each(lexicon.trigram_postings(notes), queries, 40).collect()}
+    looked = []
+    kept = lexicon.trigram_postings
+    monkeypatch.setattr(lexicon, "trigram_postings", lambda n: looked.append(n.count()) or kept(n))
+    got = [(r[0], r[1], round(r[2], 9)) for r in lexicon.fuzzy_of_texts(notes, queries, 40).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert looked == [len({texts[i * i % 7] for i in range(200)} - {None})]
