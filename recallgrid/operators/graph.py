@@ -23,20 +23,40 @@ def tag_edges(notes: DataFrame, least: int = 3, most: int = 5000) -> DataFrame:
 
     Tags on too many notes say little, yet none is dropped: notes with equal tag lists are folded into one class first,
     and classes are joined by tag, so a tag costs pairs of tag lists, not of notes. Only the best ``most`` edges, which
-    the report is about, are expanded from classes to notes.
+    the report is about, are expanded from classes to notes: pairs of classes by their weight while all heavier ones have
+    fewer edges than that; of a class its first ``most`` + 1 notes, as any other has as many edges before its own; and of a
+    pair of classes those sources that fewer edges come before.
     """
     rows = notes.where("not deleted and size(tags) > 0").select("note_id", F.array_sort("tags").alias("tags"))
     classes = rows.groupBy("tags").agg(F.min("note_id").alias("class"), F.count("*").alias("n"))
     each = classes.select("class", "n", F.size("tags").alias("len"), F.explode("tags").alias("tag"))
     counts = each.groupBy("class", "n", "len", "tag").agg(F.count("*").alias("times"))
     other = counts.select(F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("len").alias("len2"), "tag", F.col("times").alias("times2"))
-    shared = counts.join(other, "tag").where("class < class2 or (class = class2 and n > 1)").groupBy("class", "class2", "len", "len2").agg(F.sum(F.col("times") * F.col("times2")).alias("shared"))
+    shared = counts.join(other, "tag").where("class < class2 or (class = class2 and n > 1)").groupBy("class", "class2", "n", "n2", "len", "len2").agg(F.sum(F.col("times") * F.col("times2")).alias("shared"))
     weight = F.col("shared") / F.greatest("len", "len2")
-    best = shared.where(F.col("shared") >= least).withColumn("weight", weight)
+    edges = F.when(F.col("class") == F.col("class2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2").cast("double"))
+    best = written(shared.where(F.col("shared") >= least).select("class", "class2", "shared", weight.alias("weight"), edges.alias("edges")))
+    heavier = W.orderBy(F.desc("weight")).rowsBetween(W.unboundedPreceding, -1)
+    weights = best.groupBy("weight").agg(F.sum("edges").alias("edges"))  # a row for each ratio of two small numbers
+    weights = weights.withColumn("before", F.coalesce(F.sum("edges").over(heavier), F.lit(0.0))).where(F.col("before") < most)
+    best = written(best.join(weights.select("weight"), "weight").select("class", "class2", "shared", "weight"))
     member = rows.join(classes.select("tags", "class"), "tags").select("note_id", "class")
-    pairs = best.join(member, "class").join(member.select(F.col("note_id").alias("other"), F.col("class").alias("class2")), "class2")
-    ends = pairs.where("class < class2 or note_id < other").select(F.least("note_id", "other").alias("source"), F.greatest("note_id", "other").alias("target"), "shared", "weight")
-    return ends.orderBy(F.desc("weight"), "source", "target").limit(most)
+    member = member.withColumn("at", F.row_number().over(W.partitionBy("class").orderBy("note_id"))).where(F.col("at") <= most + 1)
+    member = written(member.select("note_id", "class"))
+    first = best.join(member, "class").withColumn("opposite", F.col("class2"))
+    second = best.where("class < class2").join(member.withColumnRenamed("class", "class2"), "class2").withColumn("opposite", F.col("class"))
+    ends = first.unionByName(second)
+    pair = W.partitionBy("class", "class2")
+    later = pair.orderBy(F.desc("note_id")).rowsBetween(W.unboundedPreceding, -1)
+    of = lambda side: F.coalesce(F.count_if(side).over(later), F.lit(0))
+    targets = F.when(F.col("opposite") == F.col("class"), of(F.col("opposite") == F.col("class2"))).otherwise(of(F.col("opposite") == F.col("class")))
+    targets = F.when(F.col("class") == F.col("class2"), of(F.lit(True))).otherwise(targets)
+    before = F.coalesce(F.sum("targets").over(pair.orderBy("note_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sources = ends.withColumn("targets", targets).withColumn("before", before).where((F.col("targets") > 0) & (F.col("before") < most))
+    sources = written(sources.select(F.col("note_id").alias("source"), "opposite", "shared", "weight"))
+    target = member.select(F.col("note_id").alias("target"), F.col("class").alias("opposite"))
+    out = sources.join(target, "opposite").where("source < target").select("source", "target", "shared", "weight")
+    return out.orderBy(F.desc("weight"), "source", "target").limit(most)
 
 
 def related(edges: DataFrame, node: int, limit: int = 10) -> DataFrame:
