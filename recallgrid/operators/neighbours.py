@@ -58,7 +58,7 @@ def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
         yield block(held)
 
 
-def _first(query: np.ndarray, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def first_of_each(query: np.ndarray, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The best ``k`` of each query by value, then id, and which of them are a k-th."""
     order = np.lexsort((at, -value, query))
     query, at, value = query[order], at[order], value[order]
@@ -91,7 +91,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[p
             some, place = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
             if len(some):
                 new = np.round(score[some, place], DECIMALS)
-                query, at, value, last = _first(np.append(query, some), np.append(at, found[place]), np.append(value, new), k)
+                query, at, value, last = first_of_each(np.append(query, some), np.append(at, found[place]), np.append(value, new), k)
                 floor[query[last]] = value[last] - SLACK
     if len(query):
         yield rows()

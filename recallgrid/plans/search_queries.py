@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors
-from recallgrid.operators import documents, duplicates, filters, lexicon, neighbours, search, topics
+from recallgrid.operators import documents, duplicates, filters, lexicon, neighbours, search, sparse_index, topics
 from recallgrid.plans.base import query
 from recallgrid.plans.registry import SPARSE, _notes_of_documents
 from recallgrid.session import table
 from recallgrid.sources import catalog as c
-from recallgrid.tables import written
+from recallgrid.tables import discard, written
 
 #: The words of a query are the first three of its document.
 FIRST_WORDS = 3
@@ -108,10 +108,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each query and how many documents share a token with it."""
     docs = table(spark, d, "documents")
-    rows = vectors.sparse_rows(docs, "doc_id", "text")
-    q = rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    scored = vectors.sparse_scores(q, rows, docs.agg(F.count("*").alias("n")), "query_id", "doc_id")
-    return scored.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("best"), F.count("*").alias("found"))
+    rows = sparse_index.document_vectors(docs, "doc_id", "text")
+    found = sparse_index.counted_scores(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, docs.agg(F.count("*").alias("n")))
+    discard(rows)
+    return found.select("query_id", F.round("best", 6).alias("best"), "found")
 
 
 MOCK = "[('0x' || sha256({text})[i * 2 + 1:i * 2 + 2])::INT / 127.5 - 1 FOR i IN range(0, 8)]"
