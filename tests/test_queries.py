@@ -67,3 +67,13 @@ def test_all_sparse_scores_of_odd_documents(spark, tmp_path):
     got = registry.QUERIES["vec04_all_sparse_scores"](spark, str(tmp_path)).select("query_id", "doc_id", "score").collect()
     assert sorted((tuple(plain(v) for v in r) for r in got), key=str) == want
     assert (0, None) in {r[:2] for r in want} and (20, 20) in {r[:2] for r in want}
+
+
+def test_a_half_is_rounded_by_its_double_as_in_the_sql(spark, monkeypatch):
+    """1.0175815 is a little less than that as a double."""
+    scores = [1.0175815, 0.0000005, 0.1234565, 2.5000005, 3.0]
+    found = spark.createDataFrame([(0, i, x, i) for i, x in enumerate(scores)], "query_id long, id long, score double, rank int")
+    monkeypatch.setattr(registry.sparse_index, "best_documents", lambda *a: found)
+    got = registry.QUERIES["vec04_best_sparse_scores"](spark, FOLDER).orderBy("rank").collect()
+    con = duckdb.connect()
+    assert [r["score"] for r in got] == [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in scores]
